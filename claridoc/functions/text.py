@@ -50,7 +50,7 @@ def short_hash(c: Column) -> Column:
     # splitting on nothing leaves no empty entry for a non-empty text, one for the empty text
     chars = F.filter(F.split(c, ""), lambda ch: ch != "")
     code = F.aggregate(chars, F.lit(5381).cast("bigint"), fold)
-    return F.right(F.lpad(F.lower(F.conv(code.cast("string"), 10, 36)), 6, "0"), F.lit(6))
+    return F.right(F.concat(F.lit("00000"), F.lower(F.conv(code.cast("string"), 10, 36))), F.lit(6))
 
 
 def block_id(page: Column, order: Column, text: Column) -> Column:
@@ -106,4 +106,4 @@ def status_label(c: Column) -> Column:
 def number_text(c: Column) -> Column:
     """A number rounded to two places, written without trailing zeros (4.5, 3, 21)."""
     fixed = F.format_string("%.2f", c)
-    return F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", "")
+    return F.when(c.isNotNull(), F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", ""))

@@ -6,18 +6,59 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claridoc.functions import fixed_values as fv
-from claridoc.functions.text import truthy
+from claridoc.functions.text import trimmed, truthy
 
 _QUAD = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 
 
+_SPECIAL = ["http", "https", "ftp", "ws", "wss", "file"]
+_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\\\]*([^/\\\\?#]*)"
+
+
 def scheme(url: Column) -> Column:
-    return F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
+    """Lower-case scheme; NULL when the text does not start with one."""
+    return F.lower(truthy(F.regexp_extract(trimmed(url), r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)))
+
+
+def raw_host(url: Column) -> Column:
+    """Host as written, lower-case, without user, port and brackets."""
+    authority = F.regexp_replace(F.regexp_extract(trimmed(url), _AUTHORITY, 1), r"^.*@", "")
+    return F.lower(F.regexp_replace(authority, r":[0-9]*$", ""))
+
+
+def _ipv4(h: Column) -> Column:
+    """Dotted form of a numeric host (decimal, octal or hex parts); NULL when it is out of range."""
+    parts = F.split(h, r"\.")
+
+    def number(p: Column) -> Column:
+        return (
+            F.when(p.rlike(r"^0x[0-9a-f]*$"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 20)), 16, 10))
+            .when(p.rlike(r"^0[0-7]+$"), F.conv(p, 8, 10))
+            .when(p.rlike(r"^(0|[1-9][0-9]*)$"), p)
+            .try_cast("bigint")
+        )
+
+    numbers = F.transform(parts, number)
+    n = F.size(parts)
+    heads = F.slice(numbers, F.lit(1), F.greatest(n - 1, F.lit(0)))
+    last = F.try_element_at(numbers, F.lit(-1))
+    room = F.pow(F.lit(256.0), 5 - n)
+    fits = (n <= 4) & F.forall(heads, lambda v: F.coalesce(v <= 255, F.lit(False))) & (last < room)
+    start = last
+    value = start
+    for i in range(3):
+        place = F.pow(F.lit(256.0), F.lit(3 - i)).cast("bigint")
+        value = value + F.coalesce(F.when(n > i + 1, F.try_element_at(numbers, F.lit(i + 1)) * place), F.lit(0))
+    octet = lambda k: F.shiftright(value, 8 * k).bitwiseAND(255).cast("string")
+    return F.when(fits, F.concat_ws(".", octet(3), octet(2), octet(1), octet(0)))
 
 
 def host(url: Column) -> Column:
-    """Lower-case host; NULL when the address cannot be parsed."""
-    return F.lower(truthy(F.try_parse_url(url, F.lit("HOST"))))
+    """Host as a browser names it: numeric hosts become dotted quads. NULL when it is not valid."""
+    h = raw_host(url)
+    valid = (h != "") & ~h.rlike(r"[\s<>^|%@]") & (~h.rlike(r"[\[\]]") | h.rlike(r"^\[[0-9a-f:.]+\]$"))
+    numeric = h.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+    return F.when(valid, F.when(numeric, _ipv4(F.regexp_replace(h, r"\.$", ""))).otherwise(h))
 
 
 def blocked_host(raw: Column) -> Column:
@@ -87,11 +128,14 @@ def url_gate(url: Column) -> Column:
 
 def redact_url(url: Column) -> Column:
     """Origin and path only; says so when a query or fragment was cut."""
-    origin = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    cut = url.rlike(r"\?[^#]|#.")
+    text, s, h = trimmed(url), scheme(url), host(url)
+    port = F.regexp_extract(F.regexp_extract(text, _AUTHORITY, 1), r":([0-9]+)$", 1)
+    usual = F.when(s.isin("http", "ws"), "80").when(s.isin("https", "wss"), "443").when(s == "ftp", "21").otherwise("")
+    origin = F.concat(s, F.lit("://"), h, F.when((port == "") | (port == usual), "").otherwise(F.concat(F.lit(":"), port)))
+    path = F.regexp_extract(text, _AUTHORITY + r"([^?#]*)", 2)
+    cut = text.rlike(r"^[^#]*\?[^#]|#.")
     parsed = F.concat(
-        F.lower(origin), F.when(path == "", "/").otherwise(path), F.when(cut, " (query redacted)").otherwise("")
+        origin, F.when(path == "", "/").otherwise(path), F.when(cut, " (query redacted)").otherwise("")
     )
     coarse = F.regexp_extract(url, r"^([^?#]*)", 1)
-    return F.when(host(url).isNotNull(), parsed).otherwise(coarse)
+    return F.when(s.isin(_SPECIAL) & h.isNotNull(), parsed).otherwise(coarse)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from claridoc.plans import queries_audit  # noqa: F401
-from claridoc.plans.registry import CHECKS, QUERIES
+from claridoc.plans import queries_audit, queries_contrast, queries_text  # noqa: F401
+from claridoc.plans.registry import QUERIES, checks
 
 
 def queries():
@@ -11,4 +11,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(CHECKS)
+    return checks()

@@ -43,9 +43,14 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def checks() -> dict[str, str]:
+    """Checking SQL of every query that has one, complete with the views it needs."""
+    return {name: with_views(text, CHECK_VIEWS) for name, text in CHECKS.items()}
+
+
 def query(name: str, run: Callable[[Data], DataFrame], check: str | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"{name} is registered twice")
     QUERIES[name] = lambda spark, folder: _plain(run(Data(spark, folder)))
     if check is not None:
-        CHECKS[name] = with_views(check, CHECK_VIEWS)
+        CHECKS[name] = check

@@ -260,6 +260,8 @@ def _numbered_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _BUILT = {"numbered_events": _numbered_events}
+# views that multiply rows: their input is spread over the cores first, since the driver's files are one split each
+_MULTIPLIED = {"bg_pixels"}
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -271,8 +273,12 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     text = _spark_sql(VIEWS[name])
     tag = hashlib.md5(folder.encode()).hexdigest()[:8]
     for n in _mentioned(text, [*TABLES, *VIEWS]):
-        view(spark, folder, n).createOrReplaceTempView(f"{n}_{tag}")
-        text = re.sub(rf"\b(FROM|JOIN)(\s+){n}\b", rf"\1\2{n}_{tag}", text)
+        source = view(spark, folder, n)
+        alias = f"{n}_{tag}"
+        if name in _MULTIPLIED:
+            source, alias = source.repartition(spark.sparkContext.defaultParallelism), f"{alias}_spread"
+        source.createOrReplaceTempView(alias)
+        text = re.sub(rf"\b(FROM|JOIN)(\s+){n}\b", rf"\1\2{alias}", text)
     return spark.sql(text)
 
 
