@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ MOD32 = 1 << 32
 WS = "[" + fv.WHITESPACE + "]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value``, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trimmed(c: Column) -> Column:
     """Strip every kind of whitespace, not only blanks."""
     return F.btrim(c, F.lit(fv.WHITESPACE))

@@ -16,7 +16,9 @@ def url_parts(df: DataFrame) -> DataFrame:
 
 
 def url_gate(df: DataFrame) -> DataFrame:
-    return df.withColumn("gate", urls.url_gate(F.col("url"))).select("*", "gate.*").drop("gate")
+    """ok, level and reason per address: the first rule that applies decides."""
+    ruled = url_parts(df).withColumn("rule", urls.gate_rule(F.col("scheme"), F.col("host")))
+    return ruled.withColumn("gate", urls.gate_answer(F.col("rule"), F.col("host"))).select(*df.columns, "gate.*")
 
 
 def admit_documents(files: DataFrame, max_bytes: int = fv.LIVE_MAX_BYTES, max_pages: int = fv.GUEST_PAGE_LIMIT) -> DataFrame:

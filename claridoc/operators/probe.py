@@ -129,6 +129,7 @@ def subtree_text(nodes: DataFrame) -> DataFrame:
         pairs.groupBy("doc_id", "anc")
         .agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("text"))
         .withColumnRenamed("anc", "elem")
+        .join(nodes.select("doc_id", "elem"), ["doc_id", "elem"], "left_semi")
     )
 
 

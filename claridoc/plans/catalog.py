@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claridoc.plans import queries_audit, queries_contrast, queries_text  # noqa: F401
+from claridoc.plans import queries_audit, queries_contrast, queries_live, queries_text  # noqa: F401
 from claridoc.plans.registry import QUERIES, checks
 
 
@@ -11,4 +11,4 @@ def queries():
 
 
 def oracle_sql():
-    return checks()
+    return dict(checks())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+@cache
 def checks() -> dict[str, str]:
     """Checking SQL of every query that has one, complete with the views it needs."""
     return {name: with_views(text, CHECK_VIEWS) for name, text in CHECKS.items()}

@@ -225,6 +225,16 @@ VIEWS: dict[str, str] = {
                CASE WHEN l_partkey % 4 = 0 THEN '' ELSE 'Fig "' || CAST(l_partkey AS STRING) || '" <a> & b''s' END AS caption,
                CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE l_partkey * 2000 END AS crop_bytes
         FROM lines""",
+    # the event log with ends: some sessions report errors, some finish
+    "session_log": """
+        SELECT session_id, seq, ts, CASE WHEN seq % 40 = 0 AND session_id % 3 = 0 THEN 'error' WHEN seq % 31 = 0 AND session_id % 2 = 0 THEN 'done' ELSE type END AS type, phase, target, html
+        FROM doc_events""",
+    "page_boxes": """
+        SELECT o_orderkey AS page_id,
+               CASE o_custkey % 4 WHEN 0 THEN '[0,0,' || CAST(400 + o_custkey % 300 AS STRING) || ',800]' WHEN 1 THEN '[5,5,5,5]' ELSE NULL END AS mediabox,
+               CASE o_custkey % 3 WHEN 0 THEN '{"x":10,"y":10,"w":500,"h":' || CAST(o_custkey % 900 AS STRING) || '}' ELSE NULL END AS cropbox,
+               CASE o_custkey % 2 WHEN 0 THEN '{"left":0,"top":0,"right":300,"bottom":500}' ELSE 'broken' END AS bbox
+        FROM orders""",
     "bbox_json": """
         SELECT l_orderkey * 100 + l_linenumber AS node,
                CASE l_partkey % 7
