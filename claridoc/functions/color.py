@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claridoc.functions.text import let
+
 
 def hex_to_rgb(c: Column) -> Column:
     """STRUCT<r,g,b> of a three- or six-digit hex colour, NULL when it is not one."""
-    raw = F.regexp_replace(c, r"^#", "")
-    full = F.when(F.length(raw) == 3, F.regexp_replace(raw, r"(.)", "$1$1")).otherwise(raw)
-    valid = full.rlike(r"^[0-9a-fA-F]{6}$")
+    bare = F.when(F.startswith(c, F.lit("#")), F.substr(c, F.lit(2))).otherwise(c)
+
+    def long_form(s: Column) -> Column:
+        twice = [F.repeat(F.substring(s, i, 1), 2) for i in (1, 2, 3)]
+        return F.when(F.length(s) == 3, F.concat(*twice)).otherwise(s)
+
+    def number(s: Column) -> Column:
+        return F.when(s.rlike("^[0-9a-fA-F]{6}$"), F.conv(s, 16, 10).cast("int"))
 
-    def channel(start: int) -> Column:
-        return F.conv(F.substring(full, start, 2), 16, 10).cast("int")
+    def channels(n: Column) -> Column:
+        parts = F.struct(*[F.shiftright(n, k).bitwiseAND(255).alias(name) for name, k in (("r", 16), ("g", 8), ("b", 0))])
+        return F.when(n.isNotNull(), parts)
 
-    return F.when(valid, F.struct(channel(1).alias("r"), channel(3).alias("g"), channel(5).alias("b")))
+    return let(let(let(bare, long_form), number), channels)
 
 
 def _linear(channel: Column) -> Column:

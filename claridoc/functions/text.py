@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claridoc.functions import fixed_values as fv
+from claridoc.functions.hashing import short_hash
 
-MOD32 = 1 << 32
 # one whitespace character, as a pattern
 WS = "[" + fv.WHITESPACE + "]"
 
@@ -42,24 +42,6 @@ def escape_html(c: Column) -> Column:
     return F.replace(escape4(c), F.lit("'"), F.lit("&#39;"))
 
 
-def short_hash(c: Column) -> Column:
-    """Six base-36 characters of a 32-bit multiply-by-33 hash over UTF-16 code units."""
-
-    def step(h: Column, unit: Column) -> Column:
-        return (h * 33 + unit) % MOD32
-
-    def fold(h: Column, ch: Column) -> Column:
-        point = F.ascii(ch).cast("bigint")
-        above = point - 0x10000
-        high, low = F.shiftright(above, 10) + 0xD800, above.bitwiseAND(0x3FF) + 0xDC00
-        return F.when(point > 0xFFFF, step(step(h, high), low)).otherwise(step(h, point))
-
-    # splitting on nothing leaves no empty entry for a non-empty text, one for the empty text
-    chars = F.filter(F.split(c, ""), lambda ch: ch != "")
-    code = F.aggregate(chars, F.lit(5381).cast("bigint"), fold)
-    return F.right(F.concat(F.lit("00000"), F.lower(F.conv(code.cast("string"), 10, 36))), F.lit(6))
-
-
 def block_id(page: Column, order: Column, text: Column) -> Column:
     return F.concat_ws("-", F.lit("block"), page.cast("string"), order.cast("string"), short_hash(text))
 

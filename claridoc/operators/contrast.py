@@ -68,42 +68,61 @@ def _boxes(spans: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def _covered(boxes: DataFrame, pixels: DataFrame, tile: int) -> DataFrame:
-    """Range join of boxes and pixels by square tiles: an equi join plus a range filter."""
+    """Range join of boxes and pixels by square tiles: an equi join plus a range filter.
+
+    A tile bounds the pixels of a join key by its area, whatever the image size.
+    """
     def cells(low: str, high: str) -> Column:
         return F.sequence(F.expr(f"{low} div {tile}"), F.expr(f"({high} - 1) div {tile}"))
 
+    rgb = boxes.withColumn("rgb", hex_to_rgb(F.col("color")))
     tiled = (
-        boxes.select("page_id", "span_idx", "x0", "y0", "x1", "y1")
+        rgb.select("page_id", "span_idx", "x0", "y0", "x1", "y1", luminance(F.col("rgb.r"), F.col("rgb.g"), F.col("rgb.b")).alias("ink"))
         .withColumn("tx", F.explode(cells("x0", "x1"))).withColumn("ty", F.explode(cells("y0", "y1")))
     )
-    dots = pixels.select("page_id", "x", "y", "r", "g", "b", "a", F.expr(f"x div {tile}").alias("tx"), F.expr(f"y div {tile}").alias("ty"))
-    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    return tiled.join(dots, ["page_id", "tx", "ty"]).filter(inside)
+    # a pixel travels as two numbers besides its key: place within the tile, and colour
+    at = (F.col("y") % tile) * tile + F.col("x") % tile
+    paint = F.shiftleft(F.col("a").cast("bigint"), 24) + F.shiftleft("r", 16) + F.shiftleft("g", 8) + F.col("b")
+    dots = pixels.select("page_id", F.expr(f"x div {tile}").alias("tx"), F.expr(f"y div {tile}").alias("ty"), at.cast("int").alias("at"), paint.alias("paint"))
+    # sizes of exploded inputs are not known to the planner, so neither side may be broadcast by estimate
+    met = tiled.join(dots.hint("merge"), ["page_id", "tx", "ty"])
+    x, y = F.col("tx") * tile + F.col("at") % tile, F.col("ty") * tile + F.expr(f"at div {tile}")
+    return met.filter((x >= F.col("x0")) & (x < F.col("x1")) & (y >= F.col("y0")) & (y < F.col("y1")))
 
 
-def span_pixels(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: int = TILE) -> DataFrame:
-    """Colours under each span: page_id, span_idx, r, g, b, opaque, n (pixels of that colour).
+def _colours(boxes: DataFrame, pixels: DataFrame, tile: int) -> DataFrame:
+    """Different colours under each span with their pixel counts.
 
-    Counting colours right after the join keeps every later step as small as the number of
-    different colours, whatever the image size.
+    Counting right after the join keeps every later step as small as the number of colours.
     """
-    hit = _covered(_boxes(spans, pages), pixels, tile)
-    return hit.groupBy("page_id", "span_idx", "r", "g", "b", (F.col("a") >= 255).alias("opaque")).agg(F.count("*").alias("n"))
+    part = lambda shift: F.shiftright("paint", shift).bitwiseAND(255).cast("int")
+    counted = _covered(boxes, pixels, tile).groupBy("page_id", "span_idx", "paint").agg(F.count("*").alias("n"), F.any_value("ink").alias("ink"))
+    return counted.select(
+        "page_id", "span_idx", part(16).alias("r"), part(8).alias("g"), part(0).alias("b"), (part(24) >= 255).alias("opaque"), "n", "ink"
+    )
+
+
+def span_pixels(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: int = TILE) -> DataFrame:
+    """Colours under each span: page_id, span_idx, r, g, b, opaque, n (pixels of that colour)."""
+    colours = _colours(_boxes(spans, pages), pixels, tile)
+    return colours.groupBy("page_id", "span_idx", "r", "g", "b", "opaque").agg(F.sum("n").alias("n"))
 
 
 SPAN_FIELDS = ["span_idx", "text", "color", "x0", "y0", "x1", "y1", "worst_ratio", "median_ratio", "large_text", "threshold", "passes"]
 
 
-def span_contrast(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: int = TILE) -> DataFrame:
+def measure_spans(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: int = TILE) -> DataFrame:
     """Worst (2nd percentile) and median contrast per span by exact rank, from the colour histogram.
 
-    A span has at most 2^24 colours, which bounds the rank window of one span.
+    Also says whether a span lies on see-through pixels, which do not count. A span with no other
+    pixels stays, with ``measured`` false. A span has at most 2^24 colours, which bounds the rank
+    window of one span.
     """
     boxes = _boxes(spans, pages)
-    under = span_pixels(spans, pixels, pages, tile).filter("opaque")
-    ink = boxes.withColumn("rgb", hex_to_rgb(F.col("color"))).withColumn("ink", luminance(F.col("rgb.r"), F.col("rgb.g"), F.col("rgb.b")))
     ratio = contrast_ratio(F.col("ink"), luminance(F.col("r"), F.col("g"), F.col("b")))
-    hist = under.join(ink.select("page_id", "span_idx", "ink"), ["page_id", "span_idx"]).select("page_id", "span_idx", ratio.alias("ratio"), "n")
+    hist = _colours(boxes, pixels, tile).select(
+        "page_id", "span_idx", "opaque", F.when(F.col("opaque"), ratio).alias("ratio"), F.when(F.col("opaque"), F.col("n")).otherwise(0).alias("n")
+    )
     one = Window.partitionBy("page_id", "span_idx")
     ranked = hist.withColumn("upto", F.sum("n").over(one.orderBy("ratio"))).withColumn("total", F.sum("n").over(one))
 
@@ -111,7 +130,8 @@ def span_contrast(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: i
         return round2(F.min(F.when(F.col("upto") > rank, F.col("ratio"))))
 
     stats = ranked.groupBy("page_id", "span_idx").agg(
-        at(F.expr("total div 50")).alias("worst_ratio"), at(F.expr("total div 2")).alias("median_ratio")
+        at(F.expr("total div 50")).alias("worst_ratio"), at(F.expr("total div 2")).alias("median_ratio"),
+        F.bool_or("opaque").alias("measured"), F.bool_or(~F.col("opaque")).alias("saw_transparency"),
     )
     large = large_text(F.col("font_size_px"), F.col("bold"), F.col("page_point_width"), F.col("page_width"))
     return (
@@ -119,10 +139,15 @@ def span_contrast(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: i
         .withColumn("large_text", large).withColumn("threshold", _threshold(F.col("large_text")))
         .withColumn("passes", F.coalesce(F.col("worst_ratio") >= F.col("threshold"), F.lit(False)))
         .withColumn("text", F.substring("text", 1, 80))
-        .select("page_id", *SPAN_FIELDS)
+        .select("page_id", *SPAN_FIELDS, "measured", "saw_transparency")
     )
 
 
+def span_contrast(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: int = TILE) -> DataFrame:
+    """The measured spans alone."""
+    return measure_spans(spans, pixels, pages, tile).filter("measured").select("page_id", *SPAN_FIELDS)
+
+
 def span_contrast_approx(spans: DataFrame, background: tuple[int, int, int] = (255, 255, 255), page_points: Column | None = None, image_width: Column | None = None) -> DataFrame:
     """Contrast against one representative colour; boxes are not clamped and nothing is dropped."""
     rgb = hex_to_rgb(F.col("color"))
@@ -143,33 +168,30 @@ def span_contrast_approx(spans: DataFrame, background: tuple[int, int, int] = (2
     )
 
 
-def transparent_pages(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: int = TILE) -> DataFrame:
-    """Pages with a see-through pixel under some text. Only see-through pixels enter the join."""
-    hit = _covered(_boxes(spans, pages), pixels.filter(F.col("a") < 255), tile)
-    return hit.select("page_id").distinct()
-
-
-def page_contrast(pages: DataFrame, spans: DataFrame, approximated: DataFrame) -> DataFrame:
+def page_contrast(pages: DataFrame, spans: DataFrame) -> DataFrame:
     """Summary per page: the span with the least margin, the least ratio, and what passed.
 
-    ``spans`` is a span contrast table; ``approximated`` (page_id, method) lists the pages whose
-    measurement cannot be trusted. Pages without spans stay.
+    ``spans`` comes from ``measure_spans``. ``pages`` may carry a ``flaw``: the method text of pages
+    that were not measured from pixels. Pages without spans stay.
     """
     fields = F.struct("text", "color", "x0", "y0", "x1", "y1", "worst_ratio", "large_text", "threshold")
     margin = F.struct((F.col("worst_ratio") - F.col("threshold")).alias("m"), F.col("span_idx").alias("i"))
+    measured = F.col("measured")
     summary = spans.groupBy("page_id").agg(
-        F.count("*").alias("n_spans"), F.count_if(~F.col("passes")).alias("n_failing"),
-        F.min("worst_ratio").alias("min_worst_ratio"), F.min_by(fields, margin).alias("w"),
+        F.count_if(measured).alias("n_spans"), F.count_if(measured & ~F.col("passes")).alias("n_failing"),
+        F.min("worst_ratio").alias("min_worst_ratio"), F.min_by(fields, F.when(measured, margin)).alias("w"), F.bool_or("saw_transparency").alias("saw"),
     )
+    given = F.col("flaw") if "flaw" in pages.columns else F.lit(None).cast("string")
+    flaw = F.coalesce(F.col("flaw"), F.when(F.col("saw"), fv.CONTRAST_METHOD["transparent"]))
     n = F.coalesce("n_spans", F.lit(0))
     failing = F.coalesce("n_failing", F.lit(0))
     return (
-        pages.select("page_id").join(summary, "page_id", "left").join(approximated.select("page_id", "method"), "page_id", "left")
+        pages.select("page_id", given.alias("flaw")).join(summary, "page_id", "left").withColumn("flaw", flaw)
         .select(
             "page_id", n.alias("n_spans"), failing.alias("n_failing"), "min_worst_ratio",
             ((n > 0) & (failing == 0)).alias("all_pass"), (failing > 0).alias("any_fail"),
-            F.coalesce("method", F.lit(fv.CONTRAST_METHOD["exact"])).alias("method"),
-            F.col("method").isNotNull().alias("approximated"),
+            F.coalesce("flaw", F.lit(fv.CONTRAST_METHOD["exact"])).alias("method"),
+            F.col("flaw").isNotNull().alias("approximated"),
             F.col("w.text").alias("worst_text"), F.col("w.color").alias("worst_color"),
             F.col("w.x0").alias("worst_x0"), F.col("w.y0").alias("worst_y0"), F.col("w.x1").alias("worst_x1"), F.col("w.y1").alias("worst_y1"),
             F.col("w.worst_ratio").alias("worst_ratio"), F.col("w.large_text").alias("worst_large"), F.col("w.threshold").alias("worst_threshold"),
@@ -178,9 +200,8 @@ def page_contrast(pages: DataFrame, spans: DataFrame, approximated: DataFrame) -
 
 
 def measure_pages(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: int = TILE) -> DataFrame:
-    """Exact measurement of every page, untrusted where text lies on see-through pixels."""
-    seen = transparent_pages(spans, pixels, pages, tile).withColumn("method", F.lit(fv.CONTRAST_METHOD["transparent"]))
-    return page_contrast(pages, span_contrast(spans, pixels, pages, tile), seen)
+    """Exact measurement of every page, untrusted where text lies on see-through pixels. One pass over the pixels."""
+    return page_contrast(pages.drop("flaw"), measure_spans(spans, pixels, pages, tile))
 
 
 def lane_fallback(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: int = TILE) -> DataFrame:
@@ -189,16 +210,14 @@ def lane_fallback(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: i
     ``pages.layer_status``: ok; undecodable (spans known, image not); provider_error (no spans).
     Statuses are applied before the joins, so only pages with an image reach the pixels.
     """
-    status = pages.select("page_id", "layer_status")
-
-    def of(kind: str) -> DataFrame:
-        return spans.join(status.filter(F.col("layer_status") == kind).select("page_id"), "page_id", "left_semi")
-
     good = pages.filter(F.col("layer_status") == "ok")
-    rows = span_contrast(of("ok"), pixels, good, tile).unionByName(span_contrast_approx(of("undecodable")))
-    seen = transparent_pages(of("ok"), pixels, good, tile).withColumn("method", F.lit(fv.CONTRAST_METHOD["transparent"]))
-    without = status.filter(F.col("layer_status") != "ok").select("page_id", F.lit(fv.CONTRAST_METHOD["approx"]).alias("method"))
-    return page_contrast(pages, rows, seen.unionByName(without))
+    blind = pages.filter(F.col("layer_status") == "undecodable").select("page_id")
+    guessed = span_contrast_approx(spans.join(blind, "page_id", "left_semi"))
+    rows = measure_spans(spans, pixels, good, tile).unionByName(
+        guessed.withColumn("measured", F.lit(True)).withColumn("saw_transparency", F.lit(False))
+    )
+    flaw = F.when(F.col("layer_status") != "ok", fv.CONTRAST_METHOD["approx"])
+    return page_contrast(pages.withColumn("flaw", flaw), rows)
 
 
 def contrast_verdict(pages: DataFrame) -> DataFrame:

@@ -254,6 +254,6 @@ def report_gate(docs: DataFrame, rows: DataFrame, parked: DataFrame | None = Non
     )
 
 
-def pipeline_gate(gates: DataFrame, mode: Column) -> DataFrame:
+def gate_by_mode(gates: DataFrame, mode: Column) -> DataFrame:
     """An audit alone keeps its gate; the full pipeline always waits for a person."""
     return gates.withColumn("gate", F.when(mode == "audit", F.col("gate")).otherwise("pending_review"))

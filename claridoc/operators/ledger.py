@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claridoc.functions import fixed_values as fv
@@ -85,16 +85,12 @@ def record_decide(records: DataFrame, decisions: DataFrame) -> DataFrame:
 def review_sla(events: DataFrame, days: int = fv.REVIEW_DAYS, as_of: datetime | None = None) -> DataFrame:
     """What became of every review request: decided, superseded by a new request, elapsed or still open.
 
-    Only the deadline's span matters, so each event looks ahead inside its own slice of time and
-    the next: a long log splits into windows of two spans.
+    Only the next human event counts, so logs of any length split by day.
     """
     human = events.filter(F.col("event").isin(REQUESTED, APPROVED, REJECTED)).select("doc_id", "ts", "event_id", "event")
-    slice_ = F.floor(ordered.day_bucket("ts") / days)
-    both = human.withColumn("slice", F.explode(F.array(slice_, slice_ - 1)))
-    ahead = Window.partitionBy("doc_id", "slice").orderBy(*_ORDER)
-    seen = both.withColumn("next_ts", F.lead("ts").over(ahead)).withColumn("next_event", F.lead("event").over(ahead))
+    seen = ordered.next_row(human, ["doc_id"], _ORDER, ordered.day_bucket("ts"), ["ts", "event"], "next")
     deadline = F.col("ts") + F.expr(f"INTERVAL {days} DAYS")
-    requests = seen.filter((F.col("event") == REQUESTED) & (F.col("slice") == slice_)).withColumn("deadline", deadline)
+    requests = seen.filter(F.col("event") == REQUESTED).select("*", deadline.alias("deadline"), F.col("next.ts").alias("next_ts"), F.col("next.event").alias("next_event"))
     in_time = F.col("next_ts") <= F.col("deadline")
     later = F.lit(False) if as_of is None else F.col("deadline") > F.lit(as_of)
     return requests.select(

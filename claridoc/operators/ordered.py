@@ -76,6 +76,19 @@ def last_before(
     )
 
 
+def next_row(df: DataFrame, keys: list[str], order: list[str], bucket: Column, values: list[str], out: str) -> DataFrame:
+    """STRUCT of ``values`` of the row that follows within the key, NULL for the last one."""
+    rows, local, across = _bucketed(df.withColumn("__v", F.struct(*values)), keys, order, bucket)
+    heads = rows.groupBy(*keys, _BUCKET).agg(F.min_by("__v", F.struct(*order)).alias("__h"))
+    following = heads.select(*keys, _BUCKET, F.lead("__h").over(across).alias("__carry"))
+    return (
+        rows.withColumn(out, F.lead("__v").over(local))
+        .join(following, [*keys, _BUCKET])
+        .withColumn(out, F.coalesce(F.col(out), F.col("__carry")))
+        .drop(_BUCKET, "__carry", "__v")
+    )
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], values: list[str]) -> DataFrame:
     """One row per key: the ``values`` of the row that sorts first. Partial aggregation, no window."""
     pick = F.min_by(F.struct(*values), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))

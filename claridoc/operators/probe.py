@@ -106,27 +106,30 @@ def table_header_coverage(elements: DataFrame, max_depth: int = 60) -> DataFrame
     )
 
 
-def subtree_text(nodes: DataFrame) -> DataFrame:
+def subtree_text(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
     """Text of every element's subtree, joined by blanks in element order.
 
-    ``nodes``: doc_id, elem, parent_elem, text. The (element, ancestor) pairs grow by doubling;
-    their number is elements times depth. A root's text is the text of its whole document, which
-    the result asks for.
+    ``nodes``: doc_id, elem, parent_elem, text. The (element, ancestor) pairs grow by doubling and
+    carry ids only; their number is elements times depth. A root's text is the text of its whole
+    document, which the result asks for. ``max_depth`` only ends the search in broken, circular data.
     """
-    base = nodes.select("doc_id", "elem", "parent_elem", trimmed(F.col("text")).alias("t"), "text")
-    pairs = cut_lineage(base.filter(F.col("t") != "").select("doc_id", "elem", F.col("elem").alias("anc"), "text"))
+    spoken = nodes.filter(trimmed(F.col("text")) != "").select("doc_id", "elem", "text")
+    pairs = cut_lineage(spoken.select("doc_id", "elem", F.col("elem").alias("anc")))
     up = cut_lineage(
-        base.filter(F.coalesce("parent_elem", F.lit(0)) != 0).select("doc_id", "elem", F.col("parent_elem").alias("up"))
+        nodes.filter(F.coalesce("parent_elem", F.lit(0)) != 0).select("doc_id", "elem", F.col("parent_elem").alias("up"))
     )
-    while not up.isEmpty():
+    span = 1
+    while span <= max_depth and not up.isEmpty():
         climb = up.withColumnRenamed("elem", "anc")
-        lifted = pairs.join(climb, ["doc_id", "anc"]).select("doc_id", "elem", F.col("up").alias("anc"), "text")
+        lifted = pairs.join(climb, ["doc_id", "anc"]).select("doc_id", "elem", F.col("up").alias("anc"))
         pairs = cut_lineage(pairs.unionByName(lifted))
         above = up.select("doc_id", F.col("elem").alias("up"), F.col("up").alias("up2"))
         up = cut_lineage(up.join(above, ["doc_id", "up"]).select("doc_id", "elem", F.col("up2").alias("up")))
+        span *= 2
     ordered = F.array_sort(F.collect_list(F.struct("elem", "text")))
     return (
-        pairs.groupBy("doc_id", "anc")
+        pairs.join(spoken, ["doc_id", "elem"])
+        .groupBy("doc_id", "anc")
         .agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("text"))
         .withColumnRenamed("anc", "elem")
         .join(nodes.select("doc_id", "elem"), ["doc_id", "elem"], "left_semi")

@@ -267,6 +267,6 @@ def legacy_card(docs: DataFrame, plan: DataFrame, second: DataFrame) -> DataFram
     )
 
 
-def pipeline_components(spark: SparkSession) -> DataFrame:
+def step_components(spark: SparkSession) -> DataFrame:
     """Fixed: the components of the three steps."""
     return spark.createDataFrame([(s, k, c, fv.STEP_WEIGHT[s], fv.STEP_LABEL[s], fv.STEP_REPORT_KEYS[s]) for s, k, c in fv.STEP_COMPONENTS], "step string, kind string, component string, routine_weight double, label string, report_keys array<string>")

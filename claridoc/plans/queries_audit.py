@@ -143,8 +143,8 @@ query(
        LEFT JOIN (SELECT doc_id, COUNT(*) AS k FROM labels WHERE toxic = 1 GROUP BY doc_id) p ON d.doc_id = p.doc_id""",
 )
 query(
-    "c11_pipeline_gate",
-    lambda d: criteria.pipeline_gate(
+    "c11_gate_by_mode",
+    lambda d: criteria.gate_by_mode(
         criteria.report_gate(d("documents"), d("contrast_lane")).join(d("documents").select("doc_id", "source"), "doc_id"),
         F.when(F.col("source") < "src5", "audit").otherwise("full"),
     ).select("doc_id", "gate"),

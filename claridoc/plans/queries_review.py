@@ -148,8 +148,8 @@ CHECK_VIEWS["c_steps"] = f"""
     SELECT COALESCE(s.doc_id, m.doc_id) AS doc_id, COALESCE(s.step, m.step) AS step, COALESCE(m.status, 'pending') AS status, started_at, done_at
     FROM (SELECT DISTINCT doc_id, unnest([{', '.join(quoted(s) for s in fv.STEPS)}]) AS step FROM runs) s FULL OUTER JOIN c_step_marks m ON s.doc_id = m.doc_id AND s.step = m.step"""
 query(
-    "d12_pipeline_components",
-    lambda d: steps(d).join(F.broadcast(remediation.pipeline_components(d.spark)), "step").groupBy("step", "kind", "routine_weight", "status").agg(
+    "d12_step_components",
+    lambda d: steps(d).join(F.broadcast(remediation.step_components(d.spark)), "step").groupBy("step", "kind", "routine_weight", "status").agg(
         F.countDistinct("component").alias("components"), F.countDistinct("doc_id").alias("documents")
     ),
     f"""SELECT s.step, kind, routine_weight, status, COUNT(DISTINCT component) AS components, COUNT(DISTINCT doc_id) AS documents FROM c_steps s JOIN (
