@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -30,12 +31,11 @@ def _lead(gap: str) -> tuple[list[str], str]:
     return ([f"<p>{text}</p>"] if text else []), rest
 
 
-def split_blocks(buffer: str) -> tuple[list[str], str]:
+def scan_blocks(text: str) -> tuple[list[str], str]:
     """Finished blocks and the unfinished tail, in one pass over the tags.
 
     A block ends where opened and closed tags balance again; a void tag between blocks is a block.
     """
-    text = strip_fence(buffer)
     blocks: list[str] = []
     done, begin, depth, inside = 0, 0, 0, False
     for m in _TAG.finditer(text):
@@ -61,6 +61,42 @@ def split_blocks(buffer: str) -> tuple[list[str], str]:
     return blocks, tail
 
 
+def split_blocks(buffer: str) -> tuple[list[str], str]:
+    """The same for a buffer that a code fence may enclose."""
+    return scan_blocks(strip_fence(buffer))
+
+
+def scan_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of chunks sorted by document and number; only the open tail is kept between batches.
+
+    The opening fence is taken off as long as nothing was found yet, the closing one at the end of
+    a document, so the cut into batches does not matter.
+    """
+    doc, rest, count = None, "", 0
+
+    def found(blocks: list[str], start: int) -> list[tuple]:
+        return [(doc, start + i, b) for i, b in enumerate(blocks, 1)]
+
+    def tail() -> list[str]:
+        end = strip_fence(rest).strip(fv.WHITESPACE)
+        return [end] if end else []
+
+    for batch in batches:
+        out: list[tuple] = []
+        runs = (batch["doc_id"] != batch["doc_id"].shift()).cumsum()
+        for _, part in batch.groupby(runs, sort=False):
+            if part["doc_id"].iloc[0] != doc:
+                out += found(tail(), count)
+                doc, rest, count = part["doc_id"].iloc[0], "", 0
+            buffer = rest + "".join(part["chunk"])
+            blocks, after = scan_blocks(buffer if count else _FENCE_OPEN.sub("", buffer, count=1))
+            rest = after if blocks or count else buffer
+            out += found(blocks, count)
+            count += len(blocks)
+        yield pd.DataFrame(out, columns=["doc_id", "block_no", "html"])
+    yield pd.DataFrame(found(tail(), count), columns=["doc_id", "block_no", "html"])
+
+
 def all_blocks(text: str) -> list[str]:
     """Blocks of a finished text; what is left at the end counts as a block."""
     blocks, rest = split_blocks(text)

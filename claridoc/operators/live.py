@@ -133,10 +133,14 @@ def figure_countdown(pending: DataFrame, ready: DataFrame) -> DataFrame:
 
 
 def chunk_blocks(chunks: DataFrame) -> DataFrame:
-    """Streamed chunks (doc_id, chunk_no, chunk) to blocks. The unit of work is one document's text."""
-    ordered_ = F.array_sort(F.collect_list(F.struct("chunk_no", "chunk")))
-    whole = chunks.groupBy("doc_id").agg(F.array_join(F.transform(ordered_, lambda c: c["chunk"]), "").alias("html"))
-    return extract_blocks(whole)
+    """Streamed chunks (doc_id, chunk_no, chunk) to blocks: doc_id, block_no, html.
+
+    Where a block ends depends on everything before it, so a document is read in order by one task;
+    but it is read through, not gathered: memory holds one Arrow batch and the open block.
+    """
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    sorted_ = chunks.select("doc_id", "chunk_no", "chunk").repartition("doc_id").sortWithinPartitions("doc_id", "chunk_no")
+    return sorted_.mapInPandas(block_scan.scan_chunks, f"doc_id {kind}, block_no bigint, html string")
 
 
 def extract_blocks(docs: DataFrame) -> DataFrame:

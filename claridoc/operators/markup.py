@@ -170,8 +170,11 @@ class _Cleaner(HTMLParser):
                 kept.append((name, value))
             else:
                 self.counts["attributes"] += 1
-        text = "".join(f' {n}="{(v or "").replace("&", "&amp;").replace(chr(34), "&quot;")}"' for n, v in kept)
-        self.out.append(f"<{tag}{text}>")
+        raw = self.get_starttag_text()
+        if len(kept) < len(attrs):
+            text = "".join(f' {n}="{(v or "").replace("&", "&amp;").replace(chr(34), "&quot;")}"' for n, v in kept)
+            raw = f"<{tag}{text} />" if raw.endswith("/>") else f"<{tag}{text}>"
+        self.out.append(raw)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

@@ -11,13 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# the key as one struct: never NULL itself, so rows with NULL keys stay and form a key of their own
+_KEY = "__key"
 _BUCKET = "__bucket"
+_BOTH = [_KEY, _BUCKET]
 
 
 def _bucketed(df: DataFrame, keys: list[str], order: list[str], bucket: Column):
-    local = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(_BUCKET)
-    return df.withColumn(_BUCKET, bucket), local, across
+    local = Window.partitionBy(*_BOTH).orderBy(*order)
+    across = Window.partitionBy(_KEY).orderBy(_BUCKET)
+    return df.withColumn(_KEY, F.struct(*keys)).withColumn(_BUCKET, bucket), local, across
 
 
 def day_bucket(ts: str) -> Column:
@@ -28,14 +31,14 @@ def day_bucket(ts: str) -> Column:
 def row_number(df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str) -> DataFrame:
     """Dense 1-based position of each row within its key."""
     rows, local, across = _bucketed(df, keys, order, bucket)
-    sizes = rows.groupBy(*keys, _BUCKET).agg(F.count("*").alias("__n"))
+    sizes = rows.groupBy(*_BOTH).agg(F.count("*").alias("__n"))
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, _BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    offsets = sizes.select(*_BOTH, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     return (
         rows.withColumn(out, F.row_number().over(local).cast("bigint"))
-        .join(offsets, [*keys, _BUCKET])
+        .join(offsets, _BOTH)
         .withColumn(out, F.col(out) + F.col("__before"))
-        .drop(_BUCKET, "__before")
+        .drop(*_BOTH, "__before")
     )
 
 
@@ -44,15 +47,15 @@ def running_sum(
 ) -> DataFrame:
     """Sum of ``value`` over the rows up to and including the current one."""
     rows, local, across = _bucketed(df.withColumn("__v", value), keys, order, bucket)
-    sums = rows.groupBy(*keys, _BUCKET).agg(F.sum("__v").alias("__s"))
+    sums = rows.groupBy(*_BOTH).agg(F.sum("__v").alias("__s"))
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, _BUCKET, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    offsets = sums.select(*_BOTH, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.withColumn(out, F.sum("__v").over(upto))
-        .join(offsets, [*keys, _BUCKET])
+        .join(offsets, _BOTH)
         .withColumn(out, F.col(out) + F.col("__before"))
-        .drop(_BUCKET, "__before", "__v")
+        .drop(*_BOTH, "__before", "__v")
     )
 
 
@@ -62,30 +65,30 @@ def last_before(
     """The latest non-NULL ``value`` among the earlier rows of the key."""
     rows, local, across = _bucketed(df.withColumn("__v", value), keys, order, bucket)
     position = F.struct(*order)
-    ends = rows.groupBy(*keys, _BUCKET).agg(
+    ends = rows.groupBy(*_BOTH).agg(
         F.max_by(F.when(F.col("__v").isNotNull(), F.col("__v")), F.when(F.col("__v").isNotNull(), position)).alias("__e")
     )
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, _BUCKET, F.last("__e", ignorenulls=True).over(before).alias("__carry"))
+    carried = ends.select(*_BOTH, F.last("__e", ignorenulls=True).over(before).alias("__carry"))
     earlier = local.rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn(out, F.last("__v", ignorenulls=True).over(earlier))
-        .join(carried, [*keys, _BUCKET])
+        .join(carried, _BOTH)
         .withColumn(out, F.coalesce(F.col(out), F.col("__carry")))
-        .drop(_BUCKET, "__carry", "__v")
+        .drop(*_BOTH, "__carry", "__v")
     )
 
 
 def next_row(df: DataFrame, keys: list[str], order: list[str], bucket: Column, values: list[str], out: str) -> DataFrame:
     """STRUCT of ``values`` of the row that follows within the key, NULL for the last one."""
     rows, local, across = _bucketed(df.withColumn("__v", F.struct(*values)), keys, order, bucket)
-    heads = rows.groupBy(*keys, _BUCKET).agg(F.min_by("__v", F.struct(*order)).alias("__h"))
-    following = heads.select(*keys, _BUCKET, F.lead("__h").over(across).alias("__carry"))
+    heads = rows.groupBy(*_BOTH).agg(F.min_by("__v", F.struct(*order)).alias("__h"))
+    following = heads.select(*_BOTH, F.lead("__h").over(across).alias("__carry"))
     return (
         rows.withColumn(out, F.lead("__v").over(local))
-        .join(following, [*keys, _BUCKET])
+        .join(following, _BOTH)
         .withColumn(out, F.coalesce(F.col(out), F.col("__carry")))
-        .drop(_BUCKET, "__carry", "__v")
+        .drop(*_BOTH, "__carry", "__v")
     )
 
 

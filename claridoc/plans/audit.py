@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claridoc.operators import contrast, criteria, reconcile, rollup
+from claridoc.functions.text import wrap_table
+from claridoc.operators import contrast, criteria, live, reconcile, remediation, rollup
 from claridoc.plans.registry import Data
 
 
@@ -52,3 +53,22 @@ def measured_rollup(data: Data) -> DataFrame:
     lanes = reconcile.assess_validator(data("validator_lanes"))
     results = criteria.audit_array(data("probe_facts"), lane, lanes)
     return rollup.rollup_summary(rollup.sc_verdicts_of(results))
+
+
+def remediation_report(data: Data) -> DataFrame:
+    """Audit, repair status, comparison and gate of the full run, one row per document."""
+    rows, second = audit_rows(data), data("second_facts")
+    delta = remediation.validation_delta(rows, second, criteria.structure_only(second))
+    status = remediation.remediation_status(data("probe_facts"), second)
+    gates = criteria.gate_by_mode(criteria.audit_gate(rows), F.lit("full"))
+    return gates.join(status.select("doc_id", "status"), "doc_id").join(delta.select("doc_id", "before", "after"), "doc_id")
+
+
+def live_twin(data: Data) -> DataFrame:
+    """Chunks to blocks to events to the rendered page, one row per document."""
+    blocks = live.chunk_blocks(data("html_chunks"))
+    events = blocks.select(
+        F.col("doc_id").alias("session_id"), F.col("block_no").alias("seq"), F.lit("append").alias("type"), F.lit(None).cast("string").alias("target"),
+        wrap_table(F.col("html")).alias("html"),
+    )
+    return live.render_body(live.snapshot(events))

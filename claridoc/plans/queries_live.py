@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claridoc.functions import text
 from claridoc.operators import geometry, live, markup, probe
+from claridoc.plans import audit
 from claridoc.plans.check_views import CHECK_VIEWS
 from claridoc.plans.registry import query
 
@@ -230,3 +231,9 @@ query(
     ),
     "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS k FROM events",
 )
+query(
+    "e2e_live_twin",
+    audit.live_twin,
+    r"""SELECT doc_id AS session_id, string_agg(CASE WHEN html LIKE '<table%' THEN '<div id="blk-' || block_no || '" class="a11y-table-scroll">' || html || '</div>'
+              ELSE regexp_replace(html, '^<([a-z0-9]+)', '<\1 id="blk-' || block_no || '"') END, chr(10) || '      ' ORDER BY block_no) AS body FROM c_blocks GROUP BY doc_id""",
+)

@@ -275,3 +275,8 @@ query(
     """SELECT start, event, COUNT(*) AS n FROM (SELECT event, unnest([b, b - INTERVAL 6 HOUR, b - INTERVAL 12 HOUR, b - INTERVAL 18 HOUR]) AS start
        FROM (SELECT event, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS b FROM review_events) a) w GROUP BY ALL""",
 )
+query(
+    "e2e_remediation_report",
+    audit.remediation_report,
+    """SELECT k.doc_id, bad AS fail_count, 'pending_review' AS gate, CASE WHEN url IS NULL THEN 'candidate' ELSE 'remediated' END AS status, before, after FROM c_counts k JOIN c_delta d ON k.doc_id = d.doc_id""",
+)

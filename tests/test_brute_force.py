@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from claridoc.functions.blocks import all_blocks
 from claridoc.functions.text import existing_block_id
 from claridoc.operators import contrast, ledger, live, ordered, probe
 
@@ -16,7 +17,7 @@ START = datetime(2024, 1, 1)
 def log_rows(seed, n=400, keys=7):
     """Rows of which a third belong to key 0, spread over ten days, with ties in time."""
     rng = random.Random(seed)
-    return [(0 if rng.random() < 0.34 else rng.randrange(1, keys), START + timedelta(minutes=rng.randrange(14400) // 30 * 30), i, rng.choice([None, "a", "b"]), rng.randrange(5)) for i in range(n)]
+    return [(0 if rng.random() < 0.34 else rng.choice([None, *range(1, keys)]), START + timedelta(minutes=rng.randrange(14400) // 30 * 30), i, rng.choice([None, "a", "b"]), rng.randrange(5)) for i in range(n)]
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,21 @@ def test_top_k_and_last(log):
     assert last == {k: max((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2]))[2] for k in last}
 
 
+def test_chunks_in_any_batch_size(spark):
+    rng = random.Random(4)
+    parts = ["<h1>A</h1>", " loose ", "<ul><li>a</li></ul>", "<hr/>", "<p>x <b>y</b></p>", "```", "<table><tr><td>", "</td></tr></table>", "\n"]
+    texts = {d: rng.choice(["", "```html\n"]) + "".join(rng.choice(parts) for _ in range(30)) + rng.choice(["", "\n```"]) for d in range(12)}
+    rows = [(d, i, t[i * 3 : i * 3 + 3]) for d, t in texts.items() for i in range(-(-len(t) // 3))]
+    df = spark.createDataFrame(rows, "doc_id long, chunk_no long, chunk string")
+    want = {(d, i, b) for d, t in texts.items() for i, b in enumerate(all_blocks(t), 1)}
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert {tuple(r) for r in live.chunk_blocks(df).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def live_events(seed, n=300):
     rng = random.Random(seed)
     out, seqs = [], {}

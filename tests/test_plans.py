@@ -10,7 +10,7 @@ from claridoc.operators import contrast
 
 FOLDER = "/root/testdata/sf0.001"
 EAGER = [n for n in catalog.queries() if "stream" in n or n.startswith("i10")]
-PYTHON = {"f2_short_hash", "f3_block_id", "f6_sanitize_pages", "f7_safe_filename", "s10_chunk_blocks", "s11_extract_blocks", "s19_inline_budget"}
+PYTHON = {"f2_short_hash", "f3_block_id", "f6_sanitize_pages", "f7_safe_filename", "s10_chunk_blocks", "s11_extract_blocks", "s19_inline_budget", "e2e_live_twin"}
 
 
 def plan_of(df):
@@ -58,4 +58,4 @@ def test_top_lists_are_limited_before_the_shuffle(spark):
 
 def test_hash_key_is_salted_by_day(spark):
     plan = plan_of(catalog.queries()["l1_ledger"](spark, FOLDER))
-    assert re.search(r"hashpartitioning\(doc_id#\w+, __bucket#\w+", plan)
+    assert re.search(r"hashpartitioning\(__key#\w+, __bucket#\w+", plan)

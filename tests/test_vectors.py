@@ -179,3 +179,19 @@ def test_frames(spark):
     got = [r[0] for r in df.select(live.sse_frame(F.col("seq"), F.col("type"), phase=F.col("phase"), target=F.col("target"), html=F.col("html"))).collect()]
     assert got[0] == 'id: 7\nevent: replace\ndata: {"type":"replace","target":"#block-3","html":"<h2 id=\\"block-3\\">Hi</h2>"}\n\n'
     assert got[1] == 'id: 1\nevent: progress\ndata: {"type":"progress","phase":"Structuring"}\n\n'
+
+
+def test_files(spark, tmp_path):
+    from claridoc.sources.tables import append_log, read_files, write_report
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF-1.7 x")
+    (tmp_path / "in" / "deep" / "b.pdf").write_bytes(b"<html>")
+    (tmp_path / "in" / "c.txt").write_bytes(b"%PDF-")
+    files = read_files(spark, str(tmp_path / "in"))
+    named = files.withColumn("content_type", F.lit("application/octet-stream")).withColumn("page_count", F.lit(None).cast("int"))
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.ok) for r in ingest.admit_documents(named).collect()}
+    assert got == {"a.pdf": (10, True), "b.pdf": (6, False)}
+    write_report(files, str(tmp_path / "out"))
+    append_log(files, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
