@@ -65,27 +65,40 @@ def sequence_stream(events: DataFrame) -> DataFrame:
 
 
 class Snapshot(_Processor):
-    """Blocks per session by block id; emits every change as (ord, html), a removed block with no html."""
+    """Places of the blocks per session by block id; emits every change as (ord, html), a removed block with no html.
+
+    Each id is read and written once per micro-batch, however often it changed.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.blocks = handle.getMapState("blocks", "id string", "ords array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues):
+        places: dict[str, list[int]] = {}
+
+        def at(block: str) -> list[int]:
+            if block not in places:
+                name = (block,)
+                places[block] = [int(o) for o in self.blocks.getValue(name)[0]] if self.blocks.containsKey(name) else []
+            return places[block]
+
         out = []
         for seq, kind, block, html in _in_order(rows, "seq")[["seq", "type", "block_id", "html"]].itertuples(index=False):
-            name = (block,)
+            seq = int(seq)
             if kind == "append":
-                if self.blocks.containsKey((fv.LOADING_BLOCK,)):
-                    gone = self.blocks.getValue((fv.LOADING_BLOCK,))[0]
-                    out += [(seq, o, fv.LOADING_BLOCK, None) for o in gone]
-                    self.blocks.removeKey((fv.LOADING_BLOCK,))
-                born = list(self.blocks.getValue(name)[0]) if self.blocks.containsKey(name) else []
-                self.blocks.updateValue(name, (born + [int(seq)],))
+                out += [(seq, o, fv.LOADING_BLOCK, None) for o in at(fv.LOADING_BLOCK)]
+                at(fv.LOADING_BLOCK).clear()
+                at(block).append(seq)
                 out.append((seq, seq, block, html))
             else:
-                if not self.blocks.containsKey(name):
-                    self.blocks.updateValue(name, ([int(seq)],))
-                out += [(seq, int(o), block, html) for o in self.blocks.getValue(name)[0]]
+                if not at(block):
+                    at(block).append(seq)
+                out += [(seq, o, block, html) for o in at(block)]
+        for block, ords in places.items():
+            if ords:
+                self.blocks.updateValue((block,), (ords,))
+            elif self.blocks.containsKey((block,)):
+                self.blocks.removeKey((block,))
         yield from _frames([(_one(key), *r) for r in out], ["session_id", "seq", "ord", "block_id", "html"])
 
 
@@ -142,15 +155,16 @@ class Countdown(_Processor):
         self.left = handle.getValueState("left", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues):
+        left = self.left.get()[0] if self.left.exists() else None
         out = []
-        for fig, pending in _in_order(rows, "at", "fig_id")[["fig_id", "pending"]].itertuples(index=False):
+        for fig, pending in _in_order(rows, "at", "fig_id").drop_duplicates("fig_id")[["fig_id", "pending"]].itertuples(index=False):
             if self.seen.containsKey((fig,)):
                 continue
             self.seen.updateValue((fig,), (True,))
-            before = self.left.get()[0] if self.left.exists() else int(pending)
-            remaining = max(0, before - 1)
-            self.left.update((remaining,))
-            out.append((fig, remaining, remaining == 0))
+            left = max(0, (int(pending) if left is None else left) - 1)
+            out.append((fig, left, left == 0))
+        if out:
+            self.left.update((left,))
         yield from _frames([(_one(key), *r) for r in out], ["session_id", "fig_id", "remaining", "finished"])
 
 
@@ -253,26 +267,44 @@ def sla_stream(events: DataFrame, days: int = fv.REVIEW_DAYS, delay: str = "1 da
 
 
 class Limiter(_Processor):
-    """Requests seen per key and window; the state goes when the window is past."""
+    """Requests seen per key in its open windows; windows behind the watermark are forgotten."""
 
     def __init__(self, limit: int, seconds: int):
         self.limit, self.seconds = limit, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.count = handle.getValueState("count", "n bigint")
+        self.open = handle.getValueState("open", "slots array<bigint>, counts array<bigint>")
+
+    def _known(self) -> dict[int, int]:
+        if not self.open.exists():
+            return {}
+        slots, counts = self.open.get()
+        return {int(s): int(c) for s, c in zip(slots, counts)}
+
+    def _keep(self, known: dict[int, int], past_ms: int) -> None:
+        left = {s: c for s, c in known.items() if (s + self.seconds) * 1000 > past_ms}
+        if left:
+            self.open.update((list(left), list(left.values())))
+            self.handle.registerTimer((max(left) + self.seconds) * 1000)
+        else:
+            self.open.clear()
 
     def handleInputRows(self, key, rows, timerValues):
-        before = self.count.get()[0] if self.count.exists() else 0
+        known = self._known()
         batch = _in_order(rows, "at", "request_id")
-        batch["n"] = range(before + 1, before + 1 + len(batch))
-        self.count.update((before + len(batch),))
-        self.handle.registerTimer((int(key[1]) + self.seconds) * 1000)
-        out = [(int(r), key[0], int(key[1]), int(n), bool(n <= self.limit)) for r, n in zip(batch["request_id"], batch["n"])]
+        out = []
+        for request, slot in zip(batch["request_id"], batch["slot"]):
+            slot = int(slot)
+            known[slot] = n = known.get(slot, 0) + 1
+            out.append((int(request), _one(key), slot, n, n <= self.limit))
+        self._keep(known, timerValues.getCurrentWatermarkInMs())
         yield from _frames(out, ["request_id", "key", "slot", "n", "ok"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.count.clear()
+        known = self._known()
+        if known:
+            self._keep(known, expiredTimerInfo.getExpiryTimeInMs())
         yield from ()
 
 
@@ -283,6 +315,6 @@ def rate_limit_stream(requests: DataFrame, limit: int = 15, seconds: int = 60, d
         requests.withWatermark("ts", delay).withColumn("key", F.coalesce("key", F.lit("anon"))).withColumn("at", at)
         .withColumn("slot", F.floor(at / (seconds * MICROS)) * seconds)
     )
-    return slotted.groupBy("key", "slot").transformWithStateInPandas(
+    return slotted.groupBy("key").transformWithStateInPandas(
         Limiter(limit, seconds), "request_id bigint, key string, slot bigint, n bigint, ok boolean", "append", "EventTime"
     )
