@@ -21,7 +21,7 @@ def _latest(*columns: str) -> Column:
 
 def ledger(events: DataFrame) -> DataFrame:
     """Position of each event in its document's log, by arrival."""
-    return ordered.row_number(events, ["doc_id"], _ORDER, ordered.day_bucket("ts"), "seq")
+    return ordered.row_number(events, ["doc_id"], _ORDER, ordered.time_bucket("ts"), "seq")
 
 
 def latest_rows(updates: DataFrame, values: list[str]) -> DataFrame:
@@ -51,7 +51,7 @@ def gate_fsm(events: DataFrame) -> DataFrame:
     kinds = events.filter(F.col("event").isin(REQUESTED, APPROVED, REJECTED))
     held = F.coalesce("held", F.lit(False))
     mark = F.when(F.col("event") == REQUESTED, "request").when(~held, "decision")
-    seen = ordered.last_before(kinds, ["doc_id"], _ORDER, ordered.day_bucket("ts"), mark, "__before")
+    seen = ordered.last_before(kinds, ["doc_id"], _ORDER, ordered.time_bucket("ts"), mark, "__before")
     open_ = F.coalesce(F.col("__before") == "request", F.lit(False))
     outcome = (
         F.when(F.col("event") == REQUESTED, "pending_review").when(~open_, "no open gate").when(held, "deferred")
@@ -85,10 +85,10 @@ def record_decide(records: DataFrame, decisions: DataFrame) -> DataFrame:
 def review_sla(events: DataFrame, days: int = fv.REVIEW_DAYS, as_of: datetime | None = None) -> DataFrame:
     """What became of every review request: decided, superseded by a new request, elapsed or still open.
 
-    Only the next human event counts, so logs of any length split by day.
+    Only the next human event counts, so logs of any length split by hour.
     """
     human = events.filter(F.col("event").isin(REQUESTED, APPROVED, REJECTED)).select("doc_id", "ts", "event_id", "event")
-    seen = ordered.next_row(human, ["doc_id"], _ORDER, ordered.day_bucket("ts"), ["ts", "event"], "next")
+    seen = ordered.next_row(human, ["doc_id"], _ORDER, ordered.time_bucket("ts"), ["ts", "event"], "next")
     deadline = F.col("ts") + F.expr(f"INTERVAL {days} DAYS")
     requests = seen.filter(F.col("event") == REQUESTED).select("*", deadline.alias("deadline"), F.col("next.ts").alias("next_ts"), F.col("next.event").alias("next_event"))
     in_time = F.col("next_ts") <= F.col("deadline")
@@ -170,10 +170,10 @@ def context_summary(gates: DataFrame, steps: DataFrame, rollups: DataFrame, rows
 
 
 def chat_turns(turns: DataFrame) -> DataFrame:
-    """Turns as kept: trimmed, at most 2000 characters from people, none empty."""
-    text = trimmed(F.coalesce("text", F.lit("")))
-    kept = F.when(F.col("role") == "user", F.substring(text, 1, 2000)).otherwise(text)
-    return turns.withColumn("text", kept).filter(F.col("text") != "")
+    """Turns as kept: what people wrote trimmed, cut at 2000 characters and dropped when empty; answers as they are."""
+    mine = F.col("role") == "user"
+    kept = F.when(mine, F.substring(trimmed(F.coalesce("text", F.lit(""))), 1, 2000)).otherwise(F.col("text"))
+    return turns.withColumn("text", kept).filter(~mine | (F.col("text") != ""))
 
 
 def chat_state(turns: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def number_plain(c: Column) -> Column:
 
 def sequence_events(events: DataFrame) -> DataFrame:
     """Position of each event within its session, by time then id."""
-    return ordered.row_number(events, ["session_id"], ["ts", "event_id"], ordered.day_bucket("ts"), "seq")
+    return ordered.row_number(events, ["session_id"], ["ts", "event_id"], ordered.time_bucket("ts"), "seq")
 
 
 def addressed(events: DataFrame) -> DataFrame:

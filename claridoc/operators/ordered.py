@@ -1,7 +1,7 @@
 """Order-dependent columns that survive hot keys.
 
 A plain window hands every row of one key to one task. These helpers cut each key into buckets
-along its own order (a day, a range of numbers), work inside the buckets, and carry one row per
+along its own order (an hour, a range of numbers), work inside the buckets, and carry one row per
 bucket forward. The result equals the plain window; only the work is split. ``bucket`` must grow
 with the order: a later row never falls in an earlier bucket.
 """
@@ -23,9 +23,9 @@ def _bucketed(df: DataFrame, keys: list[str], order: list[str], bucket: Column):
     return df.withColumn(_KEY, F.struct(*keys)).withColumn(_BUCKET, bucket), local, across
 
 
-def day_bucket(ts: str) -> Column:
-    """Days since the epoch; works for both timestamp types."""
-    return F.datediff(F.col(ts), F.lit("1970-01-01").cast("date"))
+def time_bucket(ts: str, seconds: int = 3600) -> Column:
+    """Number of the hour (or another span) a time falls in; works for both timestamp types."""
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
 
 
 def row_number(df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str) -> DataFrame:

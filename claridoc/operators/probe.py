@@ -56,21 +56,21 @@ def tree_depths(elements: DataFrame, max_depth: int = 200) -> DataFrame:
     """
     nodes = elements.select("doc_id", "elem", F.coalesce("parent_elem", F.lit(0)).alias("up")).dropDuplicates(["doc_id", "elem"])
     is_root = F.col("up") == 0
-    done = cut_lineage(nodes.filter(is_root).select("doc_id", "elem", F.lit(0).cast("bigint").alias("depth")))
+    found = [cut_lineage(nodes.filter(is_root).select("doc_id", "elem", F.lit(0).cast("bigint").alias("depth")))]
     # hop: levels climbed so far to reach `up`
     open_ = cut_lineage(nodes.filter(~is_root).select("doc_id", "elem", "up", F.lit(1).cast("bigint").alias("hop")))
     span = 1
     while span <= max_depth and not open_.isEmpty():
-        resolved = done.select("doc_id", F.col("elem").alias("up"), "depth")
+        resolved = union_all(found).select("doc_id", F.col("elem").alias("up"), "depth")
         arrived = open_.join(resolved, ["doc_id", "up"]).select("doc_id", "elem", (F.col("depth") + F.col("hop")).alias("depth"))
         mid = open_.select("doc_id", F.col("elem").alias("up"), F.col("up").alias("up2"), F.col("hop").alias("hop2"))
         climbing = open_.join(mid, ["doc_id", "up"]).select(
             "doc_id", "elem", F.col("up2").alias("up"), (F.col("hop") + F.col("hop2")).alias("hop")
         )
-        done = cut_lineage(done.unionByName(arrived))
+        found.append(cut_lineage(arrived))
         open_ = cut_lineage(climbing)
         span *= 2
-    return done.filter(F.col("depth") <= max_depth)
+    return union_all(found).filter(F.col("depth") <= max_depth)
 
 
 def tree_reach(elements: DataFrame, max_depth: int = 200) -> DataFrame:

@@ -78,8 +78,17 @@ def sc_verdicts(docs: DataFrame, findings: DataFrame) -> DataFrame:
 
 def sc_verdicts_of(results: DataFrame) -> DataFrame:
     """The same from one array of results per document (the audit's own form): no shuffle at all."""
-    entry = lambda c: F.struct(F.split_part(c["criterion"], F.lit(" "), F.lit(1)), F.struct(*[c[k].alias(k) for k in _FOUND]))
-    return _spread(results.select("doc_id", F.map_from_entries(F.transform("criteria", entry)).alias("found")))
+    codes = F.transform("criteria", lambda c: F.split_part(c["criterion"], F.lit(" "), F.lit(1)))
+
+    def is_last(c: Column, i: Column) -> Column:
+        later = F.slice("codes", i + 2, F.size("codes"))
+        return ~F.array_contains(later, F.split_part(c["criterion"], F.lit(" "), F.lit(1)))
+
+    def entry(c: Column) -> Column:
+        return F.struct(F.split_part(c["criterion"], F.lit(" "), F.lit(1)), F.struct(*[c[k].alias(k) for k in _FOUND]))
+
+    coded = results.withColumn("codes", codes).withColumn("last", F.filter("criteria", is_last))
+    return _spread(coded.select("doc_id", F.map_from_entries(F.transform("last", entry)).alias("found")))
 
 
 def area_status(verdicts: DataFrame) -> DataFrame:

@@ -236,6 +236,12 @@ query(
     """SELECT doc_id, sc_ord, sc, name, level, principle, applicable, CASE WHEN sc = '1.1.1' THEN 'passed' ELSE verdict END AS verdict,
               CASE WHEN sc = '1.1.1' THEN FALSE ELSE needs_human END AS needs_human, source, via, rationale FROM c_verdicts""",
 )
+query(
+    "r2_sc_verdicts_last_wins",
+    lambda d: rollup.sc_verdicts_of(audit.audit_results(d).withColumn("criteria", F.concat("criteria", F.transform(F.slice("criteria", 1, 1), lambda c: c.withField("verdict", F.lit("passed")).withField("needs_human", F.lit(False)))))),
+    """SELECT doc_id, sc_ord, sc, name, level, principle, applicable, CASE WHEN sc = '1.1.1' THEN 'passed' ELSE verdict END AS verdict,
+              CASE WHEN sc = '1.1.1' THEN FALSE ELSE needs_human END AS needs_human, source, via, rationale FROM c_verdicts""",
+)
 query(
     "r3_sc_areas",
     lambda d: audit.verdicts(d).join(F.broadcast(rollup.sc_areas(d.spark)), "sc", "left").select("doc_id", "sc", F.coalesce("area_ids", F.array().cast("array<string>")).alias("area_ids")),

@@ -245,12 +245,12 @@ query(
 query(
     "l13_chat_turns",
     lambda d: ledger.chat_turns(d("conversations")),
-    "SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN substr(trim(text), 1, 2000) ELSE trim(text) END AS text FROM conversations WHERE trim(text) <> ''",
+    "SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN substr(trim(text), 1, 2000) ELSE text END AS text FROM conversations WHERE role <> 'user' OR trim(text) <> ''",
 )
 query(
     "l13_chat_state",
     lambda d: ledger.chat_state(d("conversations")),
-    "SELECT conv_id, COUNT(*) AS n_turns, arg_max(role, turn) = 'user' AS thinking FROM conversations WHERE trim(text) <> '' GROUP BY conv_id",
+    "SELECT conv_id, COUNT(*) AS n_turns, arg_max(role, turn) = 'user' AS thinking FROM conversations WHERE role <> 'user' OR trim(text) <> '' GROUP BY conv_id",
 )
 query(
     "l14_phase_done",

@@ -266,7 +266,7 @@ def _mentioned(text: str, names) -> list[str]:
 
 def _numbered_events(spark: SparkSession, folder: str) -> DataFrame:
     events = view(spark, folder, "events").select(F.col("user_id").alias("session_id"), "event_id", "ts", "event_type")
-    return ordered.row_number(events, ["session_id"], ["ts", "event_id"], ordered.day_bucket("ts"), "seq")
+    return ordered.row_number(events, ["session_id"], ["ts", "event_id"], ordered.time_bucket("ts"), "seq")
 
 
 _BUILT = {"numbered_events": _numbered_events}

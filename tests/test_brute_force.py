@@ -27,16 +27,16 @@ def log(spark):
 
 def test_split_windows_equal_plain_windows(log):
     w = Window.partitionBy("k").orderBy("ts", "id")
-    day = ordered.day_bucket("ts")
+    hour = ordered.time_bucket("ts")
     plain = log.select(
         "id", F.row_number().over(w).cast("bigint").alias("rn"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
         F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev"), F.lead("id").over(w).alias("next"),
     )
     keys, order = ["k"], ["ts", "id"]
-    a = ordered.row_number(log, keys, order, day, "rn").select("id", "rn")
-    b = ordered.running_sum(log, keys, order, day, F.col("n"), "run").select("id", "run")
-    c = ordered.last_before(log, keys, order, day, F.col("v"), "prev").select("id", "prev")
-    d = ordered.next_row(log, keys, order, day, ["id", "v"], "nx").select("id", F.col("nx.id").alias("next"))
+    a = ordered.row_number(log, keys, order, hour, "rn").select("id", "rn")
+    b = ordered.running_sum(log, keys, order, hour, F.col("n"), "run").select("id", "run")
+    c = ordered.last_before(log, keys, order, hour, F.col("v"), "prev").select("id", "prev")
+    d = ordered.next_row(log, keys, order, hour, ["id", "v"], "nx").select("id", F.col("nx.id").alias("next"))
     split = a.join(b, "id").join(c, "id").join(d, "id").select(plain.columns)
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.collect()))
 

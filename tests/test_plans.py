@@ -56,6 +56,31 @@ def test_top_lists_are_limited_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_hash_key_is_salted_by_day(spark):
+def test_hash_key_is_split_by_time(spark):
     plan = plan_of(catalog.queries()["l1_ledger"](spark, FOLDER))
     assert re.search(r"hashpartitioning\(__key#\w+, __bucket#\w+", plan)
+
+
+def test_a_hot_page_is_split(spark):
+    """A page that holds most spans: adaptive execution splits its partition in the pixel join."""
+    spans = spark.range(60000).selectExpr(
+        "CASE WHEN id % 3 < 2 THEN 0 ELSE id END AS page_id", "id AS span_idx", "'t' AS text", "concat('#', lpad(cast(id % 1000000 AS string), 6, '0')) AS color",
+        "cast(id % 5 AS double) AS x", "1.0D AS y", "1.0D AS width", "1.0D AS height", "10.0D AS font_size_px", "false AS bold",
+    )
+    pages = spark.range(60000).selectExpr("id AS page_id", "8L AS width", "8L AS height", "cast(null AS double) AS page_point_width")
+    pixels = spark.range(60000 * 4).selectExpr("id div 4 AS page_id", "id % 4 AS x", "1L AS y", "1 AS r", "2 AS g", "3 AS b", "255 AS a")
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        counted = contrast.span_pixels(spans, pixels, pages)
+        rows = counted.collect()
+        plan = plan_of(counted)
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert "SortMergeJoin(skew=true)" in plan.split("Initial Plan")[0]
+    assert sum(r.n for r in rows) == sum(1 for i in range(60000) if i % 5 < 4)
