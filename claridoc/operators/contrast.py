@@ -79,13 +79,15 @@ def _covered(boxes: DataFrame, pixels: DataFrame, tile: int) -> DataFrame:
     tiled = (
         rgb.select("page_id", "span_idx", "x0", "y0", "x1", "y1", luminance(F.col("rgb.r"), F.col("rgb.g"), F.col("rgb.b")).alias("ink"))
         .withColumn("tx", F.explode(cells("x0", "x1"))).withColumn("ty", F.explode(cells("y0", "y1")))
+        .withColumn("tile", F.shiftleft("ty", 32) + F.col("tx"))
     )
-    # a pixel travels as two numbers besides its key: place within the tile, and colour
+    # a pixel travels as four numbers: page, tile, place within the tile, and colour
     at = (F.col("y") % tile) * tile + F.col("x") % tile
     paint = F.shiftleft(F.col("a").cast("bigint"), 24) + F.shiftleft("r", 16) + F.shiftleft("g", 8) + F.col("b")
-    dots = pixels.select("page_id", F.expr(f"x div {tile}").alias("tx"), F.expr(f"y div {tile}").alias("ty"), at.cast("int").alias("at"), paint.alias("paint"))
+    cell = F.shiftleft(F.expr(f"y div {tile}"), 32) + F.expr(f"x div {tile}")
+    dots = pixels.select("page_id", cell.alias("tile"), at.cast("int").alias("at"), paint.alias("paint"))
     # sizes of exploded inputs are not known to the planner, so neither side may be broadcast by estimate
-    met = tiled.join(dots.hint("merge"), ["page_id", "tx", "ty"])
+    met = tiled.join(dots.hint("merge"), ["page_id", "tile"])
     x, y = F.col("tx") * tile + F.col("at") % tile, F.col("ty") * tile + F.expr(f"at div {tile}")
     return met.filter((x >= F.col("x0")) & (x < F.col("x1")) & (y >= F.col("y0")) & (y < F.col("y1")))
 

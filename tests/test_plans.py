@@ -47,7 +47,7 @@ def test_rollup_shuffles_only_the_lanes(spark):
 def test_pixels_are_never_broadcast(spark):
     d = Data(spark, FOLDER)
     plan = plan_of(contrast.measure_pages(d("text_spans"), d("bg_pixels"), d("page_meta")))
-    join = re.search(r"(\w+Join) \[page_id#\w+, tx#\w+, ty#\w+\]", plan)
+    join = re.search(r"(\w+Join) \[page_id#\w+, tile#\w+\]", plan)
     assert join and join.group(1) == "SortMergeJoin"
 
 
