@@ -1,0 +1,271 @@
+"""Near-duplicate text layers by shingle Jaccard: count-vector R-trees inside lossless blocks.
+
+Shingles are hashed into ``GROUPS`` groups; the counts per group are a point. The overlap of two sets is at most the sum of
+the coordinate minima of their points, and with the upper corner of a box instead of a point it bounds a whole node.
+Points that the bound lets through are verified on the shingle sets themselves.
+
+Unrelated documents of one length have much the same counts, so the inner boxes of one tree over all documents
+prune nothing. The trees therefore stand inside blocks of documents that can be similar at all: a pair at or above the
+threshold shares one of the ``n - ceil(t*n) + 1`` rarest shingles of both sets, whatever order "rarest" means, as
+long as all documents use the same. The order comes from a merged count-min sketch (``claridoc.llm.blocks``); shingles
+that it counts once link nothing and are never sent, and shingles of passages in a third of all documents come last.
+
+1. sets and their digests; equal sets have one representative from here on.
+2. sketch of the representatives' shingles, merged and answered block by block.
+3. rare shingles that others may share: (shingle, document); the least document leads the shingle's group.
+4. each leader's group, cut in slices of ``slice_rows`` documents that all get the leader's text, builds its R-tree
+   and links documents of different classes; what hangs on the leader need not be compared again. What does not is
+   compared with the other slices of its group.
+5. connected components of the links.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from claridoc.llm import blocks, words
+from claridoc.llm.tables import components, written
+
+SHINGLE_WORDS = 5
+PERCENT = 80
+BLOCK_BYTES = 8 << 20
+SLICE_ROWS = 1000
+GROUPS = 64
+FANOUT = 16
+LAST_ID = 2**63 - 1
+
+
+def shingle_sets(w: words.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every distinct shingle, sorted; shorter texts are one shingle, texts without words none."""
+    at, h = w.grams(size)
+    short = np.flatnonzero((w.counts > 0) & (w.counts < size))
+    text = np.concatenate([w.text[at], short])
+    h = np.concatenate([h, words.mix(w.whole()[short] ^ np.uint64(0xABCDEF12345))])
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return text[new], h[new]
+
+
+def _block_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of all texts of a block: hashes, and where each text's begin."""
+    hashes, sizes = [], []
+    for lo, hi in words.chunks(text):
+        t, h = shingle_sets(words.split(text.slice(lo, hi - lo), lower=True), size)
+        hashes.append(h)
+        sizes.append(np.bincount(t, minlength=hi - lo))
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    return h, np.concatenate([[0], np.cumsum(n)]).astype(np.int64), n.astype(np.int64)
+
+
+def _digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set, as signed numbers."""
+    out = []
+    for salt in (0x1234567, 0x7654321):
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(words.mix(h ^ np.uint64(salt)), out=sums[1:])
+        out.append(words.mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+class CountTree:
+    """R-tree over count vectors: per node the upper corner of its points and the least and most shingles."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        slabs = max(1, int(np.sqrt(len(points) / FANOUT)))
+        rank = np.empty(len(points), np.int64)
+        rank[np.argsort(sizes, kind="stable")] = np.arange(len(points))
+        slope = points @ np.where(np.arange(points.shape[1]) % 2, 1, -1)
+        self.order = np.lexsort((slope, rank * slabs // max(1, len(points))))  # tiles of similar size, then of similar slope
+        self.points, self.sizes = points[self.order], sizes[self.order]
+        self.levels = []
+        top, low, high = self.points, self.sizes, self.sizes
+        while len(top) > FANOUT or not self.levels:
+            cut = np.arange(0, len(top), FANOUT)
+            top, low, high = np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
+            self.levels.append((top, low, high))
+
+    def candidates(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
+        """Points whose set may reach the threshold with this one."""
+        at = np.arange(len(self.levels[-1][0]))
+        for depth in range(len(self.levels) - 1, -2, -1):
+            top, low, high = self.levels[depth] if depth >= 0 else (self.points, self.sizes, self.sizes)
+            near = (high[at] * 100 >= size * percent) & (low[at] * percent <= size * 100)
+            at = at[near]
+            bound = np.minimum(top[at], point).sum(axis=1)
+            at = at[bound * (100 + percent) >= percent * (size + low[at])]
+            if depth >= 0:
+                below = len(self.levels[depth - 1][0]) if depth else len(self.points)
+                at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                at = at[at < below]
+        return self.order[at]
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
+def link_slice(text: pa.Array, leader: int, asking: np.ndarray | None, size: int, percent: int) -> np.ndarray:
+    """Class (a row number) of every row of a slice after linking rows of different classes.
+
+    ``asking``: only these rows look for links, else the leader does first and then all rows outside its class.
+    """
+    h, first, n = _block_sets(text, size)
+    sets = [h[a:b] for a, b in zip(first[:-1], first[1:])]
+    points = np.zeros((len(n), GROUPS), np.int32)
+    np.add.at(points, (np.repeat(np.arange(len(n)), n), (h % np.uint64(GROUPS)).astype(np.int64)), 1)
+    tree = CountTree(points, n)
+    root = np.arange(len(n))
+
+    def ask(row: int) -> None:
+        for other in tree.candidates(points[row], n[row], percent):
+            if root[other] != root[row]:
+                both = _overlap(sets[row], sets[other])
+                if both and both * (100 + percent) >= percent * (n[row] + n[other]):
+                    root[root == root[other]] = root[row]
+
+    if asking is None:
+        ask(leader)
+        asking = np.flatnonzero(root != root[leader])
+    for row in asking:
+        ask(int(row))
+    return root
+
+
+LINKS = "leader long, slice long, slices long, id long, block long, root long, led long"
+_LINKS = pa.schema([(x.split()[0], pa.int64()) for x in LINKS.split(", ")])
+
+
+def near_duplicate_classes(
+    text_layers: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Class of every document under "100 * intersection >= percent * union" of shingle sets, over all documents.
+
+    ``text_layers``: (doc_id, text); other columns are ignored. Words are lower-cased (A-Z) and split at white space.
+    Returns (doc_id, n_shingles, component_id), one row per input row: the least doc_id reachable by links, itself
+    included. A null or empty text has no shingles and links nothing; fewer words than a shingle are one shingle.
+    Rows that share a doc_id are one document to the links; a null doc_id counts as larger than all others and is
+    returned as null. An empty table gives an empty result.
+    """
+    docs, _, total = blocks.dealt(text_layers, block_bytes)
+    shards = blocks.shards_for(max(1, total // 6), 1)
+    ident = lambda doc, null: np.where(null, LAST_ID, doc)
+
+    def digest(batches):
+        for batch in batches:
+            text = batch.column("text")
+            h, first, n = _block_sets(text, shingle_words)
+            one, two = _digests(h, first)
+            ids = batch.column("doc_id")
+            yield pa.RecordBatch.from_arrays([batch.column("block"), ids, pa.array(n), pa.array(one), pa.array(two)], ["block", "doc_id", "n_shingles", "one", "two"])
+
+    facts = written(docs.mapInArrow(digest, "block long, doc_id long, n_shingles long, one long, two long")).withColumn("id", F.coalesce("doc_id", F.lit(LAST_ID)))
+    sets = facts.where("n_shingles > 0").groupBy("one", "two").agg(F.min(F.struct("id", "block")).alias("r")).select("one", "two", "r.id", "r.block")
+    sets = written(sets)
+    none = F.lit(None).cast("binary")
+    chosen = sets.select("block", F.lit(-1).cast("long").alias("shard"), none.alias("payload"), "id", "one")
+
+    def representatives(table: pa.Table, answer: pa.Table):
+        """Rows of the block that stand for their set: identifiers, hashes, limits of each."""
+        doc, null, text = blocks.in_order(table)
+        ids = ident(doc, null)
+        own = answer.filter(pa.array(np.asarray(answer.column("shard")) < 0))
+        wanted = set(zip(own.column("id").to_pylist(), own.column("one").to_pylist()))
+        h, first, n = _block_sets(text, shingle_words)
+        one, _ = _digests(h, first)
+        rows = []
+        for i, key in enumerate(zip(ids.tolist(), one.tolist())):
+            if n[i] and key in wanted:
+                wanted.discard(key)
+                rows.append(i)
+        rows = np.array(rows, np.int64)
+        keep = np.zeros(len(n), bool)
+        keep[rows] = True
+        return ids[rows], h[np.repeat(keep, n)], n[rows]
+
+    def sketch(table: pa.Table, answer: pa.Table) -> pa.Table:
+        _, h, _ = representatives(table, answer)
+        return blocks.rows_table(blocks.sketch_rows(table.column("block")[0].as_py(), h, shards, 1))
+
+    def rare(table: pa.Table, answer: pa.Table) -> pa.Table:
+        ids, h, n = representatives(table, answer)
+        counts = blocks.answered(h, {s: p for s, p in blocks.answer_of(answer).items() if s >= 0}, shards, 1)
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((h, counts, row))
+        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        prefix = n + (-n * percent // 100) + 1
+        sent = order[(place < prefix[row]) & (counts[order] > 1)]
+        block = table.column("block")[0].as_py()
+        return pa.table({"key": pa.array(h[sent].view(np.int64)), "id": pa.array(ids[row[sent]]), "block": pa.array(np.full(len(sent), block, np.int64))})
+
+    sketched = blocks.merged(blocks.passed(docs, chosen, sketch, blocks.ANSWER)).select("*", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("one"))
+    keys = written(blocks.passed(docs, chosen.unionByName(sketched), rare, "key long, id long, block long"))
+    leads = keys.groupBy("key").agg(F.min(F.struct("id", "block")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    groups = written(keys.join(leads, "key").where("id <> lead.id").select(F.col("lead.id").alias("leader"), F.col("lead.block").alias("leader_block"), "id", "block").distinct())
+    sizes = groups.groupBy("leader", "leader_block").agg(F.ceil(F.count("*") / slice_rows).alias("slices"))
+    followers = groups.join(sizes.drop("leader_block"), "leader").select("leader", F.pmod(F.xxhash64("id"), "slices").alias("slice"), "slices", "id", "block")
+    leading = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "slices", F.col("leader").alias("id"), F.col("leader_block").alias("block"))
+    extra = F.lit(0).cast("long").alias("asks")
+    members = followers.unionByName(leading)
+
+    def texts(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not wanted.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("leader", "slice", "slices", "part", "id", "block", "asks")} | {"text": pa.array([], pa.string())})
+        doc, null, text = blocks.in_order(table)
+        at: dict[int, list[int]] = {}
+        for i, k in enumerate(ident(doc, null).tolist()):
+            at.setdefault(k, []).append(i)
+        pairs = [(w, i) for w, k in enumerate(wanted.column("id").to_pylist()) for i in dict.fromkeys(at.get(k, []))]
+        pick = wanted.take(pa.array([w for w, _ in pairs], pa.int64()))
+        out = {c: pick.column(c).combine_chunks() for c in ("leader", "slice", "slices", "part", "id", "block", "asks")}
+        return pa.table(out | {"text": text.take(pa.array([i for _, i in pairs], pa.int64()))})
+
+    with_text = "leader long, slice long, slices long, part long, id long, block long, asks long, text string"
+
+    def link(table: pa.Table) -> pa.Table:
+        ids = np.asarray(table.column("id")).astype(np.int64)
+        asks = np.asarray(table.column("asks")).astype(bool)
+        order = np.lexsort((ids, ~asks))
+        table, ids, asks = table.take(pa.array(order)), ids[order], asks[order]
+        lead = table.column("leader")[0].as_py()
+        at = np.flatnonzero(ids == lead)
+        across = bool(asks.any())
+        root = link_slice(table.column("text").combine_chunks(), int(at[0]) if len(at) else 0, np.flatnonzero(asks) if across else None, shingle_words, percent)
+        led = np.full(len(ids), ids[root[at[0]]] if len(at) else LAST_ID)
+        out = {c: table.column(c) for c in ("leader", "slice", "slices", "id", "block")}
+        return pa.table(out | {"root": pa.array(ids[root]), "led": pa.array(led)}, schema=_LINKS)
+
+    none = F.lit(0).cast("long").alias("part")
+    inside = written(blocks.passed(docs, members.select("*", none, extra), texts, with_text).groupBy("leader", "slice").applyInArrow(link, LINKS))
+    # groups in several slices: rows outside the leader's class meet the other slices, in parts of a bounded size
+    apart = inside.where("slices > 1 and root <> led").select("leader", "slices", F.col("slice").alias("own"), "id", "block")
+    parts = apart.groupBy("leader").agg(F.ceil(F.count("*") / slice_rows).alias("parts"))
+    asking = (
+        apart.join(parts, "leader")
+        .select("*", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+        .where("slice <> own")
+        .select("leader", "slice", "slices", "part", "id", "block", F.lit(1).cast("long").alias("asks"))
+    )
+    asked = inside.where("slices > 1").join(parts, "leader").select("leader", "slice", "slices", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", "block", extra)
+    across = blocks.passed(docs, asking.unionByName(asked), texts, with_text).groupBy("leader", "slice", "part").applyInArrow(link, LINKS)
+    links = inside.unionByName(across).where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    classes = components(links)
+    return (
+        facts.join(sets.select("one", "two", F.col("id").alias("stands")), ["one", "two"], "left")
+        .join(classes.withColumnRenamed("id", "stands"), "stands", "left")
+        .select(
+            "doc_id",
+            "n_shingles",
+            F.nullif(F.when(F.col("n_shingles") > 0, F.least("id", F.coalesce("component", "stands"))).otherwise(F.col("id")), F.lit(LAST_ID)).alias("component_id"),
+        )
+    )

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claridoc.llm import substring_dedup
+from claridoc.llm import jaccard_join, line_dedup, mixing, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -25,6 +25,69 @@ def text_layers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", "text")
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicate_classes(text_layers(spark, folder))
+
+
+QUERIES["op1_ngram_jaccard"] = op1_ngram_jaccard
+CHECKS["op1_ngram_jaccard"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM docs),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sets
+"""
+
+
+def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op3_source_mix"] = op3_source_mix
+CHECKS["op3_source_mix"] = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('7-' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key, text FROM documents),
+src AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM docs GROUP BY source),
+weighed AS (SELECT *, CAST([5, 2, 1][no % 3 + 1] AS DOUBLE) AS w, 3 * source_size AS cap FROM src),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+  FROM weighed WINDOW b AS (ORDER BY cap / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tg AS (
+  SELECT source, no, source_size, CASE WHEN cap <= level * w THEN cap
+    ELSE w * (SELECT min_by(level, cap / w) FROM levels WHERE cap > level * w) END AS target FROM levels),
+house AS (SELECT CAST(round(sum(source_size) / 16) AS BIGINT) AS m FROM src),
+quotients AS (SELECT no, target / (2 * unnest(range(0, (SELECT m FROM house))) + 1) AS q FROM tg WHERE target > 0),
+seats AS (SELECT no, count(*) AS won FROM (SELECT no FROM quotients ORDER BY q DESC, no LIMIT (SELECT m FROM house)) GROUP BY no),
+placed AS (
+  SELECT d.*, t.no, t.source_size, t.target, coalesce(s.won, 0) AS source_blocks,
+    CAST('0x' || substr(key, 1, 15) AS BIGINT) % CAST(greatest(ceil(t.source_size / 2000000), 1) AS BIGINT) AS shard
+  FROM docs d JOIN tg t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN seats s USING (no)),
+shards AS (SELECT no, shard, source_blocks, CAST(sum(size) AS BIGINT) AS shard_size FROM placed GROUP BY ALL),
+shard_quotients AS (SELECT no, shard, source_blocks, shard_size / (2 * unnest(range(0, source_blocks)) + 1) AS q FROM shards WHERE shard_size > 0),
+shard_seats AS (
+  SELECT no, shard, count(*) AS won FROM (
+    SELECT no, shard FROM shard_quotients QUALIFY row_number() OVER (PARTITION BY no ORDER BY q DESC, shard) <= source_blocks)
+  GROUP BY ALL),
+quotas AS (SELECT no, shard, shard_size, 16 * coalesce(won, 0) AS quota FROM shards LEFT JOIN shard_seats USING (no, shard)),
+laid AS (
+  SELECT p.*, shard_size, quota, CASE WHEN shard_size > 0 THEN least(3, quota // shard_size) ELSE 0 END AS rounds,
+    coalesce(sum(size) OVER (PARTITION BY no, shard ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM placed p JOIN quotas USING (no, shard))
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(rounds * size + greatest(0, least(size, CASE WHEN rounds < 3 THEN quota - rounds * shard_size ELSE 0 END - before)) AS BIGINT) AS taken
+FROM laid
+"""
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeated_passages(text_layers(spark, folder), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -44,3 +107,56 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN left_over USING (rid)
 """
+
+
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.remove_repeated_lines(text_layers(spark, folder))
+    return cleaned.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+QUERIES["op8_line_dedup"] = op8_line_dedup
+CHECKS["op8_line_dedup"] = r"""
+WITH docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+lines AS (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS l, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM docs),
+filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS p FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+spots AS (
+  SELECT doc_id, t, p, l || chr(10) || lead(l) OVER w || chr(10) || lead(l, 2) OVER w AS k FROM filled WINDOW w AS (PARTITION BY doc_id, t ORDER BY p)),
+later AS (SELECT doc_id, t, p FROM spots WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, t, p) > 1),
+gone AS (SELECT DISTINCT f.doc_id, f.t, f.i FROM filled f JOIN later r ON f.doc_id IS NOT DISTINCT FROM r.doc_id AND f.t = r.t AND f.p BETWEEN r.p AND r.p + 2),
+kept AS (
+  SELECT l.doc_id, l.t, string_agg(l.l, chr(10) ORDER BY l.i) AS k FROM lines l ANTI JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.t = g.t AND l.i = g.i GROUP BY ALL),
+sizes AS (SELECT doc_id, t, count(*) AS n FROM filled GROUP BY ALL),
+less AS (SELECT doc_id, t, count(*) AS n FROM gone GROUP BY ALL)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_lines, coalesce(g.n, 0) AS n_deleted, sha256(coalesce(k.k, '')) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) d
+LEFT JOIN sizes s ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND d.t = s.t
+LEFT JOIN less g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.t = g.t
+LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.t = k.t
+"""
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.verdicts(quality_rules.rule_ledger(text_layers(spark, folder)))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("kept_base")).alias("base_failed"), F.col("kept_v1").alias("kept"), F.col("failed").alias("failed_bits"))
+
+
+QUERIES["op9_quality_rules"] = op9_quality_rules
+CHECKS["op9_quality_rules"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+windows AS (SELECT rid, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS k, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3),
+repeated AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+hit AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY rid),
+m AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM docs LEFT JOIN hit USING (rid)),
+f AS (
+  SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END AS bits FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept,
+  CAST(bits AS BIGINT) AS failed_bits
+FROM f
+"""
