@@ -41,24 +41,25 @@ def windows(lines: Column, run_lines: int) -> Column:
 def remove_repeated_lines(text_layers: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
     """Text layers without the runs of ``run_lines`` or more lines that already stand earlier.
 
-    ``text_layers``: (doc_id, text); other columns stay as they are. Earlier means a smaller doc_id (null first), then an
+    ``text_layers``: (doc_id, text); other columns stay as they are, but n_lines and n_deleted, which are replaced. Earlier means a smaller doc_id (null first), then an
     earlier line of the same text. Lines are compared as they are; lines without a word neither count nor go. Returns the
     input columns with the new ``text``, and n_lines and n_deleted (lines with a word). A null text stays null, an empty
     one empty, shorter texts than a run as they are. Rows alike in doc_id and text are one document and get the same
     result; rows that only share a doc_id are ordered by a hash of their texts. An empty table gives an empty result.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    keyed = text_layers.withColumn("_h", F.xxhash64("text"))
-    spots = written(keyed.select(F.col("doc_id").alias("_d"), "_h", F.explode(windows(lines, run_lines)).alias("s")).select("_d", "_h", "s.*").distinct())
+    passing = [c for c in text_layers.columns if c not in ("n_lines", "n_deleted")]
+    keyed = text_layers.select(F.struct(*[F.col(f"`{c}`") for c in passing]).alias("row"), F.col("doc_id").alias("d"), F.col("text"), F.xxhash64("text").alias("h"))
+    spots = written(keyed.select("d", "h", F.explode(windows(lines, run_lines)).alias("s")).select("d", "h", "s.*").distinct())
     fingers = spots.groupBy("finger").agg(F.count("*").alias("n")).where("n > 1").select("finger")
     shared = written(spots.join(fingers, "finger", "left_semi"))
-    first = shared.groupBy("one", "two").agg(F.min(F.struct("_d", "_h", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = shared.join(first, ["one", "two"]).where(~F.struct("_d", "_h", "pos").eqNullSafe(F.col("first")))
-    gone = later.select(F.col("_d").alias("_gd"), F.col("_h").alias("_gh"), F.explode("at").alias("i")).groupBy("_gd", "_gh").agg(F.collect_set("i").alias("_gone"))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gd")) & (F.col("_h") == F.col("_gh")), "left")
-    kept = let(lines, lambda l: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("_gone")), lambda i: F.get(l, i)), "\n"))
+    first = shared.groupBy("one", "two").agg(F.min(F.struct("d", "h", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = shared.join(first, ["one", "two"]).where(~F.struct("d", "h", "pos").eqNullSafe(F.col("first")))
+    gone = later.select(F.col("d").alias("gd"), F.col("h").alias("gh"), F.explode("at").alias("i")).groupBy("gd", "gh").agg(F.collect_set("i").alias("gone"))
+    joined = keyed.join(gone, F.col("d").eqNullSafe(F.col("gd")) & (F.col("h") == F.col("gh")), "left")
+    kept = let(lines, lambda l: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("gone")), lambda i: F.get(l, i)), "\n"))
     return joined.select(
-        *[F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in text_layers.columns],
+        *[F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in passing],
         F.size(F.filter(lines, lambda l: l.rlike(WORD))).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_deleted"),
+        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_deleted"),
     )

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claridoc.llm.quality_rules import WORD
 from claridoc.llm.tables import written
 
-WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 BLOCK_WORDS = 16
@@ -104,3 +104,21 @@ def mix_sources(
         .withColumn("taken", (F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))).cast("long"))
         .select("doc_id", "source", "text_hash", "size", "source_size", "target", "taken")
     )
+
+
+def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+    """The mix itself: documents as often as they are taken, in their own columns.
+
+    Whole rounds repeat a document as it is; where a shard's last block ends inside a document, one copy has its first words,
+    joined by one space. Documents of which nothing is taken go. Options are those of ``mix_sources``.
+    """
+    key = ["doc_id", "source", "text_hash"]
+    nth = lambda order: F.row_number().over(W.partitionBy(*key).orderBy(order))
+    mix = mix_sources(documents, **options).select(*key, "size", "taken").withColumn("nth", nth(F.desc("taken")))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).withColumn("nth", nth(F.lit(1)))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in (*key, "nth")]
+    taken = rows.alias("r").join(mix.alias("m"), same).where("taken > 0").select("row", "size", "taken", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))).alias("copy"))
+    left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), 1, left.cast("int")), " ")
+    text = F.when(left >= F.col("size"), F.col("row.text")).otherwise(cut)
+    return taken.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])
