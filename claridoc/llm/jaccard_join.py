@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claridoc.llm import blocks, words
-from claridoc.llm.tables import components, written
+from claridoc.llm.tables import components
+from claridoc.session import written
 
 SHINGLE_WORDS = 5
 PERCENT = 80

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claridoc.llm import blocks, words
+from claridoc.session import written
 
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 1 << 28
@@ -196,8 +197,6 @@ def score_text_layers(text_layers: DataFrame, trains: Column | None = None, bloc
         back.append((-1, shard, int(counts.sum()).to_bytes(8, "little") + int((counts > 0).sum()).to_bytes(8, "little")))
         return blocks.rows_table(back)
 
-    from claridoc.llm.tables import written
-
     regions = docs.groupBy("block").applyInArrow(lambda t: send(t, True), _SENT).groupBy("shard").applyInArrow(region, "shard long, low long, data binary").collect()
     pair_filter = docs.sparkSession.sparkContext.broadcast(PairFilter({r["shard"]: (r["low"], r["data"]) for r in regions}, pair_shards, size))
     del regions

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claridoc.llm.quality_rules import WORD, let
-from claridoc.llm.tables import written
+from claridoc.session import written
 
 RUN_LINES = 3
 

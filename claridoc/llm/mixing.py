@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claridoc.llm.quality_rules import WORD
-from claridoc.llm.tables import written
+from claridoc.session import written
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3

@@ -1,27 +1,11 @@
-"""Intermediate tables in the shared folder, and connected components on them."""
+"""Connected components on tables of links."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claridoc.session import cut_lineage
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder of ``spark.checkpoint.dir`` and go on from the files.
-
-    Cuts the lineage as a checkpoint does, in columnar form; lost executors cost no rework. The folder is the
-    user's to clean, as with every reliable checkpoint.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut_lineage(spark.range(1))  # settles the folder: the session's, or one of its own on a single machine
-    path = f"{spark.sparkContext.getCheckpointDir()}/claridoc-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from claridoc.session import written
 
 
 def components(links: DataFrame) -> DataFrame:

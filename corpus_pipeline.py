@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claridoc.llm import jaccard_join, line_dedup, mixing, piece_codec, queries, toxic_spans
-from claridoc.llm.tables import written
+from claridoc.session import written
 
 
 def _measured(documents: DataFrame) -> DataFrame:
