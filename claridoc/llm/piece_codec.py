@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from claridoc.llm import words
 
 N_BEST = 4
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+LOOKUP_PLACES = 1 << 18
 _CHANGE = "array<struct<at:int,count:int,ids:array<int>>>"
 _NBEST = f"array<struct<score:double,changes:{_CHANGE}>>"
 _NBEST_TYPE = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("at", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
@@ -127,31 +128,34 @@ def lattice(model: PieceModel, data: np.ndarray, limits: np.ndarray) -> Lattice:
     single = np.zeros(len(data), bool)
     char = np.diff(np.append(places, len(data)))
     for length, (hashes, ids) in model.tables.items():
-        at = places[places + length <= stop[places]]
-        at = at[~inside[at + length] | (at + length == stop[at])]
-        h = words.mix((sums[at + length] - sums[at]) * undo[at] + np.uint64(length))
         small = np.zeros(1 << 18, bool)
         small[(hashes >> np.uint64(46)).astype(np.int64)] = True
-        keep = small[(h >> np.uint64(46)).astype(np.int64)]
-        at, h = at[keep], h[keep]
-        where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        hit = hashes[where] == h
-        starts.append(at[hit])
-        ends.append(at[hit] + length)
-        pieces.append(ids[where[hit]])
-    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-    piece = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
+        for a in range(0, len(places), LOOKUP_PLACES):
+            at = places[a : a + LOOKUP_PLACES]
+            at = at[at + length <= stop[at]]
+            at = at[~inside[at + length] | (at + length == stop[at])]
+            h = words.mix((sums[at + length] - sums[at]) * undo[at] + np.uint64(length))
+            keep = small[(h >> np.uint64(46)).astype(np.int64)]
+            at, h = at[keep], h[keep]
+            where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[where] == h
+            starts.append(at[hit].astype(np.int32))
+            ends.append((at[hit] + length).astype(np.int32))
+            pieces.append(ids[where[hit]].astype(np.int32))
+    del sums, values
+    start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (starts, ends, pieces))
+    del starts, ends, pieces
     width = np.zeros(len(data), np.int64)
     width[places] = char
     whole = start[end - start == width[start]]
     single[whole] = True
     lost = np.repeat(places[~single[places]], char[~single[places]])
     lost = lost + (np.arange(len(lost)) - np.repeat(np.cumsum(char[~single[places]]) - char[~single[places]], char[~single[places]]))
+    lost = lost.astype(np.int32)
     start, end = np.concatenate([start, lost]), np.concatenate([end, lost + 1])
     score = np.concatenate([model.scores[piece], np.full(len(lost), model.unknown)])
-    piece = np.concatenate([piece, model.bytes_at[data[lost]]])
-    shift = owner[start] if len(start) else start  # node number: place plus the segments before
+    piece = np.concatenate([piece, model.bytes_at[data[lost]].astype(np.int32)])
+    shift = owner[start].astype(np.int32) if len(start) else start  # node number: place plus the segments before
     start, end = start + shift, end + shift
     front, back = limits[:-1] + np.arange(n), limits[1:] + np.arange(n)
     of = shift
@@ -159,17 +163,17 @@ def lattice(model: PieceModel, data: np.ndarray, limits: np.ndarray) -> Lattice:
     def sweep(from_: np.ndarray, to: np.ndarray, rank: np.ndarray, origin: np.ndarray) -> np.ndarray:
         best = np.full(len(data) + n, -np.inf)
         best[origin] = 0.0
-        order = np.lexsort((to, rank))
-        f, t, s = from_[order], to[order], score[order]
+        order = np.lexsort((to, rank)).astype(np.int32)
         cut = np.flatnonzero(np.diff(rank[order], prepend=-1, append=-1)) if len(order) else np.zeros(1, np.int64)
         for a, b in zip(cut[:-1], cut[1:]):
-            through = best[f[a:b]] + s[a:b]
-            first = np.flatnonzero(np.diff(t[a:b], prepend=-1))
-            best[t[a:b][first]] = np.maximum.reduceat(through, first)
+            own = order[a:b]
+            t = to[own]
+            first = np.flatnonzero(np.diff(t, prepend=-1))
+            best[t[first]] = np.maximum.reduceat(best[from_[own]] + score[own], first)
         return best
 
-    forward = sweep(start, end, end - front[of], front)
-    backward = sweep(end, start, back[of] - start, back)
+    forward = sweep(start, end, end - front.astype(np.int32)[of], front)
+    backward = sweep(end, start, back.astype(np.int32)[of] - start, back)
     through = forward[start] + score + backward[end]
     into = np.full(len(data) + n, -1)
     tie = np.flatnonzero(forward[start] + score == forward[end])
@@ -237,7 +241,7 @@ def encode_chunk(model: PieceModel, texts: pa.Array, n: int):
     kind = "<u2" if model.width == 2 else "<u4"
     raw, text_at = every.astype(kind).tobytes(), place[first]
     best = np.concatenate([[0.0], np.cumsum(lat.forward[lat.back][which])]) if many else np.zeros(1)
-    order = np.argsort(lat.end, kind="stable")
+    order = np.argsort(lat.end, kind="stable").astype(np.int32)
     by_end = (order, np.searchsorted(lat.end[order], np.arange(len(flat) + len(own) + 1)))
     solved: dict[int, list] = {}
     out_ids, out_n, out_best = [], [], []
