@@ -16,6 +16,7 @@ import base64
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claridoc.llm import words
@@ -23,7 +24,7 @@ from claridoc.llm import words
 CELLS = 12
 GROWTH = 4
 CUT = 24
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 BUCKET_BYTES = 8 << 20
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -176,9 +177,9 @@ def compare_versions(versions: DataFrame, before: str = "text", after: str = "af
 def with_next_text(text_layers: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, text, next_text): each document with the one that follows it by descending doc_id, the last with the first.
 
-    Documents go once to buckets of neighbouring identifiers; limits are quantiles of doc_id. The first document of a
-    bucket also goes to the bucket that ends just before it. Only the limits and the first identifier of each bucket
-    pass the driver. A null doc_id comes last; rows with one doc_id are ordered by a hash of the text.
+    Documents go once to buckets of neighbouring identifiers, where a window looks one row ahead; limits are quantiles of
+    doc_id. The first document of a bucket also goes to the bucket that ends just before it. Only the limits and the
+    first identifier of each bucket pass the driver. A null doc_id comes last; rows with one doc_id are ordered by a hash of the text.
     """
     docs = text_layers.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
@@ -213,14 +214,6 @@ def with_next_text(text_layers: DataFrame, bucket_bytes: int = BUCKET_BYTES) ->
                 to = pa.array([guests[k] for k in ids[more].tolist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(more)), batch.column("text").take(pa.array(more)), to, pa.array(np.ones(len(more), bool))], ["doc_id", "text", "bucket", "guest"])
 
-    def pair(table: pa.Table) -> pa.Table:
-        ids = np.asarray(table.column("doc_id").combine_chunks().fill_null(least)).astype(np.int64)
-        text = table.column("text").combine_chunks()
-        guest = np.asarray(table.column("guest")).astype(bool)
-        one, two = words.text_digest(text)
-        order = np.lexsort((two, one, ~ids, guest))
-        hosts = int((~guest).sum())
-        return pa.table({"doc_id": table.column("doc_id").take(pa.array(order[:hosts])), "text": text.take(pa.array(order[:hosts])), "next_text": text.take(pa.array(order[1 : hosts + 1]))})
-
     dealt = docs.mapInArrow(deal, "doc_id long, text string, bucket long, guest boolean")
-    return dealt.groupBy("bucket").applyInArrow(pair, "doc_id long, text string, next_text string")
+    order = W.partitionBy("bucket").orderBy("guest", F.coalesce("doc_id", F.lit(least)).desc(), F.xxhash64("text"), F.md5("text"))
+    return dealt.select("doc_id", "text", F.lead("text").over(order).alias("next_text"), "guest").where("not guest").drop("guest")
