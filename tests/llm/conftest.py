@@ -4,6 +4,7 @@ import random
 import shutil
 
 import duckdb
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -67,5 +68,10 @@ def expected(folder: str, sql: str):
 
 def canonical(frame):
     frame = frame[sorted(frame.columns)]
-    value = lambda v: None if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+
+    def value(v):
+        if v is None or v is pd.NA or v != v:
+            return None
+        return str(v) if not isinstance(v, float) else str(int(v)) if v.is_integer() else f"{v:.6f}"
+
     return sorted((tuple(value(v) for v in row) for row in frame.itertuples(index=False)), key=repr)
