@@ -66,16 +66,19 @@ def split_blocks(buffer: str) -> tuple[list[str], str]:
     return scan_blocks(strip_fence(buffer))
 
 
+_NO_KEY, _NULL_KEY = ("no key yet",), ("null",)
+
+
 def scan_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Blocks of chunks sorted by document and number; only the open tail is kept between batches.
 
     The opening fence is taken off as long as nothing was found yet, the closing one at the end of
     a document, so the cut into batches does not matter.
     """
-    doc, rest, count = None, "", 0
+    doc, rest, count = _NO_KEY, "", 0
 
     def found(blocks: list[str], start: int) -> list[tuple]:
-        return [(doc, start + i, b) for i, b in enumerate(blocks, 1)]
+        return [(None if doc == _NULL_KEY else doc, start + i, b) for i, b in enumerate(blocks, 1)]
 
     def tail() -> list[str]:
         end = strip_fence(rest).strip(fv.WHITESPACE)
@@ -83,11 +86,13 @@ def scan_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         out: list[tuple] = []
-        runs = (batch["doc_id"] != batch["doc_id"].shift()).cumsum()
+        keys = pd.Series([_NULL_KEY if pd.isna(k) else k for k in batch["doc_id"]], index=batch.index, dtype=object)  # NULL is a key like any other
+        runs = (keys != keys.shift()).cumsum()
         for _, part in batch.groupby(runs, sort=False):
-            if part["doc_id"].iloc[0] != doc:
+            key = keys.loc[part.index[0]]
+            if key != doc:
                 out += found(tail(), count)
-                doc, rest, count = part["doc_id"].iloc[0], "", 0
+                doc, rest, count = key, "", 0
             buffer = rest + "".join(part["chunk"])
             blocks, after = scan_blocks(buffer if count else _FENCE_OPEN.sub("", buffer, count=1))
             rest = after if blocks or count else buffer
@@ -109,12 +114,6 @@ def blocks_of(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: all_blocks(t or ""))
 
 
-@F.pandas_udf(T.StructType([T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("rest", T.StringType())]))
-def blocks_and_rest(texts: pd.Series) -> pd.DataFrame:
-    done = [split_blocks(t or "") for t in texts]
-    return pd.DataFrame({"blocks": [b for b, _ in done], "rest": [r for _, r in done]})
-
-
 @F.pandas_udf(T.StringType())
 def decomposed(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition (NFKD), which Spark has no function for."""

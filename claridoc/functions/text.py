@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claridoc.functions import fixed_values as fv
@@ -83,6 +83,15 @@ def safe_url(c: Column) -> Column:
     return ok
 
 
+def displayed(df: DataFrame, texts: dict[str, int] | None = None, lists: dict[str, int] | None = None) -> DataFrame:
+    """Last projection of a page: the first characters of long texts and the first items of long lists, by column.
+
+    Operators keep full values; only what is shown is cut, here and nowhere else.
+    """
+    cuts = {c: F.substring(c, 1, n) for c, n in (texts or {}).items()} | {c: F.slice(c, 1, n) for c, n in (lists or {}).items()}
+    return df.withColumns(cuts)
+
+
 def status_label(c: Column) -> Column:
     return (
         F.when(c == "pending-human-review", "review")

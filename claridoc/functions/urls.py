@@ -34,9 +34,10 @@ def _ipv4(h: Column) -> Column:
 def _dotted(parts: Column) -> Column:
 
     def number(p: Column) -> Column:
+        # leading zeros say nothing; more than 8 hexadecimal or 11 octal digits are out of range, which is NULL here
         return (
-            F.when(p.rlike(r"^0x[0-9a-f]*$"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 20)), 16, 10))
-            .when(p.rlike(r"^0[0-7]+$"), F.conv(p, 8, 10))
+            F.when(p.rlike(r"^0x0*[0-9a-f]{0,8}$"), F.conv(F.concat(F.lit("0"), F.regexp_replace(p, "^0x0*", "")), 16, 10))
+            .when(p.rlike(r"^0+[0-7]{1,11}$"), F.conv(F.regexp_replace(p, "^0+", "0"), 8, 10))
             .when(p.rlike(r"^(0|[1-9][0-9]*)$"), p)
             .try_cast("bigint")
         )

@@ -140,7 +140,6 @@ def measure_spans(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: i
         boxes.join(stats, ["page_id", "span_idx"])
         .withColumn("large_text", large).withColumn("threshold", _threshold(F.col("large_text")))
         .withColumn("passes", F.coalesce(F.col("worst_ratio") >= F.col("threshold"), F.lit(False)))
-        .withColumn("text", F.substring("text", 1, 80))
         .select("page_id", *SPAN_FIELDS, "measured", "saw_transparency")
     )
 
@@ -162,7 +161,7 @@ def span_contrast_approx(spans: DataFrame, background: tuple[int, int, int] = (2
         .withColumn("large_text", large).withColumn("threshold", _threshold(F.col("large_text")))
         .withColumn("passes", F.coalesce(F.col("worst_ratio") >= F.col("threshold"), F.lit(False)))
         .select(
-            "page_id", "span_idx", F.substring("text", 1, 80).alias("text"), "color",
+            "page_id", "span_idx", "text", "color",
             F.floor("x").alias("x0"), F.floor("y").alias("y0"),
             F.ceil(F.col("x") + F.col("width")).alias("x1"), F.ceil(F.col("y") + F.col("height")).alias("y1"),
             "worst_ratio", "median_ratio", "large_text", "threshold", "passes",

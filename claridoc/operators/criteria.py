@@ -122,7 +122,7 @@ def sequence() -> Column:
 
 def page_titled() -> Column:
     title = F.when(F.col("openable"), truthy(F.col("title")))
-    shown = F.substring(title, 1, 80)
+    shown = title
     return (
         F.when(
             title.isNull(),
@@ -152,7 +152,7 @@ def lane_result(code: str, row: str) -> Column:
     ``row`` names a struct column with verdict, needs_human, evidence, rationale and error.
     """
     lane, kind, name = _LANES[code]
-    message = F.substring(F.coalesce(F.col(f"{row}.error"), F.lit("no result")), 1, 200)
+    message = F.coalesce(F.col(f"{row}.error"), F.lit("no result"))
     failed = _result(
         code, f"{lane}-error", "cannot_tell", True,
         evidence(kind, F.concat(F.lit(f"{lane} facet error: "), message)),

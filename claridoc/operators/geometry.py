@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claridoc.functions.text import let, trimmed
@@ -74,11 +74,11 @@ def crop_rect(ymin: Column, xmin: Column, ymax: Column, xmax: Column, width: Col
     return F.when(finite, let(rect, lambda r: F.when((r["x1"] > r["x0"]) & (r["y1"] > r["y0"]), r)))
 
 
-def search_text(boxes: DataFrame, needle: str, pages: DataFrame | None = None, top: int = 20) -> DataFrame:
-    """Smallest text boxes that contain a phrase, per page: the ``top`` report of the search.
+def search_text(boxes: DataFrame, needle: str, pages: DataFrame | None = None) -> DataFrame:
+    """All text boxes that contain a phrase, ranked per page from the smallest; equal places count once.
 
-    ``boxes``: page_id, node, x0, y0, x1, y1, text. Rows are filtered first; equal places are
-    merged by aggregation; the top list is limited before the shuffle.
+    ``boxes``: page_id, node, x0, y0, x1, y1, text. Rows are filtered first, and equal places are
+    merged by aggregation. A limit is the caller's.
     """
     phrase = needle.strip().lower()
     hits = boxes.filter(F.contains(F.lower("text"), F.lit(phrase)) & F.lit(phrase != ""))
@@ -94,7 +94,8 @@ def search_text(boxes: DataFrame, needle: str, pages: DataFrame | None = None, t
     )
     order = [F.col("area"), F.col("node")]
     merged = ordered.first_per_key(placed, ["page_id", "place"], order, ["node", "text", "x", "y", "w", "h", "area"])
-    return ordered.smallest_k(merged, ["page_id"], order, top, "rank").drop("place")
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(*order)).cast("bigint")
+    return merged.withColumn("rank", rank).drop("place")
 
 
 def render_params(page: Column, dpi: Column, total_pages: Column) -> Column:

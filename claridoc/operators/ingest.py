@@ -32,7 +32,7 @@ def admit_documents(files: DataFrame, max_bytes: int = fv.LIVE_MAX_BYTES, max_pa
             pages > max_pages,
             F.concat(
                 F.lit("PDF has "), pages.cast("string"),
-                F.lit(f" pages; landing page submits are limited to {max_pages} pages. Sign up to process the full document."),
+                F.lit(f" pages; documents are limited to {max_pages} pages here."),
             ),
         )
     )

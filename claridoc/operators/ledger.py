@@ -82,12 +82,18 @@ def record_decide(records: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def ends_deadline() -> Column:
+    """Requests, and decisions that are not held back."""
+    return (F.col("event") == REQUESTED) | (F.col("event").isin(APPROVED, REJECTED) & ~F.coalesce("held", F.lit(False)))
+
+
 def review_sla(events: DataFrame, days: int = fv.REVIEW_DAYS, as_of: datetime | None = None) -> DataFrame:
     """What became of every review request: decided, superseded by a new request, elapsed or still open.
 
-    Only the next human event counts, so logs of any length split by hour.
+    A decision that is held back leaves the deadline armed. Only the next free human event counts, so
+    logs of any length split by hour.
     """
-    human = events.filter(F.col("event").isin(REQUESTED, APPROVED, REJECTED)).select("doc_id", "ts", "event_id", "event")
+    human = events.filter(ends_deadline()).select("doc_id", "ts", "event_id", "event")
     seen = ordered.next_row(human, ["doc_id"], _ORDER, ordered.time_bucket("ts"), ["ts", "event"], "next")
     deadline = F.col("ts") + F.expr(f"INTERVAL {days} DAYS")
     requests = seen.filter(F.col("event") == REQUESTED).select("*", deadline.alias("deadline"), F.col("next.ts").alias("next_ts"), F.col("next.event").alias("next_event"))
@@ -144,19 +150,33 @@ def lifecycle_map(progress: DataFrame) -> DataFrame:
     )
 
 
-def event_feed(events: DataFrame, n: int = 50) -> DataFrame:
-    """The newest ``n`` events per document, newest first, with their display class."""
-    kind = F.when(F.startswith("event", F.lit("human")), "human").when(F.instr("event", ".done") > 1, "done").otherwise("")
-    newest = ordered.smallest_k(events, ["doc_id"], [F.desc("ts"), F.desc("event_id")], n, "rank")
-    return newest.withColumn("class", kind)
+def _display_class() -> Column:
+    return F.when(F.startswith("event", F.lit("human")), "human").when(F.instr("event", ".done") > 1, "done").otherwise("")
+
+
+def event_feed(events: DataFrame) -> DataFrame:
+    """Every event of each document, ranked from the newest, with its display class.
+
+    The rank is the number of events from here on, counted over hours of the log, so one long log splits.
+    """
+    count = ordered.row_number(events, ["doc_id"], _ORDER, ordered.time_bucket("ts"), "__nth")
+    total = events.groupBy("doc_id").agg(F.count("*").alias("__all"))
+    same = F.col("e.doc_id").eqNullSafe(F.col("t.doc_id"))
+    ranked = count.alias("e").join(total.alias("t"), same).select("e.*", (F.col("__all") - F.col("__nth") + 1).alias("rank")).drop("__nth")
+    return ranked.withColumn("class", _display_class())
+
+
+def newest_events(events: DataFrame, n: int) -> DataFrame:
+    """A report of the newest ``n`` events per document, limited before the shuffle."""
+    return ordered.smallest_k(events, ["doc_id"], [F.desc("ts"), F.desc("event_id")], n, "rank").withColumn("class", _display_class())
 
 
-def context_summary(gates: DataFrame, steps: DataFrame, rollups: DataFrame, rows: DataFrame, events: DataFrame) -> DataFrame:
-    """What a reader is told about each document: gate, steps, counters, rows and its last six events."""
+def context_summary(gates: DataFrame, steps: DataFrame, rollups: DataFrame, rows: DataFrame, events: DataFrame, shown_events: int = 6) -> DataFrame:
+    """What a reader is told about each document: gate, steps, counters, rows and its last ``shown_events`` events."""
     place = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in fv.STEPS]), F.col("step")).cast("int"), F.lit(0))
     shown = F.array_sort(F.collect_list(F.struct(F.when(place == 0, 99).otherwise(place).alias("at"), "step", "status")))
     step_text = steps.groupBy("doc_id").agg(F.array_join(F.transform(shown, lambda s: F.concat(s["step"], F.lit(":"), s["status"])), ", ").alias("steps"))
-    recent = event_feed(events, 6).groupBy("doc_id").agg(
+    recent = newest_events(events, shown_events).groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("at"), "event"))), lambda e: e["event"]), ", ").alias("recent")
     )
     n_rows = rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
@@ -170,9 +190,9 @@ def context_summary(gates: DataFrame, steps: DataFrame, rollups: DataFrame, rows
 
 
 def chat_turns(turns: DataFrame) -> DataFrame:
-    """Turns as kept: what people wrote trimmed, cut at 2000 characters and dropped when empty; answers as they are."""
+    """Turns as kept: what people wrote trimmed and dropped when empty; answers as they are."""
     mine = F.col("role") == "user"
-    kept = F.when(mine, F.substring(trimmed(F.coalesce("text", F.lit(""))), 1, 2000)).otherwise(F.col("text"))
+    kept = F.when(mine, trimmed(F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
     return turns.withColumn("text", kept).filter(~mine | (F.col("text") != ""))
 
 

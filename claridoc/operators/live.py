@@ -12,18 +12,18 @@ from claridoc.functions import blocks as block_scan
 from claridoc.functions import fixed_values as fv
 from claridoc.functions.text import WS, escape_html, existing_block_id, trimmed, truthy, with_block_id
 from claridoc.operators import ordered
+from claridoc.session import written
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def js_number(c: Column) -> Column:
-    """A text as a finite number: blank is 0, hexadecimal is read, anything else is NULL."""
+    """A text as a finite number: blank is 0, hexadecimal is read, anything else and anything infinite is NULL."""
     t = trimmed(c)
-    return (
-        F.when(t == "", 0.0)
-        .when(t.rlike(_NUMBER), t.try_cast("double"))
-        .when(t.rlike(r"^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(t, 3, 64), 16, 10).cast("double"))
-    )
+    digits = F.split(F.regexp_replace(t, "^0[xX]", ""), "(?<=.)(?=.)")  # summed as doubles: any length, no overflow
+    hexadecimal = F.aggregate(digits, F.lit(0.0), lambda n, d: n * 16 + F.conv(d, 16, 10).cast("double"))
+    n = F.when(t == "", 0.0).when(t.rlike(_NUMBER), t.try_cast("double")).when(t.rlike(r"^0[xX][0-9a-fA-F]+$"), hexadecimal)
+    return F.when(F.abs(n) < F.lit(float("inf")), n)
 
 
 def number_plain(c: Column) -> Column:
@@ -57,9 +57,10 @@ def snapshot(events: DataFrame) -> DataFrame:
 
     Every append is a block of its own; a replace of an id nobody used before is one too. A block
     shows the last replace of its id that came later, else its own markup. Its place is the number
-    of the event it was born with. All of it is aggregation per block id, without ordered windows.
+    of the event it was born with. All of it is aggregation per block id, without ordered windows. The
+    addressed events are written once, since four aggregations read them.
     """
-    rows = addressed(events)
+    rows = written(addressed(events))
     # an append takes the loading placeholder away: only what came after the last append remains
     last_append = rows.filter(F.col("type") == "append").groupBy("session_id").agg(F.max("seq").alias("last_append"))
     loading = F.col("block_id") == fv.LOADING_BLOCK
@@ -85,7 +86,7 @@ def snapshot(events: DataFrame) -> DataFrame:
 def resume_point(last_event_id: Column, after: Column) -> Column:
     """Where a reader goes on: the header beats the parameter; nonsense and negatives mean the start."""
     n = js_number(F.coalesce(last_event_id, after))
-    return F.coalesce(F.when(n >= 0, F.floor(n)), F.lit(0)).cast("bigint")
+    return F.coalesce(F.when(n >= 0, F.floor(F.least(n, F.lit(9.0e18)))), F.lit(0)).cast("bigint")
 
 
 def replay_after(events: DataFrame, resume: DataFrame) -> DataFrame:
@@ -139,8 +140,10 @@ def chunk_blocks(chunks: DataFrame) -> DataFrame:
     but it is read through, not gathered: memory holds one Arrow batch and the open block.
     """
     kind = chunks.schema["doc_id"].dataType.simpleString()
-    sorted_ = chunks.select("doc_id", "chunk_no", "chunk").repartition("doc_id").sortWithinPartitions("doc_id", "chunk_no")
-    return sorted_.mapInPandas(block_scan.scan_chunks, f"doc_id {kind}, block_no bigint, html string")
+    key = F.col("doc_id").cast("string").alias("doc_id")  # pandas has no NULL among integers
+    sorted_ = chunks.select(key, "chunk_no", "chunk").repartition("doc_id").sortWithinPartitions("doc_id", "chunk_no")
+    blocks = sorted_.mapInPandas(block_scan.scan_chunks, "doc_id string, block_no bigint, html string")
+    return blocks.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def extract_blocks(docs: DataFrame) -> DataFrame:
@@ -215,7 +218,7 @@ def inline_budget(figures: DataFrame, budget: int = fv.INLINE_IMAGE_BUDGET) -> D
     named = ordered.first_per_key(figures.filter(F.col("crop_bytes").isNotNull() & (F.col("crop_bytes") <= budget)), ["session_id", "fig_id"], [F.col("ord")], ["ord", "crop_bytes"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, used = None, 0
+        session, used = (), 0  # no session yet; NULL is one like any other
         for batch in batches:
             kept = []
             for s, size in zip(batch["session_id"], batch["crop_bytes"]):
@@ -226,14 +229,18 @@ def inline_budget(figures: DataFrame, budget: int = fv.INLINE_IMAGE_BUDGET) -> D
                 kept.append(fits)
             yield batch[["session_id", "fig_id"]][pd.Series(kept, index=batch.index, dtype=bool)]
 
-    sorted_ = named.select("session_id", "fig_id", "ord", "crop_bytes").repartition("session_id").sortWithinPartitions("session_id", "ord")
-    inlined = sorted_.mapInPandas(scan, f"session_id {figures.schema['session_id'].dataType.simpleString()}, fig_id string")
-    return figures.join(inlined.withColumn("inlined", F.lit(True)), ["session_id", "fig_id"], "left").withColumn("inlined", F.coalesce("inlined", F.lit(False)))
+    key = F.col("session_id").cast("string").alias("session_id")
+    sorted_ = named.select(key, "fig_id", "ord", "crop_bytes").repartition("session_id").sortWithinPartitions("session_id", "ord")
+    inlined = sorted_.mapInPandas(scan, "session_id string, fig_id string").withColumn("session_id", F.col("session_id").cast(figures.schema["session_id"].dataType))
+    same = F.col("f.session_id").eqNullSafe(F.col("i.session_id")) & (F.col("f.fig_id") == F.col("i.fig_id"))
+    return figures.alias("f").join(inlined.alias("i"), same, "left").select("f.*", F.col("i.fig_id").isNotNull().alias("inlined"))
 
 
-def visible_sessions(sessions: DataFrame, seeded: list[str] = fv.SEEDED_SESSIONS) -> DataFrame:
+def visible_sessions(sessions: DataFrame, seeded: list[str]) -> DataFrame:
     """Who may read a session: everyone, holders of the link, or its creator by token hash.
 
+    ``seeded``: identifiers of sessions that are public whatever they say.
+
     ``sessions``: session_id, visibility, creator_hash, request_token.
     """
     public = (F.coalesce("visibility", F.lit("")) == "public") | F.col("session_id").cast("string").isin(seeded)

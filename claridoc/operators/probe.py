@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claridoc.functions import fixed_values as fv
 from claridoc.functions.text import trimmed, truthy
-from claridoc.session import cut_lineage
+from claridoc.session import written
 
 
 def _set(c: Column) -> Column:
@@ -50,27 +50,21 @@ def figure_alt_coverage(elements: DataFrame) -> DataFrame:
 def tree_depths(elements: DataFrame, max_depth: int = 200) -> DataFrame:
     """Depth of every element reachable from a root (parent 0 or NULL; depth 0), up to ``max_depth``.
 
-    Pointer doubling: after k rounds each open element knows its ancestor 2^k levels up, so depth d
-    takes log2(d) shuffle joins however large a document is. Elements that reached a root, or whose
-    chain breaks, leave the working set.
+    Pointer doubling in one frame: ``up`` is the ancestor ``hop`` levels above, 0 once a root is passed. A round
+    is one join and one write; depth d takes log2(d) rounds however large a document is. Elements whose
+    chain breaks leave; those on a circle are still open at the end and leave too.
     """
-    nodes = elements.select("doc_id", "elem", F.coalesce("parent_elem", F.lit(0)).alias("up")).dropDuplicates(["doc_id", "elem"])
-    is_root = F.col("up") == 0
-    found = [cut_lineage(nodes.filter(is_root).select("doc_id", "elem", F.lit(0).cast("bigint").alias("depth")))]
-    # hop: levels climbed so far to reach `up`
-    open_ = cut_lineage(nodes.filter(~is_root).select("doc_id", "elem", "up", F.lit(1).cast("bigint").alias("hop")))
+    rows = written(
+        elements.select("doc_id", "elem", F.coalesce("parent_elem", F.lit(0)).cast("bigint").alias("up"), F.lit(1).cast("bigint").alias("hop")).dropDuplicates(["doc_id", "elem"])
+    )
+    done = F.col("up") == 0
     span = 1
-    while span <= max_depth and not open_.isEmpty():
-        resolved = union_all(found).select("doc_id", F.col("elem").alias("up"), "depth")
-        arrived = open_.join(resolved, ["doc_id", "up"]).select("doc_id", "elem", (F.col("depth") + F.col("hop")).alias("depth"))
-        mid = open_.select("doc_id", F.col("elem").alias("up"), F.col("up").alias("up2"), F.col("hop").alias("hop2"))
-        climbing = open_.join(mid, ["doc_id", "up"]).select(
-            "doc_id", "elem", F.col("up2").alias("up"), (F.col("hop") + F.col("hop2")).alias("hop")
-        )
-        found.append(cut_lineage(arrived))
-        open_ = cut_lineage(climbing)
+    while span <= max_depth and not rows.filter(~done).isEmpty():
+        above = rows.select("doc_id", F.col("elem").alias("up"), F.col("up").alias("up2"), F.col("hop").alias("hop2")).filter("up <> 0")
+        climbed = rows.filter(~done).join(above, ["doc_id", "up"]).select("doc_id", "elem", F.col("up2").alias("up"), (F.col("hop") + F.col("hop2")).alias("hop"))
+        rows = written(rows.filter(done).unionByName(climbed))
         span *= 2
-    return union_all(found).filter(F.col("depth") <= max_depth)
+    return rows.filter(done).select("doc_id", "elem", (F.col("hop") - 1).alias("depth")).filter(F.col("depth") <= max_depth)
 
 
 def tree_reach(elements: DataFrame, max_depth: int = 200) -> DataFrame:
@@ -84,7 +78,7 @@ def table_header_coverage(elements: DataFrame, max_depth: int = 60) -> DataFrame
     Doubling again: round k knows, per element, the nearest header cell less than 2^k levels below.
     Only elements above a header cell are carried from round to round.
     """
-    up = cut_lineage(
+    up = written(
         elements.filter(F.coalesce("parent_elem", F.lit(0)) != 0)
         .select("doc_id", "elem", F.col("parent_elem").alias("up"))
         .dropDuplicates(["doc_id", "elem"])
@@ -93,9 +87,9 @@ def table_header_coverage(elements: DataFrame, max_depth: int = 60) -> DataFrame
     span = 1
     while span <= max_depth and not up.isEmpty():
         lifted = near.join(up, ["doc_id", "elem"]).select("doc_id", F.col("up").alias("elem"), (F.col("dist") + span).alias("dist"))
-        near = cut_lineage(near.unionByName(lifted).groupBy("doc_id", "elem").agg(F.min("dist").alias("dist")))
+        near = written(near.unionByName(lifted).groupBy("doc_id", "elem").agg(F.min("dist").alias("dist")))
         above = up.select("doc_id", F.col("elem").alias("up"), F.col("up").alias("up2"))
-        up = cut_lineage(up.join(above, ["doc_id", "up"]).select("doc_id", "elem", F.col("up2").alias("up")))
+        up = written(up.join(above, ["doc_id", "up"]).select("doc_id", "elem", F.col("up2").alias("up")))
         span *= 2
     headed = near.filter(F.col("dist") <= max_depth).select("doc_id", "elem", F.lit(True).alias("headed"))
     return (
@@ -106,25 +100,28 @@ def table_header_coverage(elements: DataFrame, max_depth: int = 60) -> DataFrame
     )
 
 
-def subtree_text(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+def subtree_text(nodes: DataFrame) -> DataFrame:
     """Text of every element's subtree, joined by blanks in element order.
 
     ``nodes``: doc_id, elem, parent_elem, text. The (element, ancestor) pairs grow by doubling and
     carry ids only; their number is elements times depth. A root's text is the text of its whole
-    document, which the result asks for. ``max_depth`` only ends the search in broken, circular data.
+    document, which the result asks for. There is no bound on depth: doubling ends when no chain goes on, or in
+    circular data after as many levels as the largest document has elements. Elements of a circle then
+    all have the text of everything that hangs on it, each element once.
     """
+    most = nodes.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
     spoken = nodes.filter(trimmed(F.col("text")) != "").select("doc_id", "elem", "text")
-    pairs = cut_lineage(spoken.select("doc_id", "elem", F.col("elem").alias("anc")))
-    up = cut_lineage(
+    pairs = written(spoken.select("doc_id", "elem", F.col("elem").alias("anc")))
+    up = written(
         nodes.filter(F.coalesce("parent_elem", F.lit(0)) != 0).select("doc_id", "elem", F.col("parent_elem").alias("up"))
     )
     span = 1
-    while span <= max_depth and not up.isEmpty():
+    while span <= most and not up.isEmpty():
         climb = up.withColumnRenamed("elem", "anc")
         lifted = pairs.join(climb, ["doc_id", "anc"]).select("doc_id", "elem", F.col("up").alias("anc"))
-        pairs = cut_lineage(pairs.unionByName(lifted))
+        pairs = written(pairs.unionByName(lifted).distinct())
         above = up.select("doc_id", F.col("elem").alias("up"), F.col("up").alias("up2"))
-        up = cut_lineage(up.join(above, ["doc_id", "up"]).select("doc_id", "elem", F.col("up2").alias("up")))
+        up = written(up.join(above, ["doc_id", "up"]).select("doc_id", "elem", F.col("up2").alias("up")))
         span *= 2
     ordered = F.array_sort(F.collect_list(F.struct("elem", "text")))
     return (
@@ -223,14 +220,18 @@ def score_from_findings(facts: DataFrame, findings: DataFrame) -> DataFrame:
     return facts.join(lost, "doc_id", "left").select("doc_id", F.when(F.col("openable"), score).alias("score"))
 
 
-def audit_record(facts: DataFrame) -> DataFrame:
-    """Review reasons, gate, tier and finalized flag per document, from one pass over the facts."""
+def review_reasons() -> Column:
+    """Why a person is asked: error findings in order, then the reading order of tagged documents."""
     errors = F.filter(findings_array(), lambda f: f["severity"] == "error")
     reasons = F.transform(errors, lambda f: F.concat(f["criterion"], F.lit(": "), f["finding"]))
     undecided = F.col("openable") & F.col("has_struct_root") & F.col("marked")
-    all_reasons = F.when(undecided, F.array_append(reasons, F.lit(fv.READING_ORDER_REASON))).otherwise(reasons)
+    return F.when(undecided, F.array_append(reasons, F.lit(fv.READING_ORDER_REASON))).otherwise(reasons)
+
+
+def audit_record(facts: DataFrame) -> DataFrame:
+    """Review reasons, gate, tier and finalized flag per document, from one pass over the facts."""
     open_ = F.size("review_reasons") > 0
-    return facts.withColumn("review_reasons", all_reasons).select(
+    return facts.withColumn("review_reasons", review_reasons()).select(
         "doc_id",
         F.when(open_, "pending_review").otherwise("finalized").alias("gate"),
         F.when(open_, "Audited").otherwise("Remediated").alias("tier"),
@@ -240,12 +241,12 @@ def audit_record(facts: DataFrame) -> DataFrame:
 
 
 def record_summary(facts: DataFrame) -> DataFrame:
-    """Flat projection of a document's record; ``served`` only once finalized."""
-    records = audit_record(facts)
-    flat = tagged(facts).select("doc_id", "openable", "tagged", "lang", "title", "page_count", findings_array().alias("findings"))
-    shown = F.col("openable")
-    return flat.join(records, "doc_id").select(
-        "doc_id", "gate", F.col("tier").alias("claim_tier"), "finalized", F.col("finalized").alias("served"),
+    """Flat projection of a document's record; ``served`` only once finalized. One row in, one row out, no join."""
+    flat = tagged(facts.withColumns({"review_reasons": review_reasons(), "findings": findings_array()}))
+    shown, open_ = F.col("openable"), F.size("review_reasons") > 0
+    return flat.select(
+        "doc_id", F.when(open_, "pending_review").otherwise("finalized").alias("gate"), F.when(open_, "Audited").otherwise("Remediated").alias("claim_tier"),
+        (~open_).alias("finalized"), (~open_).alias("served"),
         F.when(shown, score_of(F.col("findings"))).alias("score"),
         F.when(shown, F.col("tagged")).alias("tagged"),
         F.when(shown, F.col("lang")).alias("lang"),

@@ -146,7 +146,7 @@ def apply_completion(rows: DataFrame, decisions: DataFrame, key: str = "page_id"
     question = F.coalesce(truthy(F.col("human_question")), default_question)
     flag = F.when(F.col("approximated"), "true").otherwise("false")
     note = (
-        F.when(F.col("decided").isNull(), F.lit("LLM-decide unavailable (no OPENROUTER_API_KEY) → escalated for human review."))
+        F.when(F.col("decided").isNull(), F.lit("No decision given → escalated for human review."))
         .when(F.col("error").isNotNull(), F.concat(F.lit("LLM-decide error ("), F.col("error"), F.lit(") → escalated.")))
         .when(accept & acceptable, F.lit("(LLM-decide: accepted machine pre-assessment.)"))
         .when(
@@ -186,10 +186,12 @@ def rows_guarded_unless(rows: DataFrame, settled: Column) -> DataFrame:
 
 def assess_contrast(pages: DataFrame, decisions: DataFrame) -> DataFrame:
     """Contrast rows (with ``borderline``): settled ones stay, borderline ones take a decision."""
-    measured = pages.withColumn("measured_verdict", F.col("verdict"))
-    settled = measured.filter(settle_contrast())
-    turned = authority_guard(apply_completion(measured.filter(~settle_contrast()), decisions))
-    return stamp(settled.unionByName(turned), "contrast-service", ["WCAG 1.4.3"])
+    changed = ("state", "needs_human", "rationale")
+    measured = pages.withColumns({"measured_verdict": F.col("verdict"), "__settled": settle_contrast(), "__was": F.struct(*changed)})
+    turned = authority_guard(apply_completion(measured, decisions))
+    # decisions are joined once; settled rows take back what they had
+    chosen = turned.withColumns({c: F.when(F.col("__settled"), F.col(f"__was.{c}")).otherwise(F.col(c)) for c in changed})
+    return stamp(chosen.drop("__settled", "__was"), "contrast-service", ["WCAG 1.4.3"])
 
 
 def agent_gate(rows: DataFrame) -> DataFrame:

@@ -18,14 +18,13 @@ DRAFT_ROW = {
 }
 NOTE_ADOPTED = (
     "Adopted a caller-supplied remediated V2 (tagged) PDF at ",
-    ". (In-Worker tagged-PDF write is not available — V2 is produced offline by an external Python+Chrome+pikepdf pipeline; the repair plan above is the per-failure spec it implements.)",
+    ". The repair plan above lists what the second version has to mend.",
 )
 NOTE_CANDIDATE = (
-    "No V2 produced — repair plan derived from audit failures. V2 tagged-PDF write requires an offline pipeline (pikepdf + headless-Chrome generateTaggedPDF + PyMuPDF); "
-    "there is NO callable remediation endpoint a Worker can invoke. Supply fixedPdfUrl (a pre-built V2) to get a real Compare before→after delta."
+    "No second version — repair plan derived from audit failures. Supply the address of a tagged second version to compare before and after."
 )
 NOTE_HTML_ADOPTED = ("Created semantic HTML draft and adopted caller-supplied V2 at ", ".")
-NOTE_HTML_ONLY = "Created semantic HTML draft. No fixed PDF was emitted in Worker runtime; Review PDF will record the blocker unless fixedPdfUrl is supplied."
+NOTE_HTML_ONLY = "Created semantic HTML draft. There is no fixed PDF yet; the review records that unless a second version is supplied."
 NOTE_DELTA = (
     "Re-ran the deterministic byte probe on the remediated V2; after = its non-pass count over the SAME 4 structural/byte criteria (1.1.1-presence, 1.3.1, 1.3.2, 2.4.2) used for before. Δ = ",
     " fewer non-pass structural criteria. (1.4.3 contrast + 4.1.2 validator are NOT re-measured on V2, so they are excluded from BOTH sides of this delta.)",
@@ -33,7 +32,7 @@ NOTE_DELTA = (
 NOTE_FAILED = ("V2 re-audit failed (", ") — after not measured; before = the V1 full-audit non-pass count.")
 NOTE_NO_V2 = (
     "No emitted fixed PDF to validate yet. Create HTML produced ", " cited block(s) and ",
-    " tag-plan item(s); supply fixedPdfUrl or run the offline tagged-PDF emitter to measure after.",
+    " tag-plan item(s); supply a second version to measure after.",
 )
 DRAFT_HEAD = [
     '<article class="a11y-accessible-html" data-a11y-phase="create-html">', "  <header><p>Source: ", "</p><h1>Accessible HTML draft</h1></header>",
@@ -201,7 +200,7 @@ def validation_delta(criteria: DataFrame, second: DataFrame, second_criteria: Da
     blocks = (F.col("n_criteria") + 1).cast("string")
     note = (
         F.when(~have, F.concat(F.lit(NOTE_NO_V2[0]), blocks, F.lit(NOTE_NO_V2[1]), blocks, F.lit(NOTE_NO_V2[2])))
-        .when(broken, F.concat(F.lit(NOTE_FAILED[0]), F.substring("error", 1, 160), F.lit(NOTE_FAILED[1])))
+        .when(broken, F.concat(F.lit(NOTE_FAILED[0]), F.col("error"), F.lit(NOTE_FAILED[1])))
         .otherwise(F.concat(F.lit(NOTE_DELTA[0]), (F.col("structure_fails") - F.col("after_count")).cast("string"), F.lit(NOTE_DELTA[1])))
     )
     return joined.select(
@@ -210,11 +209,11 @@ def validation_delta(criteria: DataFrame, second: DataFrame, second_criteria: Da
     )
 
 
-def after_evidence(second_facts: DataFrame, scores: DataFrame, second_criteria: DataFrame, top: int = 8) -> DataFrame:
-    """One measurement and up to ``top`` results per second version. A document has four results."""
+def after_evidence(second_facts: DataFrame, scores: DataFrame, second_criteria: DataFrame) -> DataFrame:
+    """One measurement and all open results per second version. A document has four results."""
     ends = second_criteria.groupBy("doc_id").agg(
         F.count("*").alias("n"), F.count_if(non_pass()).alias("bad"),
-        F.slice(F.array_sort(F.collect_list(F.when(non_pass(), F.struct("ord", F.concat(F.col("criterion"), F.lit(": "), F.col("rationale")).alias("detail"))))), 1, top).alias("rows"),
+        F.array_sort(F.collect_list(F.when(non_pass(), F.struct("ord", F.concat(F.col("criterion"), F.lit(": "), F.col("rationale")).alias("detail"))))).alias("rows"),
     )
     ok = F.col("openable")
     facts = second_facts.select(

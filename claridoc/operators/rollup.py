@@ -124,18 +124,16 @@ def rollup_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("doc_id").agg(*_counters())
 
 
-def rollup_row(verdicts: DataFrame, top: int = 12) -> DataFrame:
-    """One assessment per document. A document has 55 verdicts, so its list is short."""
-    detail = F.substring(
-        F.concat(
-            F.col("sc"), F.lit(" "), F.col("name"), F.lit(": "), F.col("verdict"),
-            F.when(F.col("needs_human"), " (needs human review)").otherwise(""), F.lit(" — "), F.col("rationale"),
-        ), 1, 300,
+def rollup_row(verdicts: DataFrame) -> DataFrame:
+    """One assessment per document with all its open criteria, 55 at most; ``text.displayed`` shortens it for a page."""
+    detail = F.concat(
+        F.col("sc"), F.lit(" "), F.col("name"), F.lit(": "), F.col("verdict"),
+        F.when(F.col("needs_human"), " (needs human review)").otherwise(""), F.lit(" — "), F.col("rationale"),
     )
     open_ = (F.col("verdict") == "failed") | F.col("needs_human")
     kept = open_ & ((F.col("source") != "human-only") | (F.col("verdict") == "cannot_tell"))
-    listed = F.slice(F.array_sort(F.collect_list(F.when(kept, F.struct("sc_ord", F.col("sc").alias("citation"), detail.alias("detail"))))), 1, top)
-    rows = verdicts.groupBy("doc_id").agg(*[c.alias(f"n_{n}") for c, n in zip(_counters(), ("total", "passed", "failed", "human", "na"))], listed.alias("top"))
+    listed = F.array_sort(F.collect_list(F.when(kept, F.struct("sc_ord", F.col("sc").alias("citation"), detail.alias("detail")))))
+    rows = verdicts.groupBy("doc_id").agg(*[c.alias(f"n_{n}") for c, n in zip(_counters(), ("total", "passed", "failed", "human", "na"))], listed.alias("open"))
     failed, human = F.col("n_failed") > 0, F.col("n_human") > 0
     return rows.select(
         "doc_id", F.lit("wcag").alias("agent"),
@@ -143,7 +141,7 @@ def rollup_row(verdicts: DataFrame, top: int = 12) -> DataFrame:
         F.when(failed, "failed").when(human, "cannot_tell").otherwise("passed").alias("verdict"),
         F.when(failed, 0.9).when(human, 0.5).otherwise(0.95).alias("confidence"),
         (failed | human).alias("needs_human"),
-        F.transform("top", lambda t: F.struct(t["citation"].alias("citation"), t["detail"].alias("detail"))).alias("evidence"),
+        F.transform("open", lambda t: F.struct(t["citation"].alias("citation"), t["detail"].alias("detail"))).alias("evidence"),
         F.concat(
             F.lit("WCAG 2.2 AA rollup over "), F.col("n_total").cast("string"), F.lit(" SC: "), F.col("n_passed").cast("string"), F.lit(" pass, "),
             F.col("n_failed").cast("string"), F.lit(" fail, "), F.col("n_human").cast("string"), F.lit(" need human review, "),
@@ -174,10 +172,10 @@ def corpus_rollup(verdicts: DataFrame, attrs: DataFrame) -> DataFrame:
     return subtotals.select("grouping", *keys, *names)
 
 
-def corpus_area_rank(areas: DataFrame, attrs: DataFrame, top: int = 10) -> DataFrame:
-    """Sources ranked by the share of failed documents, per area."""
+def corpus_area_rank(areas: DataFrame, attrs: DataFrame) -> DataFrame:
+    """All sources ranked by the share of failed documents, per area; a limit is the caller's."""
     share = areas.join(attrs.select("doc_id", "source"), "doc_id").groupBy("area_id", "source").agg(
         F.count("*").alias("documents"), F.count_if(F.col("status") == "fail").alias("failed")
     ).withColumn("fail_share", F.col("failed") / F.col("documents"))
     w = Window.partitionBy("area_id").orderBy(F.desc("fail_share"))
-    return share.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("bigint"))
+    return share.withColumn("rank", F.dense_rank().over(w).cast("bigint"))

@@ -85,8 +85,8 @@ def structure_criteria(table: str) -> dict[str, str]:
     )
     title = crit(
         "2.4.2", "'byte-probe'", "CASE WHEN ttl IS NULL OR NOT dd THEN 'failed' ELSE 'passed' END", "ttl IS NULL OR NOT dd",
-        "CASE WHEN ttl IS NULL THEN 'No document Title in metadata.' WHEN NOT dd THEN 'Title=\"' || substr(ttl, 1, 80) || '\" but DisplayDocTitle is not enabled.' "
-        "ELSE 'Title=\"' || substr(ttl, 1, 80) || '\"; DisplayDocTitle=true.' END",
+        "CASE WHEN ttl IS NULL THEN 'No document Title in metadata.' WHEN NOT dd THEN 'Title=\"' || ttl || '\" but DisplayDocTitle is not enabled.' "
+        "ELSE 'Title=\"' || ttl || '\"; DisplayDocTitle=true.' END",
         "CASE WHEN ttl IS NULL THEN 'No document Title → window/tab shows the filename (WCAG 2.4.2 fail).' "
         "WHEN NOT dd THEN 'Title set but ViewerPreferences /DisplayDocTitle is off → viewers show the filename (WCAG 2.4.2 fail).' "
         "ELSE 'Document has a Title and DisplayDocTitle is enabled — WCAG 2.4.2 satisfied.' END",
@@ -104,7 +104,7 @@ def _lane(code: str, lane: str, name: str, table: str) -> str:
     return (
         f"SELECT p.doc_id, {quoted(title)} AS criterion, CASE WHEN {_LOST} THEN '{lane}-error' ELSE '{lane}' END AS via, "
         f"CASE WHEN {_LOST} THEN 'cannot_tell' ELSE c.verdict END AS verdict, CASE WHEN {_LOST} THEN TRUE ELSE c.needs_human END AS needs_human, "
-        f"CASE WHEN {_LOST} THEN '{lane} facet error: ' || substr(COALESCE(c.error, 'no result'), 1, 200) ELSE c.detail END AS detail, "
+        f"CASE WHEN {_LOST} THEN '{lane} facet error: ' || COALESCE(c.error, 'no result') ELSE c.detail END AS detail, "
         f"CASE WHEN {_LOST} THEN '{name} lane failed (facet error) — escalated for human review (fail-closed).' ELSE c.rationale END AS rationale "
         f"FROM probe_facts p LEFT JOIN {table} c ON p.doc_id = c.doc_id"
     )

@@ -259,9 +259,8 @@ query(
               'WCAG 2.2 AA rollup over ' || total || ' SC: ' || passed || ' pass, ' || failed || ' fail, ' || needs_human || ' need human review, ' || not_applicable || ' N/A for static PDF.' AS rationale
        FROM c_summary s LEFT JOIN (
          SELECT doc_id, string_agg(detail, ' | ' ORDER BY sc_ord) AS detail FROM (
-           SELECT doc_id, sc_ord, substr(sc || ' ' || name || ': ' || verdict || CASE WHEN needs_human THEN ' (needs human review)' ELSE '' END || ' — ' || rationale, 1, 300) AS detail,
-                  ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY sc_ord) AS rn
-           FROM c_verdicts WHERE (verdict = 'failed' OR needs_human) AND (source <> 'human-only' OR verdict = 'cannot_tell')) x WHERE rn <= 12 GROUP BY doc_id) t ON s.doc_id = t.doc_id""",
+           SELECT doc_id, sc_ord, (sc || ' ' || name || ': ' || verdict || CASE WHEN needs_human THEN ' (needs human review)' ELSE '' END || ' — ' || rationale) AS detail
+           FROM c_verdicts WHERE (verdict = 'failed' OR needs_human) AND (source <> 'human-only' OR verdict = 'cannot_tell')) x GROUP BY doc_id) t ON s.doc_id = t.doc_id""",
 )
 query(
     "r7_areas_for_standard",
@@ -290,5 +289,5 @@ query(
     """SELECT * FROM (SELECT area_id, source, documents, failed, round(failed / documents, 6) AS fail_share,
               CAST(DENSE_RANK() OVER (PARTITION BY area_id ORDER BY failed / documents DESC) AS BIGINT) AS rank
        FROM (SELECT area_id, source, COUNT(*) AS documents, CAST(COUNT(*) FILTER (WHERE status = 'fail') AS BIGINT) AS failed
-             FROM c_areas a JOIN documents d ON a.doc_id = d.doc_id GROUP BY area_id, source) s) r WHERE rank <= 10""",
+             FROM c_areas a JOIN documents d ON a.doc_id = d.doc_id GROUP BY area_id, source) s) r""",
 )

@@ -55,12 +55,12 @@ CHECK_VIEWS.update(
             SELECT page_id, span_idx, ratio, ROW_NUMBER() OVER (PARTITION BY page_id, span_idx ORDER BY ratio) - 1 AS i, COUNT(*) OVER (PARTITION BY page_id, span_idx) AS n
             FROM (SELECT page_id, span_idx, {_ratio('ink', _lum('r', 'g', 'b'))} AS ratio FROM c_hits WHERE a = 255) q""",
         "c_spans": f"""
-            SELECT b.page_id, b.span_idx, substr(text, 1, 80) AS text, color, x0, y0, x1, y1, worst_ratio, median_ratio, {_LARGE} AS large_text,
+            SELECT b.page_id, b.span_idx, text, color, x0, y0, x1, y1, worst_ratio, median_ratio, {_LARGE} AS large_text,
                    CASE WHEN {_LARGE} THEN 3.0 ELSE 4.5 END::DOUBLE AS threshold, worst_ratio >= CASE WHEN {_LARGE} THEN 3.0 ELSE 4.5 END AS passes
             FROM c_boxes b JOIN (SELECT page_id, span_idx, MAX({_round2('ratio')}) FILTER (WHERE i = n // 50) AS worst_ratio, MAX({_round2('ratio')}) FILTER (WHERE i = n // 2) AS median_ratio
                                  FROM c_ranked GROUP BY page_id, span_idx) s ON b.page_id = s.page_id AND b.span_idx = s.span_idx""",
         "c_approx": f"""
-            SELECT page_id, span_idx, substr(text, 1, 80) AS text, color, CAST(floor(x) AS BIGINT) AS x0, CAST(floor(y) AS BIGINT) AS y0,
+            SELECT page_id, span_idx, text, color, CAST(floor(x) AS BIGINT) AS x0, CAST(floor(y) AS BIGINT) AS y0,
                    CAST(ceil(x + width) AS BIGINT) AS x1, CAST(ceil(y + height) AS BIGINT) AS y1, {_round2(_ratio('ink', _lum('255', '255', '255')))} AS worst_ratio,
                    {_round2(_ratio('ink', _lum('255', '255', '255')))} AS median_ratio, FALSE AS large_text, 4.5::DOUBLE AS threshold,
                    {_round2(_ratio('ink', _lum('255', '255', '255')))} >= 4.5 AS passes FROM c_ink""",
@@ -108,7 +108,7 @@ CHECK_VIEWS["c_page_rows"] = f"""
     FROM c_page_lane"""
 CHECK_VIEWS["c_turned"] = f"""
     SELECT r.*, d.action, d.error, d.page_id AS decided, d.action = 'accept' AND d.error IS NULL AND verdict = 'passed' AND NOT approximated AND n_spans > 0 AS ok,
-           CASE WHEN d.page_id IS NULL THEN 'LLM-decide unavailable (no OPENROUTER_API_KEY) → escalated for human review.'
+           CASE WHEN d.page_id IS NULL THEN 'No decision given → escalated for human review.'
                 WHEN d.error IS NOT NULL THEN 'LLM-decide error (' || d.error || ') → escalated.'
                 WHEN d.action = 'accept' AND verdict = 'passed' AND NOT approximated AND n_spans > 0 THEN '(LLM-decide: accepted machine pre-assessment.)'
                 WHEN d.action = 'accept' THEN 'LLM-decide returned accept on a non-pass/approximate measurement (verdict=' || verdict || ', approximated=' ||

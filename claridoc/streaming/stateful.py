@@ -231,7 +231,9 @@ class Deadline(_Processor):
         waiting = self.request.get() if self.request.exists() else None
         armed = self._timer(waiting[1]) if waiting else None
         out = []
-        for event_id, at, event in _in_order(rows, "at", "event_id")[["event_id", "at", "event"]].itertuples(index=False):
+        for event_id, at, event, held in _in_order(rows, "at", "event_id")[["event_id", "at", "event", "held"]].itertuples(index=False):
+            if held == True and event != REQUESTED:  # noqa: E712  put off: the deadline stays armed (NULL is not held)
+                continue
             if waiting:
                 in_time = at <= waiting[1] + self.span
                 out.append((*waiting, ("superseded" if event == REQUESTED else "decided") if in_time else "elapsed"))
@@ -258,7 +260,8 @@ class Deadline(_Processor):
 def sla_stream(events: DataFrame, days: int = fv.REVIEW_DAYS, delay: str = "1 day") -> DataFrame:
     """What became of each request, as soon as it is known: at the next human event or at its deadline.
 
-    The gate itself stays closed when a deadline passes. ``delay`` is how late events may come.
+    A decision that is held back leaves the deadline armed. The gate itself stays closed when a deadline
+    passes. ``delay`` is how late events may come.
     """
     human = _human(events).withWatermark("ts", delay)
     return human.groupBy("doc_id").transformWithStateInPandas(
@@ -267,54 +270,39 @@ def sla_stream(events: DataFrame, days: int = fv.REVIEW_DAYS, delay: str = "1 da
 
 
 class Limiter(_Processor):
-    """Requests seen per key in its open windows; windows behind the watermark are forgotten."""
+    """Requests seen per key and window; a window is forgotten when the watermark passes its end."""
 
     def __init__(self, limit: int, seconds: int):
         self.limit, self.seconds = limit, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "slots array<bigint>, counts array<bigint>")
-
-    def _known(self) -> dict[int, int]:
-        if not self.open.exists():
-            return {}
-        slots, counts = self.open.get()
-        return {int(s): int(c) for s, c in zip(slots, counts)}
-
-    def _keep(self, known: dict[int, int], past_ms: int) -> None:
-        left = {s: c for s, c in known.items() if (s + self.seconds) * 1000 > past_ms}
-        if left:
-            self.open.update((list(left), list(left.values())))
-            self.handle.registerTimer((max(left) + self.seconds) * 1000)
-        else:
-            self.open.clear()
+        self.count = handle.getValueState("count", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        known = self._known()
-        batch = _in_order(rows, "at", "request_id")
-        out = []
-        for request, slot in zip(batch["request_id"], batch["slot"]):
-            slot = int(slot)
-            known[slot] = n = known.get(slot, 0) + 1
-            out.append((int(request), _one(key), slot, n, n <= self.limit))
-        self._keep(known, timerValues.getCurrentWatermarkInMs())
+        who, slot = key[0], int(key[1])
+        start = self.count.get()[0] if self.count.exists() else 0
+        requests = _in_order(rows, "at", "request_id")["request_id"]
+        out = [(int(r), who, slot, n, n <= self.limit) for n, r in enumerate(requests, start + 1)]
+        self.count.update((start + len(out),))
+        self.handle.registerTimer((slot + self.seconds) * 1000)
         yield from _frames(out, ["request_id", "key", "slot", "n", "ok"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        known = self._known()
-        if known:
-            self._keep(known, expiredTimerInfo.getExpiryTimeInMs())
+        self.count.clear()
         yield from ()
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = 15, seconds: int = 60, delay: str = "1 minute") -> DataFrame:
-    """Each request with its position in the window and whether it is accepted. ``requests``: key, ts, request_id."""
+    """Each request with its position in the window and whether it is accepted. ``requests``: key, ts, request_id.
+
+    State is kept by key and window, so requests without a key, however many, spread over their windows.
+    """
     at = F.unix_micros("ts")
     slotted = (
         requests.withWatermark("ts", delay).withColumn("key", F.coalesce("key", F.lit("anon"))).withColumn("at", at)
         .withColumn("slot", F.floor(at / (seconds * MICROS)) * seconds)
     )
-    return slotted.groupBy("key").transformWithStateInPandas(
+    return slotted.groupBy("key", "slot").transformWithStateInPandas(
         Limiter(limit, seconds), "request_id bigint, key string, slot bigint, n bigint, ok boolean", "append", "EventTime"
     )

