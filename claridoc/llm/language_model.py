@@ -164,43 +164,45 @@ def score_text_layers(text_layers: DataFrame, trains: Column | None = None, bloc
     pair_shards, word_shards = max(1, -(-about // PAIRS_PER_SHARD)), max(1, -(-about // WORDS_PER_SHARD))
     size = max(1024, filter_bits // pair_shards // 8 * 8)
 
-    def send(table: pa.Table, of_pairs: bool) -> pa.Table:
-        """Training counts of a block by shard; for words, those it only asks about are sent with count 0."""
-        _, _, text = blocks.in_order(table)
-        learn = _learning(table)
-        keys, times = [], []
-        for lo, hi in words.chunks(text):
-            token, before, first = _tokens(text.slice(lo, hi - lo))
-            on = np.repeat(learn[lo:hi], np.diff(first))
-            k, t = _counted(_pair(token, before)[on] if of_pairs else token, np.ones(int(on.sum()), np.int64) if of_pairs else on.astype(np.int64))
-            keys.append(k)
-            times.append(t)
-        k, t = _counted(np.concatenate(keys), np.concatenate(times))
-        return blocks.rows_table(_by_shard(table.column("block")[0].as_py(), k, t, pair_shards if of_pairs else word_shards))
-
     def _learning(table: pa.Table) -> np.ndarray:
-        doc, null, text = blocks.in_order(table)
+        doc, null, _ = blocks.in_order(table)
         by_row = dict(zip(table.column("doc_id").to_pylist(), table.column("out").to_pylist()))
         return np.array([not by_row[None if z else d] for d, z in zip(doc.tolist(), null.tolist())], bool)
 
-    def region(table: pa.Table) -> pa.Table:
-        opened = [_opened(p.as_py()) for p in table.column("payload")]
-        keys, counts = _counted(np.concatenate([k for k, _ in opened]), np.concatenate([c for _, c in opened]))
-        low, data = build_region(keys, counts, size)
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "low": pa.array([low], pa.int64()), "data": pa.array([data], pa.binary())})
-
-    def word_answers(table: pa.Table) -> pa.Table:
+    def send(table: pa.Table) -> pa.Table:
+        """Training counts of a block: pairs to the first shards, words to those after them. Words that it only asks about have count 0."""
+        _, _, text = blocks.in_order(table)
+        learn, block = _learning(table), table.column("block")[0].as_py()
+        pairs, tokens, pair_times, token_times = [], [], [], []
+        for lo, hi in words.chunks(text):
+            token, before, first = _tokens(text.slice(lo, hi - lo))
+            on = np.repeat(learn[lo:hi], np.diff(first))
+            for keys, times, (k, t) in (
+                (pairs, pair_times, _counted(_pair(token, before)[on], np.ones(int(on.sum()), np.int64))),
+                (tokens, token_times, _counted(token, on.astype(np.int64))),
+            ):
+                keys.append(k)
+                times.append(t)
+        rows = list(_by_shard(block, *_counted(np.concatenate(pairs), np.concatenate(pair_times)), pair_shards))
+        rows += [(b, s + pair_shards, m) for b, s, m in _by_shard(block, *_counted(np.concatenate(tokens), np.concatenate(token_times)), word_shards)]
+        return blocks.rows_table(rows)
+
+    def settle(table: pa.Table) -> pa.Table:
+        """A shard of pairs becomes a region of the filter (block -2); a shard of words answers every block and reports its sums (block -1)."""
         opened = [_opened(p.as_py()) for p in table.column("payload")]
         keys, counts = _counted(np.concatenate([k for k, _ in opened]), np.concatenate([c for _, c in opened]))
         shard = table.column("shard")[0].as_py()
-        back = [(b, shard, _plain(counts[np.searchsorted(keys, k)])) for b, (k, _) in zip(table.column("block").to_pylist(), opened)]
+        if shard < pair_shards:
+            low, data = build_region(keys, counts, size)
+            return blocks.rows_table([(-2, shard, low.to_bytes(8, "little") + data)])
+        back = [(b, shard, blocks.pack(counts[np.searchsorted(keys, k)])) for b, (k, _) in zip(table.column("block").to_pylist(), opened)]
         back.append((-1, shard, int(counts.sum()).to_bytes(8, "little") + int((counts > 0).sum()).to_bytes(8, "little")))
         return blocks.rows_table(back)
 
-    regions = docs.groupBy("block").applyInArrow(lambda t: send(t, True), _SENT).groupBy("shard").applyInArrow(region, "shard long, low long, data binary").collect()
-    pair_filter = docs.sparkSession.sparkContext.broadcast(PairFilter({r["shard"]: (r["low"], r["data"]) for r in regions}, pair_shards, size))
+    answers = written(docs.groupBy("block").applyInArrow(send, _SENT).groupBy("shard").applyInArrow(settle, blocks.ANSWER))
+    regions = answers.where("block = -2").select("shard", "payload").collect()  # filter_bits in all
+    pair_filter = docs.sparkSession.sparkContext.broadcast(PairFilter({r["shard"]: (int.from_bytes(r["payload"][:8], "little"), bytes(r["payload"][8:])) for r in regions}, pair_shards, size))
     del regions
-    answers = written(docs.groupBy("block").applyInArrow(lambda t: send(t, False), _SENT).groupBy("shard").applyInArrow(word_answers, blocks.ANSWER))
     heads = F.conv(F.hex(F.reverse(F.substring("payload", 1, 8))), 16, 10), F.conv(F.hex(F.reverse(F.substring("payload", 9, 8))), 16, 10)
     n_train, n_words = (int(x or 0) for x in answers.where("block = -1").agg(*[F.sum(h.cast("long")) for h in heads]).first())
     n_docs_row = text_layers.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sum(F.when(F.coalesce(out, F.lit(False)), 0).otherwise(1))).first()
@@ -212,7 +214,7 @@ def score_text_layers(text_layers: DataFrame, trains: Column | None = None, bloc
         chunked = [_tokens(text.slice(lo, hi - lo)) for lo, hi in words.chunks(text)]
         keys, _ = _counted(np.concatenate([c[0] for c in chunked]), np.ones(sum(len(c[0]) for c in chunked), np.int64))
         got = blocks.answer_of(answer)
-        counts = np.concatenate([_unplain(got[s]) for s in sorted(got)]).astype(float)
+        counts = np.concatenate([blocks.unpack(got[s]) for s in sorted(got)]).astype(float)
         base_of = lambda c: (c + ADDED) / (n_train + ADDED * (n_words + 1))
         n_tokens, n_known, base, full = [], [], [], []
         for token, before, first in chunked:
@@ -241,10 +243,3 @@ def score_text_layers(text_layers: DataFrame, trains: Column | None = None, bloc
 
     return blocks.passed(docs, answers.where("block >= 0"), score, RESULT)
 
-
-def _plain(counts: np.ndarray) -> bytes:
-    return blocks.pack(counts.astype(np.int64))
-
-
-def _unplain(payload: bytes) -> np.ndarray:
-    return blocks.unpack(payload)
