@@ -16,7 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+BATCH_ROWS = "1000"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table. Texts are long, so the session passes them to Python a thousand rows at a time: results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -41,6 +41,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_pieces, best_score, ids, text_sha256): identifiers in base64, and the digest of the text they decode to."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", queries.BATCH_ROWS)
     model = piece_codec.load_piece_model(queries.tokenizer_path())
     encoded = piece_codec.encode(docs, model, keep=("source",)).select("doc_id", "source", "n_pieces", F.get("nbest", F.lit(0))["score"].alias("best_score"), "ids", F.base64("ids").alias("ids64"))
     return piece_codec.decode(encoded, model).select("doc_id", "source", "n_pieces", "best_score", F.col("ids64").alias("ids"), F.sha2("text", 256).alias("text_sha256"))
