@@ -6,11 +6,11 @@ probes level after level until one is missing; the last level found gives the co
 rounding to powers of two. The probability of a word is ``(count(pair) + PRIOR * p(word)) / (count(context) + PRIOR)``,
 p(word) being the additive unigram estimate of the base score.
 
-The filter is the only thing broadcast, and its size is fixed (``FILTER_BITS``), whatever the corpus. It is cut into regions,
-one for each shard of the pair counts; a region that cannot hold all levels of its pairs leaves out the lowest ones, and
-lookups there start at its lowest level: pairs below it fall back to the unigram estimate. Word counts have no bound, so
-they are not broadcast: blocks of documents ask the shards of the word table for their own words
-(``claridoc.llm.blocks``), with counts of training words sent along and added up.
+The filter is cut into regions, one for each shard of the pair counts, and grows with the corpus: a region has ``BITS_PER_ENTRY``
+bits for every entry of its pairs, and its share of ``FILTER_BITS`` at least, so that it holds all levels of all pairs. Neither
+the filter nor the word counts have a bound, so nothing is broadcast: blocks of documents ask the shards for their own pairs
+and words (``claridoc.llm.blocks``), with counts of training pairs and words sent along and added up. A region is built, asked
+and dropped where its pairs were counted.
 """
 
 from __future__ import annotations
@@ -82,6 +82,12 @@ def build_region(keys: np.ndarray, counts: np.ndarray, size: int) -> tuple[int,
     return low, np.packbits(on).tobytes()
 
 
+def region_bits(counts: np.ndarray, least: int) -> int:
+    """Bits of a region that holds all levels of its pairs: a multiple of 8."""
+    entries = int((np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1).sum())
+    return -(-max(least, BITS_PER_ENTRY * entries) // 8) * 8
+
+
 class PairFilter:
     """All regions; counts by repeated membership probes."""
 
@@ -93,10 +99,10 @@ class PairFilter:
             self.low[r] = low
             self.data[r * (size // 8) : (r + 1) * (size // 8)] = np.frombuffer(data, np.uint8)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts: the middle of the power of two that the last level found stands for, 0 when none is."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The last level found of each key, 0 when none is."""
         region = _region(keys, self.n)
-        out = np.zeros(len(keys))
+        out = np.zeros(len(keys), np.int64)
         level = self.low[region].copy()
         alive = np.flatnonzero(level < 65)
         for step in range(1, 65):
@@ -106,12 +112,21 @@ class PairFilter:
                 own = alive[level[alive] == now]
                 bit = _bits(keys[own], int(now), self.size) + region[own] * self.size
                 hit = (self.data[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).all(axis=0)
-                out[own[hit]] = 1.0 if now == 1 else 1.5 * 2.0 ** (now - 1) - 0.5
+                out[own[hit]] = now
                 level[own[hit]] += 1
                 level[own[~hit]] = 65
             alive = alive[level[alive] < 65]
         return out
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts of the last levels found."""
+        return quantised(self.levels(keys))
+
+
+def quantised(level: np.ndarray) -> np.ndarray:
+    """The middle of the power of two that a level stands for; 0 without one."""
+    return np.where(level > 1, 1.5 * 2.0 ** (level - 1) - 0.5, level)
+
 
 def _counted(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and their summed counts."""
@@ -155,14 +170,14 @@ def score_text_layers(text_layers: DataFrame, trains: Column | None = None, bloc
     doc_id; by default those that are not held out (``held_out``). Returns (doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score), one row per input row. Tokens are the lower-cased words and one end. A null or empty text is
     its end alone. Without training rows every token has probability 1 / (V + 1) with V = 0, which is 1. Repeated rows
-    count as often as they stand there; an empty table gives an empty result.
+    count as often as they stand there; an empty table gives an empty result. ``filter_bits``: the least size of the filter.
     """
     docs, _, total = blocks.dealt(text_layers, block_bytes)
     out = ~trains if trains is not None else held_out(F.col("doc_id"))
     docs = docs.withColumn("out", F.coalesce(out, F.lit(False)))
     about = max(1, total // 6)
     pair_shards, word_shards = max(1, -(-about // PAIRS_PER_SHARD)), max(1, -(-about // WORDS_PER_SHARD))
-    size = max(1024, filter_bits // pair_shards // 8 * 8)
+    least = max(1024, filter_bits // pair_shards // 8 * 8)
 
     def _learning(table: pa.Table) -> np.ndarray:
         doc, null, _ = blocks.in_order(table)
@@ -170,7 +185,7 @@ def score_text_layers(text_layers: DataFrame, trains: Column | None = None, bloc
         return np.array([not by_row[None if z else d] for d, z in zip(doc.tolist(), null.tolist())], bool)
 
     def send(table: pa.Table) -> pa.Table:
-        """Training counts of a block: pairs to the first shards, words to those after them. Words that it only asks about have count 0."""
+        """Training counts of a block: pairs to the first shards, words to those after them. What it only asks about has count 0."""
         _, _, text = blocks.in_order(table)
         learn, block = _learning(table), table.column("block")[0].as_py()
         pairs, tokens, pair_times, token_times = [], [], [], []
@@ -178,7 +193,7 @@ def score_text_layers(text_layers: DataFrame, trains: Column | None = None, bloc
             token, before, first = _tokens(text.slice(lo, hi - lo))
             on = np.repeat(learn[lo:hi], np.diff(first))
             for keys, times, (k, t) in (
-                (pairs, pair_times, _counted(_pair(token, before)[on], np.ones(int(on.sum()), np.int64))),
+                (pairs, pair_times, _counted(_pair(token, before), on.astype(np.int64))),
                 (tokens, token_times, _counted(token, on.astype(np.int64))),
             ):
                 keys.append(k)
@@ -188,21 +203,20 @@ def score_text_layers(text_layers: DataFrame, trains: Column | None = None, bloc
         return blocks.rows_table(rows)
 
     def settle(table: pa.Table) -> pa.Table:
-        """A shard of pairs becomes a region of the filter (block -2); a shard of words answers every block and reports its sums (block -1)."""
+        """A shard answers every block: pairs with the last level that their region of the filter has, words with their counts; these it also sums up (block -1)."""
         opened = [_opened(p.as_py()) for p in table.column("payload")]
         keys, counts = _counted(np.concatenate([k for k, _ in opened]), np.concatenate([c for _, c in opened]))
         shard = table.column("shard")[0].as_py()
         if shard < pair_shards:
-            low, data = build_region(keys, counts, size)
-            return blocks.rows_table([(-2, shard, low.to_bytes(8, "little") + data)])
+            seen = counts > 0
+            size = region_bits(counts[seen], least)
+            levels = PairFilter({0: build_region(keys[seen], counts[seen], size)}, 1, size).levels(keys)
+            return blocks.rows_table([(b, shard, blocks.pack(levels[np.searchsorted(keys, k)])) for b, (k, _) in zip(table.column("block").to_pylist(), opened)])
         back = [(b, shard, blocks.pack(counts[np.searchsorted(keys, k)])) for b, (k, _) in zip(table.column("block").to_pylist(), opened)]
         back.append((-1, shard, int(counts.sum()).to_bytes(8, "little") + int((counts > 0).sum()).to_bytes(8, "little")))
         return blocks.rows_table(back)
 
     answers = written(docs.groupBy("block").applyInArrow(send, _SENT).groupBy("shard").applyInArrow(settle, blocks.ANSWER))
-    regions = answers.where("block = -2").select("shard", "payload").collect()  # filter_bits in all
-    pair_filter = docs.sparkSession.sparkContext.broadcast(PairFilter({r["shard"]: (int.from_bytes(r["payload"][:8], "little"), bytes(r["payload"][8:])) for r in regions}, pair_shards, size))
-    del regions
     heads = F.conv(F.hex(F.reverse(F.substring("payload", 1, 8))), 16, 10), F.conv(F.hex(F.reverse(F.substring("payload", 9, 8))), 16, 10)
     n_train, n_words = (int(x or 0) for x in answers.where("block = -1").agg(*[F.sum(h.cast("long")) for h in heads]).first())
     n_docs_row = text_layers.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sum(F.when(F.coalesce(out, F.lit(False)), 0).otherwise(1))).first()
@@ -212,9 +226,10 @@ def score_text_layers(text_layers: DataFrame, trains: Column | None = None, bloc
         doc, null, text = blocks.in_order(table)
         learn = _learning(table)
         chunked = [_tokens(text.slice(lo, hi - lo)) for lo, hi in words.chunks(text)]
-        keys, _ = _counted(np.concatenate([c[0] for c in chunked]), np.ones(sum(len(c[0]) for c in chunked), np.int64))
+        keys, pairs = np.unique(np.concatenate([c[0] for c in chunked])), np.unique(np.concatenate([_pair(c[0], c[1]) for c in chunked]))
         got = blocks.answer_of(answer)
-        counts = np.concatenate([blocks.unpack(got[s]) for s in sorted(got)]).astype(float)
+        levels, counts = (np.concatenate([blocks.unpack(got[s]) for s in sorted(got) if (s < pair_shards) == first]) for first in (True, False))
+        pair_counts, counts = quantised(levels), counts.astype(float)
         base_of = lambda c: (c + ADDED) / (n_train + ADDED * (n_words + 1))
         n_tokens, n_known, base, full = [], [], [], []
         for token, before, first in chunked:
@@ -222,7 +237,7 @@ def score_text_layers(text_layers: DataFrame, trains: Column | None = None, bloc
             context = np.roll(c, 1)
             context[first[:-1]] = n_docs
             p = base_of(c)
-            pair = np.minimum(pair_filter.value.counts(_pair(token, before)), np.minimum(c, context))
+            pair = np.minimum(pair_counts[np.searchsorted(pairs, _pair(token, before))], np.minimum(c, context))
             q = (pair + PRIOR * p) / (context + PRIOR)
             n_tokens.append(np.diff(first))
             n_known.append(np.add.reduceat(c > 0, first[:-1], dtype=np.int64))

@@ -78,3 +78,13 @@ def test_full_region_keeps_the_high_levels():
     assert 1 < low <= 7
     got = PairFilter({0: (low, data)}, 1, 1 << 12).counts(keys)
     assert (got[:100] >= 64).all()
+
+
+def test_a_small_filter_grows_with_its_pairs(spark):
+    """Pairs seen once are in the filter whatever its least size: no count is lost, and few are too high."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{GIVEN}/documents.parquet").select("doc_id", "text").collect()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_text_layers(frame, block_bytes=50_000, filter_bits=1024).collect()}
+    want = {i: w[4] for (i, _), w in zip(rows, plain(rows))}
+    assert all(got[i] >= want[i] - 1e-6 for i in want)
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.02)
