@@ -10,19 +10,19 @@ threshold shares one of the ``n - ceil(t*n) + 1`` rarest shingles of both sets,
 long as all documents use the same. The order comes from a merged count-min sketch (``claridoc.llm.blocks``); shingles
 that it counts once link nothing and are never sent, and shingles of passages in a third of all documents come last.
 
-1. sets and their digests; equal sets have one representative from here on.
+1. sets and their digests; equal sets have one representative from here on: a row of a block, whatever its doc_id.
 2. sketch of the representatives' shingles, merged and answered block by block.
-3. rare shingles that others may share: (shingle, document); the least document leads the shingle's group.
-4. each leader's group, cut in slices of ``slice_rows`` documents that all get the leader's text, builds its R-tree
-   and links documents of different classes; what hangs on the leader need not be compared again. What does not is
-   compared with the other slices of its group.
-5. connected components of the links.
+3. rare shingles that others may share: (shingle, representative); the least representative leads the shingle's group.
+4. each leader's group, cut in slices, meets itself slice against slice. A task builds the R-tree of its rows and verifies
+   every candidate pair once: a pair that stands in several groups belongs to the group with the least leader.
+5. links per representative, and connected components of the links; names of documents only come in at the end.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ BLOCK_BYTES = 4 << 20
 SLICE_ROWS = 1000
 GROUPS = 64
 FANOUT = 16
-LAST_ID = 2**63 - 1
+ROW_BITS = 32
 
 
 def shingle_sets(w: words.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,92 +107,104 @@ class CountTree:
         return self.order[at]
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+def _ragged(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values of some rows, one row after the other, and where each row's begin."""
+    n = first[rows + 1] - first[rows]
+    begin = np.cumsum(n) - n
+    return np.arange(n.sum()) + np.repeat(first[rows] - begin, n), begin
 
 
-def link_slice(text: pa.Array, leader: int, asking: np.ndarray | None, size: int, percent: int) -> np.ndarray:
-    """Class (a row number) of every row of a slice after linking rows of different classes.
+def _shared(flag: np.ndarray, values: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many values of each row are flagged."""
+    out = np.zeros(len(rows), np.int64)
+    filled = np.flatnonzero(first[rows + 1] > first[rows])
+    if len(filled):
+        at, begin = _ragged(first, rows[filled])
+        out[filled] = np.add.reduceat(flag[values[at]].astype(np.int64), begin)
+    return out
 
-    ``asking``: only these rows look for links, else the leader does first and then all rows outside its class.
-    """
-    h, first, n = _block_sets(text, size)
-    sets = [h[a:b] for a, b in zip(first[:-1], first[1:])]
-    points = np.zeros((len(n), GROUPS), np.int32)
-    np.add.at(points, (np.repeat(np.arange(len(n)), n), (h % np.uint64(GROUPS)).astype(np.int64)), 1)
-    tree = CountTree(points, n)
-    root = np.arange(len(n))
-
-    def ask(row: int) -> None:
-        for other in tree.candidates(points[row], n[row], percent):
-            if root[other] != root[row]:
-                both = _overlap(sets[row], sets[other])
-                if both and both * (100 + percent) >= percent * (n[row] + n[other]):
-                    root[root == root[other]] = root[row]
-
-    if asking is None:
-        ask(leader)
-        asking = np.flatnonzero(root != root[leader])
-    for row in asking:
-        ask(int(row))
-    return root
 
+def verified_pairs(text: pa.Array, part: np.ndarray, across: bool, lower: list[np.ndarray], size: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked pairs of rows and their common shingles; every candidate pair is verified once.
 
-LINKS = "leader long, slice long, slices long, id long, block long, root long, led long"
-_LINKS = pa.schema([(x.split()[0], pa.int64()) for x in LINKS.split(", ")])
-
-
-def near_duplicate_classes(
-    text_layers: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """Class of every document under "100 * intersection >= percent * union" of shingle sets, over all documents.
-
-    ``text_layers``: (doc_id, text); other columns are ignored. Words are lower-cased (A-Z) and split at white space.
-    Returns (doc_id, n_shingles, component_id), one row per input row: the least doc_id reachable by links, itself
-    included. A null or empty text has no shingles and links nothing; fewer words than a shingle are one shingle.
-    Rows that share a doc_id are one document to the links; a null doc_id counts as larger than all others and is
-    returned as null. An empty table gives an empty result.
+    ``across``: only pairs of rows of different parts. ``lower``: per row the leaders of its groups that are less than the leader of
+    this one; pairs that have one in common belong to that group.
     """
+    h, first, n = _block_sets(text, size)
+    row = np.repeat(np.arange(len(n)), n)
+    points = np.bincount(row * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    tree = CountTree(points, n)
+    dense = np.unique(h, return_inverse=True)[1].astype(np.int32)
+    leaders = np.concatenate([[0], np.cumsum([len(x) for x in lower])]).astype(np.int64)
+    led = np.unique(np.concatenate(lower), return_inverse=True)[1].astype(np.int32)
+    have, elsewhere = np.zeros(len(h), bool), np.zeros(len(led), bool)
+    left, right, common = [], [], []
+    for i in range(len(n)):
+        if across and part[i]:
+            continue
+        near = tree.candidates(points[i], int(n[i]), percent)
+        near = near[part[near] != part[i]] if across else near[near > i]
+        if len(near) and leaders[i + 1] > leaders[i]:
+            elsewhere[led[leaders[i] : leaders[i + 1]]] = True
+            near = near[_shared(elsewhere, led, leaders, near) == 0]
+            elsewhere[led[leaders[i] : leaders[i + 1]]] = False
+        if not len(near):
+            continue
+        have[dense[first[i] : first[i + 1]]] = True
+        both = _shared(have, dense, first, near)
+        have[dense[first[i] : first[i + 1]]] = False
+        hit = (both > 0) & (both * (100 + percent) >= percent * (n[i] + n[near]))
+        left.append(np.full(int(hit.sum()), i))
+        right.append(near[hit])
+        common.append(both[hit])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none), np.concatenate(common or none)
+
+
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least row that each of n rows reaches by the links."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        now = root.copy()
+        np.minimum.at(now, root[a], low)
+        np.minimum.at(now, root[b], low)
+        now = now[now]
+        if (now == root).all():
+            return root
+        root = now
+
+
+_ROWS = "id long, root long, weight long"
+_PAIRS = "a long, b long, shared long"
+
+
+def _joined(text_layers: DataFrame, shingle_words: int, percent: int, block_bytes: int, slice_rows: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_shingles, one, two) of all rows; (one, two, id, least doc_id, copies) of all sets; and their links, as ``_PAIRS`` or added up by row and task as ``_ROWS``."""
     docs, _, total = blocks.dealt(text_layers, block_bytes)
     shards = blocks.shards_for(max(1, total // 6), 1)
-    ident = lambda doc, null: np.where(null, LAST_ID, doc)
-
-    def digest(batches):
-        for batch in batches:
-            text = batch.column("text")
-            h, first, n = _block_sets(text, shingle_words)
-            one, two = _digests(h, first)
-            ids = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays([batch.column("block"), ids, pa.array(n), pa.array(one), pa.array(two)], ["block", "doc_id", "n_shingles", "one", "two"])
-
-    facts = written(docs.mapInArrow(digest, "block long, doc_id long, n_shingles long, one long, two long")).withColumn("id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    sets = facts.where("n_shingles > 0").groupBy("one", "two").agg(F.min(F.struct("id", "block")).alias("r")).select("one", "two", "r.id", "r.block")
-    sets = written(sets)
-    none = F.lit(None).cast("binary")
-    chosen = sets.select("block", F.lit(-1).cast("long").alias("shard"), none.alias("payload"), "id", "one")
+    wide = lambda block: block << ROW_BITS  # noqa: E731  rows are numbered by block and place in its order
+
+    def digest(table: pa.Table) -> pa.Table:
+        doc, null, text = blocks.in_order(table)
+        h, first, n = _block_sets(text, shingle_words)
+        one, two = _digests(h, first)
+        rid = wide(table.column("block")[0].as_py()) + np.arange(len(n))
+        return pa.table({"doc_id": pa.array(doc, pa.int64(), mask=null), "rid": pa.array(rid), "n_shingles": pa.array(n), "one": pa.array(one), "two": pa.array(two)})
+
+    facts = written(docs.groupBy("block").applyInArrow(digest, "doc_id long, rid long, n_shingles long, one long, two long"))
+    sets = written(facts.where("n_shingles > 0").groupBy("one", "two").agg(F.min("rid").alias("id"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    block = F.shiftright("id", ROW_BITS)
+    chosen = sets.select(block.alias("block"), F.lit(-1).cast("long").alias("shard"), F.lit(None).cast("binary").alias("payload"), "id")
 
     def representatives(table: pa.Table, answer: pa.Table):
         """Rows of the block that stand for their set: identifiers, hashes, limits of each."""
-        doc, null, text = blocks.in_order(table)
-        ids = ident(doc, null)
+        _, _, text = blocks.in_order(table)
         own = answer.filter(pa.array(np.asarray(answer.column("shard")) < 0))
-        wanted = set(zip(own.column("id").to_pylist(), own.column("one").to_pylist()))
-        h, first, n = _block_sets(text, shingle_words)
-        one, _ = _digests(h, first)
-        rows = []
-        for i, key in enumerate(zip(ids.tolist(), one.tolist())):
-            if n[i] and key in wanted:
-                wanted.discard(key)
-                rows.append(i)
-        rows = np.array(rows, np.int64)
-        keep = np.zeros(len(n), bool)
-        keep[rows] = True
-        return ids[rows], h[np.repeat(keep, n)], n[rows]
+        ids = np.sort(np.asarray(own.column("id")).astype(np.int64))
+        rows = ids - wide(table.column("block")[0].as_py())
+        h, _, n = _block_sets(text.take(pa.array(rows)), shingle_words)
+        return ids, h, n
 
     def sketch(table: pa.Table, answer: pa.Table) -> pa.Table:
         _, h, _ = representatives(table, answer)
@@ -206,67 +218,92 @@ def near_duplicate_classes(
         place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
         prefix = n + (-n * percent // 100) + 1
         sent = order[(place < prefix[row]) & (counts[order] > 1)]
-        block = table.column("block")[0].as_py()
-        return pa.table({"key": pa.array(h[sent].view(np.int64)), "id": pa.array(ids[row[sent]]), "block": pa.array(np.full(len(sent), block, np.int64))})
-
-    sketched = blocks.merged(blocks.passed(docs, chosen, sketch, blocks.ANSWER)).select("*", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("one"))
-    keys = written(blocks.passed(docs, chosen.unionByName(sketched), rare, "key long, id long, block long"))
-    leads = keys.groupBy("key").agg(F.min(F.struct("id", "block")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    groups = written(keys.join(leads, "key").where("id <> lead.id").select(F.col("lead.id").alias("leader"), F.col("lead.block").alias("leader_block"), "id", "block").distinct())
-    sizes = groups.groupBy("leader", "leader_block").agg(F.ceil(F.count("*") / slice_rows).alias("slices"))
-    followers = groups.join(sizes.drop("leader_block"), "leader").select("leader", F.pmod(F.xxhash64("id"), "slices").alias("slice"), "slices", "id", "block")
-    leading = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "slices", F.col("leader").alias("id"), F.col("leader_block").alias("block"))
-    extra = F.lit(0).cast("long").alias("asks")
-    members = followers.unionByName(leading)
+        return pa.table({"key": pa.array(h[sent].view(np.int64)), "id": pa.array(ids[row[sent]])})
 
-    def texts(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not wanted.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("leader", "slice", "slices", "part", "id", "block", "asks")} | {"text": pa.array([], pa.string())})
-        doc, null, text = blocks.in_order(table)
-        at: dict[int, list[int]] = {}
-        for i, k in enumerate(ident(doc, null).tolist()):
-            at.setdefault(k, []).append(i)
-        pairs = [(w, i) for w, k in enumerate(wanted.column("id").to_pylist()) for i in dict.fromkeys(at.get(k, []))]
-        pick = wanted.take(pa.array([w for w, _ in pairs], pa.int64()))
-        out = {c: pick.column(c).combine_chunks() for c in ("leader", "slice", "slices", "part", "id", "block", "asks")}
-        return pa.table(out | {"text": text.take(pa.array([i for _, i in pairs], pa.int64()))})
+    sketched = blocks.merged(blocks.passed(docs, chosen, sketch, blocks.ANSWER)).select("*", F.lit(None).cast("long").alias("id"))
+    keys = written(blocks.passed(docs, chosen.unionByName(sketched), rare, "key long, id long"))
+    leads = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = written(keys.join(leads, "key").select("leader", "id").distinct())
+    # a group of at most slice_rows is one slice; others are cut so that two slices together have that many rows
+    half = max(1, slice_rows // 2)
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1").select("leader", F.when(F.col("n") <= slice_rows, 1).otherwise(F.ceil(F.col("n") / half)).cast("long").alias("slices"))
+    members = groups.join(sizes, "leader").select(block.alias("block"), "leader", "id", "slices", F.pmod(F.xxhash64("id"), "slices").alias("slice")).unionByName(sets.select(block.alias("block"), "id", "copies"), allowMissingColumns=True)
 
-    with_text = "leader long, slice long, slices long, part long, id long, block long, asks long, text string"
+    def texts(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        """The wanted rows with their text, once for every slice that theirs meets, and the packed lesser leaders of the row."""
+        standing = wanted.filter(pc.is_valid(wanted.column("copies")))
+        copies = dict(zip(standing.column("id").to_pylist(), standing.column("copies").to_pylist()))
+        wanted = wanted.filter(pc.is_valid(wanted.column("leader")))
+        text = blocks.in_order(table)[2] if wanted.num_rows else table.column("text").combine_chunks()
+        ids, leader, slices, own = (np.asarray(wanted.column(c)).astype(np.int64) for c in ("id", "leader", "slices", "slice"))
+        order = np.lexsort((leader, ids))
+        ids, leader, slices, own = ids[order], leader[order], slices[order], own[order]
+        begin = np.searchsorted(ids, ids, side="left")
+        lesser = pa.array([leader[a:b].tobytes() for a, b in zip(begin.tolist(), range(len(ids)))], pa.binary())
+        pick = np.repeat(np.arange(len(ids)), slices)
+        other = np.arange(len(pick)) - np.repeat(np.cumsum(slices) - slices, slices)
+        low, high = np.minimum(own[pick], other), np.maximum(own[pick], other)
+        at = pa.array((ids & ((1 << ROW_BITS) - 1))[pick], pa.int64())
+        made = {"leader": leader[pick], "low": low, "high": high, "slice": own[pick], "id": ids[pick], "copies": np.array([copies[i] for i in ids.tolist()], np.int64)[pick]}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in made.items()} | {"lesser": lesser.take(pa.array(pick, pa.int64())), "text": text.take(at)})
 
     def link(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("id")).astype(np.int64)
-        asks = np.asarray(table.column("asks")).astype(bool)
-        order = np.lexsort((ids, ~asks))
-        table, ids, asks = table.take(pa.array(order)), ids[order], asks[order]
-        lead = table.column("leader")[0].as_py()
-        at = np.flatnonzero(ids == lead)
-        across = bool(asks.any())
-        root = link_slice(table.column("text").combine_chunks(), int(at[0]) if len(at) else 0, np.flatnonzero(asks) if across else None, shingle_words, percent)
-        led = np.full(len(ids), ids[root[at[0]]] if len(at) else LAST_ID)
-        out = {c: table.column(c) for c in ("leader", "slice", "slices", "id", "block")}
-        return pa.table(out | {"root": pa.array(ids[root]), "led": pa.array(led)}, schema=_LINKS)
-
-    none = F.lit(0).cast("long").alias("part")
-    inside = written(blocks.passed(docs, members.select("*", none, extra), texts, with_text).groupBy("leader", "slice").applyInArrow(link, LINKS))
-    # groups in several slices: rows outside the leader's class meet the other slices, in parts of a bounded size
-    apart = inside.where("slices > 1 and root <> led").select("leader", "slices", F.col("slice").alias("own"), "id", "block")
-    parts = apart.groupBy("leader").agg(F.ceil(F.count("*") / slice_rows).alias("parts"))
-    asking = (
-        apart.join(parts, "leader")
-        .select("*", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
-        .where("slice <> own")
-        .select("leader", "slice", "slices", "part", "id", "block", F.lit(1).cast("long").alias("asks"))
-    )
-    asked = inside.where("slices > 1").join(parts, "leader").select("leader", "slice", "slices", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", "block", extra)
-    across = blocks.passed(docs, asking.unionByName(asked), texts, with_text).groupBy("leader", "slice", "part").applyInArrow(link, LINKS)
-    links = inside.unionByName(across).where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    classes = components(links)
-    return (
-        facts.join(sets.select("one", "two", F.col("id").alias("stands")), ["one", "two"], "left")
-        .join(classes.withColumnRenamed("id", "stands"), "stands", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.nullif(F.when(F.col("n_shingles") > 0, F.least("id", F.coalesce("component", "stands"))).otherwise(F.col("id")), F.lit(LAST_ID)).alias("component_id"),
-        )
+        order = np.argsort(ids)
+        table, ids = table.take(pa.array(order)), ids[order]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        part = (np.asarray(table.column("slice")) == high).astype(np.int64)
+        lower = [np.frombuffer(x.as_py(), np.int64) for x in table.column("lesser")]
+        a, b, shared = verified_pairs(table.column("text").combine_chunks(), part, low != high, lower, shingle_words, percent)
+        if pairs:
+            return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b]), "shared": pa.array(shared)})
+        return _by_row(ids, a, b, np.asarray(table.column("copies")).astype(np.int64))
+
+    def _by_row(ids: np.ndarray, a: np.ndarray, b: np.ndarray, copies: np.ndarray) -> pa.Table:
+        weight = np.zeros(len(ids), np.int64)
+        np.add.at(weight, a, copies[b])
+        np.add.at(weight, b, copies[a])
+        on = np.flatnonzero(weight)
+        return pa.table({"id": pa.array(ids[on]), "root": pa.array(ids[least_reached(len(ids), a, b)[on]]), "weight": pa.array(weight[on])})
+
+    fields = "leader long, low long, high long, slice long, id long, copies long, lesser binary, text string"
+    sent = blocks.passed(docs, members, texts, fields)
+    return facts, sets, sent.groupBy("leader", "low", "high").applyInArrow(link, _PAIRS if pairs else _ROWS)
+
+
+def near_duplicate_classes(
+    text_layers: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Links and class of every document under "100 * intersection >= percent * union" of shingle sets, over all documents.
+
+    ``text_layers``: (doc_id, text); other columns are ignored. Words are lower-cased (A-Z) and split at white space.
+    Returns (doc_id, n_shingles, component_id, n_links), one row per input row: the least doc_id reachable by links, itself
+    included, and the number of other rows that it links to directly. A null or empty text has no shingles and links nothing;
+    fewer words than a shingle are one shingle. Rows that share a doc_id are one document to the classes; rows with a null doc_id are
+    documents of their own, and a class has the null identifier only if all its rows do. An empty table gives an empty result.
+    """
+    facts, sets, links = _joined(text_layers, shingle_words, percent, block_bytes, slice_rows, False)
+    links = written(links)
+    named = facts.where("doc_id is not null and n_shingles > 0").join(sets.select("one", "two", "id"), ["one", "two"]).select("doc_id", "id").distinct()
+    twice = named.groupBy("doc_id").agg(F.min("id").alias("root"), F.max("id").alias("last")).where("root < last").drop("last")
+    same = named.join(twice, "doc_id").select("id", "root")
+    classes = components(links.select("id", "root").unionByName(same).where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    linked = written(sets.select("id", "least").join(classes, "id"))
+    labels = linked.groupBy("component").agg(F.min("least").alias("label"))
+    weights = links.groupBy("id").agg(F.sum("weight").alias("weight"))
+    about = sets.join(linked.drop("least"), "id", "left").join(labels, "component", "left").join(weights, "id", "left")
+    return facts.join(about, ["one", "two"], "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.coalesce("label", "least")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n_shingles") > 0, F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
+
+
+def near_duplicate_pairs(
+    text_layers: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, slice_rows: int = SLICE_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (a, b, shared), every linked pair of distinct shingle sets once with the number of common shingles, and
+    (doc_id, n_shingles, set_id), the rows that have each set; a row without shingles has none."""
+    facts, sets, links = _joined(text_layers, shingle_words, percent, block_bytes, slice_rows, True)
+    return links, facts.join(sets.select("one", "two", F.col("id").alias("set_id")), ["one", "two"], "left").select("doc_id", "n_shingles", "set_id")

@@ -31,7 +31,7 @@ def text_layers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.near_duplicate_classes(text_layers(spark, folder))
+    return jaccard_join.near_duplicate_classes(text_layers(spark, folder)).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES["op1_ngram_jaccard"] = op1_ngram_jaccard
