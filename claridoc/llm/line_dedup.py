@@ -1,6 +1,7 @@
-"""Repeated runs of lines across text layers, by winnowing; native plans only.
+"""Repeated runs of lines across text layers, by hashed windows with a fingerprint filter; native plans only.
 
-The fingerprint of ``run_lines`` consecutive lines is the least of their hashes (the last one on a tie). A run of that length or
+No positions are selected and no match is extended, as winnowing would: every window is compared, and the fingerprint only
+leaves out windows before that. The fingerprint of ``run_lines`` consecutive lines is the least of their hashes (the last one on a tie). A run of that length or
 more always contains a fingerprint, the same one wherever it occurs. Fingerprints that occur once are dropped by a
 partial aggregation; positions of the others are joined with the windows around them, to the left and to the right. A
 window that also stands earlier is a repeat; neighbouring repeats are one longer match. Later repeats are deleted, the
@@ -21,25 +22,34 @@ from claridoc.session import written
 RUN_LINES = 3
 
 
-def windows(lines: Column, run_lines: int) -> Column:
+def windows(lines: Column, run_lines: int, long_words: int | None = None) -> Column:
     """(pos, finger, one, two, at) of every window of lines with a word: window number, fingerprint, 128-bit hash, line numbers."""
-    filled = F.filter(F.transform(lines, lambda l, i: F.struct(F.xxhash64(l).alias("h"), i.alias("i"), l.rlike(WORD).alias("w"))), lambda x: x["w"])
+    filled = F.filter(F.transform(lines, lambda l, i: F.struct(F.xxhash64(l).alias("h"), i.alias("i"), l.rlike(WORD).alias("w"), *([F.size(F.regexp_extract_all(l, F.lit(f"({WORD})+"), F.lit(0))).alias("n")] if long_words else []))), lambda x: x["w"])
 
     def of(x: Column) -> Column:
-        def window(i: Column) -> Column:
-            part = F.slice(x, i + 1, run_lines)
+        def window(i: Column, many: int = run_lines) -> Column:
+            part = F.slice(x, i + 1, many)
             hashes = F.transform(part, lambda p: p["h"])
             return F.struct(
                 i.alias("pos"), F.array_min(hashes).alias("finger"), F.xxhash64(hashes).alias("one"), F.xxhash64(F.lit("run"), F.reverse(hashes)).alias("two"), F.transform(part, lambda p: p["i"]).alias("at")
             )
 
-        return F.when(F.size(x) >= run_lines, F.transform(F.sequence(F.lit(0), F.size(x) - run_lines), window)).otherwise(F.array())
+        def of_size(many: int) -> Column:
+            at = F.sequence(F.lit(0), F.size(x) - many)
+            if many < run_lines:
+                at = F.filter(at, lambda i: F.aggregate(F.slice(x, i + 1, many), F.lit(0), lambda n, p: n + p["n"]) >= long_words)
+            return F.when(F.size(x) >= many, F.transform(at, lambda i: window(i, many))).otherwise(F.array())
+
+        if not long_words:
+            return of_size(run_lines)
+        return F.concat(*[of_size(n) for n in range(1, run_lines + 1)])
 
     return let(filled, of)
 
 
-def remove_repeated_lines(text_layers: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
-    """Text layers without the runs of ``run_lines`` or more lines that already stand earlier.
+def remove_repeated_lines(text_layers: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = None) -> DataFrame:
+    """Text layers without the runs of ``run_lines`` or more lines that already stand earlier; with ``long_words``
+    also without shorter runs of that many words or more in all.
 
     ``text_layers``: (doc_id, text); other columns stay as they are, but n_lines and n_deleted, which are replaced. Earlier means a smaller doc_id (null first), then an
     earlier line of the same text. Lines are compared as they are; lines without a word neither count nor go. Returns the
@@ -50,7 +60,7 @@ def remove_repeated_lines(text_layers: DataFrame, run_lines: int = RUN_LINES) ->
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     passing = [c for c in text_layers.columns if c not in ("n_lines", "n_deleted")]
     keyed = text_layers.select(F.struct(*[F.col(f"`{c}`") for c in passing]).alias("row"), F.col("doc_id").alias("d"), F.col("text"), F.xxhash64("text").alias("h"))
-    spots = written(keyed.select("d", "h", F.explode(windows(lines, run_lines)).alias("s")).select("d", "h", "s.*").distinct())
+    spots = written(keyed.select("d", "h", F.explode(windows(lines, run_lines, long_words)).alias("s")).select("d", "h", "s.*").distinct())
     fingers = spots.groupBy("finger").agg(F.count("*").alias("n")).where("n > 1").select("finger")
     shared = written(spots.join(fingers, "finger", "left_semi"))
     first = shared.groupBy("one", "two").agg(F.min(F.struct("d", "h", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -40,6 +40,15 @@ def test_a_longer_match_goes_whole(spark):
     assert {r.doc_id: r.text for r in remove_repeated_lines(frame, 5).collect()}[2] == "own\nend"
 
 
+def test_long_runs_of_one_or_two_lines_go_when_asked(spark):
+    long, half, short = prose(3, 25).replace("\n", " "), prose(4, 12).replace("\n", " "), "a short line"
+    pair = half + "\n" + half[::-1]
+    rows = [(1, long), (2, "own\n" + long), (3, pair), (4, pair), (5, short), (6, short)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in remove_repeated_lines(frame, long_words=20).collect()} == dict(rows) | {2: "own", 4: ""}
+    assert {r.doc_id: r.text for r in remove_repeated_lines(frame).collect()} == dict(rows)
+
+
 def test_long_chats_come_in_parts(spark, monkeypatch):
     from claridoc.llm import chat_format
 
