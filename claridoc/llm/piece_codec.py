@@ -192,23 +192,49 @@ def lattice(model: PieceModel, data: np.ndarray, limits: np.ndarray) -> Lattice:
 
 
 def n_best(lat: Lattice, segment: int, n: int, by_end: tuple[np.ndarray, np.ndarray]) -> list[tuple[float, tuple[int, ...]]]:
-    """Backward A-star from the segment's end; the forward Viterbi score of a node is the exact rest."""
+    """Backward A-star from the segment's end; the forward Viterbi score of a node is the exact rest.
+
+    ``by_end``: edges by end, the best first. Paths are links (piece, path behind it). An entry of the heap stands for an edge and
+    the lesser ones into the same node; no node is entered more than ``n`` times, as only its n best ways to the end can matter.
+    """
     order, first = by_end
     begin, end = int(lat.front[segment]), int(lat.back[segment])
-    heap = [(-lat.forward[end], 0, end, 0.0, ())]
-    out, serial = [], 1
-    while heap and len(out) < n:
-        _, _, node, done, path = heapq.heappop(heap)
+    if begin == end:
+        return [(0.0, ())]
+    heap, found, entered, serial = [], [], {}, 0
+
+    def push(k: int, stop: int, done: float, path) -> None:
+        nonlocal serial
+        e = int(order[k]) if k < stop else -1
+        if e >= 0 and lat.forward[lat.start[e]] > -np.inf:
+            serial -= 1  # of equals the last one goes on, so that ties are followed to the front
+            heapq.heappush(heap, (-(done + (lat.forward[lat.start[e]] + lat.score[e])), serial, k, stop, done, path))
+
+    push(int(first[end]), int(first[end + 1]), 0.0, None)
+    while heap and len(found) < n:
+        _, _, k, stop, done, path = heapq.heappop(heap)
+        push(k + 1, stop, done, path)
+        e = int(order[k])
+        node, g, longer = int(lat.start[e]), done + float(lat.score[e]), (int(lat.piece[e]), path)
         if node == begin:
-            out.append((done, path))
-            continue
-        for e in order[first[node] : first[node + 1]]:
-            s = int(lat.start[e])
-            if lat.forward[s] > -np.inf:
-                g = done + lat.score[e]
-                heapq.heappush(heap, (-(g + lat.forward[s]), serial, s, g, (int(lat.piece[e]), *path)))
-                serial += 1
-    return out
+            found.append((g, longer))
+        elif entered.get(node, 0) < n:
+            entered[node] = entered.get(node, 0) + 1
+            push(int(first[node]), int(first[node + 1]), g, longer)
+    out = []
+    for g, path in found:
+        flat = []
+        while path is not None:
+            piece, path = path
+            flat.append(piece)
+        out.append((g, tuple(flat)))
+    own, node, g = [], end, 0.0  # the best one that the lattice chose comes first, whatever ties there are
+    while node > begin:
+        e = int(order[first[node]])
+        own.append(int(lat.piece[e]))
+        node, g = int(lat.start[e]), g + float(lat.score[e])
+    own = tuple(own[::-1])
+    return [(g, own)] + [x for x in out if x[1] != own][: n - 1]
 
 
 def segments(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,7 +267,7 @@ def encode_chunk(model: PieceModel, texts: pa.Array, n: int):
     kind = "<u2" if model.width == 2 else "<u4"
     raw, text_at = every.astype(kind).tobytes(), place[first]
     best = np.concatenate([[0.0], np.cumsum(lat.forward[lat.back][which])]) if many else np.zeros(1)
-    order = np.argsort(lat.end, kind="stable").astype(np.int32)
+    order = np.lexsort((~lat.chosen, -(lat.forward[lat.start] + lat.score), lat.end)).astype(np.int32)
     by_end = (order, np.searchsorted(lat.end[order], np.arange(len(flat) + len(own) + 1)))
     solved: dict[int, list] = {}
     out_ids, out_n, out_best = [], [], []

@@ -75,3 +75,14 @@ def test_query_round_trip(spark):
     for r in op10_sentencepiece(spark, GIVEN).collect():
         assert r.text_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
         assert r.best_score >= r.nth_score and (r.n_pieces > 0) == (texts[r.doc_id] != "")
+
+
+def test_a_long_run_of_one_character():
+    """Paths of a segment of 200,000 bytes are not copied for every entry of the search."""
+    text = "a" * 200_000
+    model = toy()
+    ids, many, best = encode_chunk(model, pa.array([text], pa.string()), 4)
+    base = np.frombuffer(ids[0], "<u2").tolist()
+    got = list(applied(base, best[0]))
+    assert len(got) == 4 and got[0][1] == base and len({tuple(p) for _, p in got}) == 4
+    assert all(b"".join(model.data[model.limits[i] : model.limits[i + 1]].tobytes() for i in p) == text.encode() for _, p in got)
