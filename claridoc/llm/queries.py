@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claridoc.llm import chat_format, fingerprints, jaccard_join, language_model, line_dedup, mixing, piece_codec, quality_rules, substring_dedup, toxic_spans
+from claridoc.llm import chat_format, fingerprints, jaccard_join, language_model, line_dedup, manifest, mixing, piece_codec, quality_rules, substring_dedup, toxic_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -247,3 +247,56 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op10_sentencepiece"] = op10_sentencepiece
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as audited records; where 7 divides the checksum of doc_id, one character more is claimed when the proof is checked."""
+    documents = table(spark, folder, "documents")
+    fields = {f: F.col(f) for f in ("doc_id", "source", "lang", "n_chars", "text")}
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    claimed = fields | {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    leaves = manifest.manifest(documents.withColumn("claimed_leaf", manifest.leaf_digest(claimed)), list(fields), keep=["claimed_leaf"])
+    folded = leaves.withColumn("folded_root", manifest.folded_root("claimed_leaf"))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.sibling_text(), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES["op12_merkle_manifest"] = op12_merkle_manifest
+CHECKS["op12_merkle_manifest"] = r"""
+WITH RECURSIVE parts AS (
+  SELECT doc_id, lang, n_chars, row_number() OVER () AS rid,
+    [coalesce(strlen(CAST(v AS VARCHAR)) || ':' || CAST(v AS VARCHAR), '-') FOR v IN [CAST(doc_id AS VARCHAR), source, lang]] AS a, coalesce(strlen(text) || ':' || text, '-') AS z
+  FROM documents),
+told AS (
+  SELECT *, sha256(array_to_string(a, '') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || z) AS leaf,
+    sha256(array_to_string(a, '') || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || z) AS other
+  FROM parts),
+hex AS (SELECT n AS byte, n AS c, 0 AS k FROM range(0, 256) r(n) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM hex WHERE k < 8),
+crcs AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL SELECT doc_id, s, i + 1, xor(crcs.c // 256, CAST(hex.c AS BIGINT)) FROM crcs JOIN hex ON hex.k = 8 AND hex.byte = xor(crcs.c % 256, ord(s[i + 1])) WHERE i < length(s)),
+tampered AS (SELECT doc_id FROM crcs WHERE i = length(s) AND xor(c, 4294967295) % 7 = 0),
+leaves AS (
+  SELECT rid, doc_id, lang, leaf, CASE WHEN doc_id IN (SELECT doc_id FROM tampered) THEN other ELSE leaf END AS claimed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM told),
+low(lang, l, pos, n, h) AS (
+  SELECT lang, 0, pos, n, leaf FROM leaves
+  UNION ALL SELECT lang, l + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lang, l, pos // 2, n),
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, l AS height FROM low WHERE n = 1),
+high(l, pos, n, h) AS (
+  SELECT 0, pos, n, subroot FROM subroots
+  UNION ALL SELECT l + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY l, pos // 2, n),
+steps AS (
+  SELECT rid, low.l AS l, (leaves.pos >> low.l) % 2 AS slot, sib.h AS sib
+  FROM leaves JOIN low ON low.lang IS NOT DISTINCT FROM leaves.lang AND low.pos = leaves.pos >> low.l AND low.n > 1
+  LEFT JOIN low sib ON sib.lang IS NOT DISTINCT FROM leaves.lang AND sib.l = low.l AND sib.pos = xor(low.pos, 1)
+  UNION ALL SELECT rid, height + high.l, (s.pos >> high.l) % 2, sib.h
+  FROM leaves JOIN subroots s ON s.lang IS NOT DISTINCT FROM leaves.lang JOIN high ON high.pos = s.pos >> high.l AND high.n > 1
+  LEFT JOIN high sib ON sib.l = high.l AND sib.pos = xor(high.pos, 1)),
+folds(rid, l, h) AS (
+  SELECT rid, 0, claimed FROM leaves
+  UNION ALL SELECT folds.rid, folds.l + 1, sha256(CASE WHEN slot = 1 THEN sib || h ELSE h || coalesce(sib, '') END) FROM folds JOIN steps USING (rid, l)),
+told_proof AS (SELECT rid, sha256(coalesce(string_agg(sib, '' ORDER BY l), '')) AS proof_sha256 FROM leaves LEFT JOIN steps USING (rid) GROUP BY rid),
+ends AS (SELECT rid, max_by(h, l) AS folded_root FROM folds GROUP BY rid)
+SELECT doc_id, leaf, subroot, (SELECT h FROM high WHERE n = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT h FROM high WHERE n = 1) AS verified
+FROM leaves JOIN subroots s ON s.lang IS NOT DISTINCT FROM leaves.lang JOIN told_proof USING (rid) JOIN ends USING (rid)
+"""

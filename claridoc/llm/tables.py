@@ -1,8 +1,8 @@
-"""Connected components on tables of links."""
+"""Connected components on tables of links, and positions within groups of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claridoc.session import written
@@ -27,3 +27,21 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(seen) == state:
             return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").union(now.select("b", "b").distinct())
         state = tuple(seen)
+
+
+def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``df`` with ``position`` (from 0, within the group, in ascending order with null first) and ``n`` (rows of the group).
+
+    No group is one task: rows are dealt by ranges of (group, order), counted inside each range, and every range learns how many
+    rows of the group lie before it. What is gathered is one row a (range, group). The dealt table is written once, so that
+    both looks see the same ranges. ``order`` should tell rows apart, or rows that it cannot tell apart lie in one range.
+    """
+    keys = [group, *order]
+    row = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__row", F.monotonically_increasing_id()))
+    ranged = row.withColumn("__range", F.shiftright("__row", 33)).withColumn("__of", F.struct(group))
+    ends = ranged.groupBy("__range", "__of").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__of").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select(
+        "__range", "__of", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"), F.sum("__n").over(Window.partitionBy("__of")).alias("n")
+    )
+    return ranged.join(offsets, ["__range", "__of"]).withColumn("position", F.col("__row") + F.col("__shift")).drop("__row", "__range", "__of", "__shift")
