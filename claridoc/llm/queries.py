@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claridoc.llm import chat_format, fingerprints, jaccard_join, language_model, line_dedup, manifest, mixing, piece_codec, quality_rules, substring_dedup, toxic_spans
+from claridoc.llm import chat_format, fingerprints, jaccard_join, language_model, line_dedup, manifest, mixing, piece_codec, prefix_trie, quality_rules, substring_dedup, toxic_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -300,3 +300,44 @@ ends AS (SELECT rid, max_by(h, l) AS folded_root FROM folds GROUP BY rid)
 SELECT doc_id, leaf, subroot, (SELECT h FROM high WHERE n = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT h FROM high WHERE n = 1) AS verified
 FROM leaves JOIN subroots s ON s.lang IS NOT DISTINCT FROM leaves.lang JOIN told_proof USING (rid) JOIN ends USING (rid)
 """
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations that begin as the first of their twenty did, for up to three turns."""
+    turns = prefix_trie.turn_digests(table(spark, folder, "conversations"))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return prefix_trie.prefix_trie(prefix_trie.branched(turns, F.col("conv_id") - F.col("conv_id") % 20, heads, 3))
+
+
+QUERIES["op13_prefix_trie"] = op13_prefix_trie
+CHECKS["op13_prefix_trie"] = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(r) || ':' || r || t)) AS p, md5(strlen(r) || ':' || r || t) AS x,
+    len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations)),
+hex AS (SELECT n AS byte, n AS c, 0 AS k FROM range(0, 256) r(n) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM hex WHERE k < 8),
+crcs AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+  UNION ALL SELECT conv_id, s, i + 1, xor(crcs.c // 256, CAST(hex.c AS BIGINT)) FROM crcs JOIN hex ON hex.k = 8 AND hex.byte = xor(crcs.c % 256, ord(s[i + 1])) WHERE i < length(s)),
+chats AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(c, 4294967295) % 4 AS h FROM crcs WHERE i = length(s)
+  UNION ALL SELECT DISTINCT conv_id, NULL, 0 FROM conversations WHERE conv_id IS NULL),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS own, p, x, w FROM chats c JOIN turns t ON t.conv_id = c.base AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, x, w FROM chats c JOIN turns t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND p > h),
+lists AS (
+  SELECT c.conv_id, coalesce(list(x ORDER BY own, p) FILTER (x IS NOT NULL), []) AS xs, coalesce(list(w ORDER BY own, p) FILTER (x IS NOT NULL), []) AS ws
+  FROM chats c LEFT JOIN rebuilt r ON r.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+spots AS (SELECT conv_id, xs, ws, len(xs) AS n, unnest(range(0, len(xs) + 1)) AS depth FROM lists),
+nodes AS (
+  SELECT md5(array_to_string(xs[1:depth], '')) AS k, depth, any_value(md5(array_to_string(xs[1:depth - 1], ''))) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+    any_value(xs[1:depth]) AS xs, any_value(CASE WHEN depth > 0 THEN ws[depth] ELSE 0 END) AS w, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM spots GROUP BY 1, 2),
+children AS (SELECT up AS k, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (k, depth)),
+below AS (
+  SELECT md5(array_to_string(xs[1:d], '')) AS k, d AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_nodes) GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below USING (k, depth) LEFT JOIN nodes p ON p.k = n.up AND p.depth = n.depth - 1
+"""

@@ -21,8 +21,6 @@ def test_empty_tables_give_no_rows(spark, nothing, name):
     assert QUERIES[name](spark, nothing).count() == 0
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [q for q in QUERIES if q not in ("op5_chat_format", "op13_prefix_trie")])  # those are about chats
 def test_one_row_a_document(spark, edges, name):
-    if name == "op5_chat_format":
-        return
     assert QUERIES[name](spark, edges).count() == 25
