@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claridoc.llm import chat_format, fingerprints, jaccard_join, language_model, line_dedup, manifest, mixing, piece_codec, prefix_trie, quality_rules, substring_dedup, toxic_spans
+from claridoc.llm import bpe_codec, chat_format, fingerprints, jaccard_join, language_model, line_dedup, manifest, mixing, piece_codec, prefix_trie, quality_rules, substring_dedup, toxic_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -341,3 +341,24 @@ below AS (
 SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM full_nodes n JOIN below USING (k, depth) LEFT JOIN nodes p ON p.k = n.up AND p.depth = n.depth - 1
 """
+
+
+BPE_FILE = "word_bpe_49k.json"
+
+
+def bpe_path() -> str:
+    """Place of the public tokenizer file; set CLARIDOC_BPE_MODEL to use another one."""
+    import os
+
+    return os.environ.get("CLARIDOC_BPE_MODEL", f"/opt/tokenizers/{BPE_FILE}")
+
+
+def op11_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Encoded and decoded again: digests of the identifiers and of the decoded text."""
+    model = bpe_codec.load_bpe_model(bpe_path())
+    encoded = bpe_codec.encode(text_layers(spark, folder), model)
+    back = bpe_codec.decode(encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256")), model)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES["op11_bpe_codec"] = op11_bpe_codec
