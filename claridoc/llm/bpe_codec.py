@@ -16,6 +16,7 @@ Memory: one block, and in each worker the identifiers of the most recent words.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -40,6 +41,9 @@ _SHARED = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("core", pa.binar
 _RESULT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64())])
 
 
+_MARK = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?])(?=\s|\Z)")
+
+
 @dataclass(frozen=True)
 class BpeModel:
     """A tokenizer file as it travels to the tasks (some hundred kilobytes)."""
@@ -68,16 +72,34 @@ class Encoder:
         self.library.no_padding()
         self.tokens = [(self.library.id_to_token(i) or "").encode() for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        one = lambda *texts: b"".join(self.encode(list(texts)))
+        self.marks_alone = one(b"ab, c4.") == one(b"ab", b",", b"c4", b".")
+        self.one_case = one(b"AB cD") == one(b"ab cd")
+
+    def split(self, text: bytes) -> list[bytes]:
+        """Words of a text in a form that repeats more often and has the same identifiers: a last mark set apart, plain ASCII in lower case.
+
+        Letters with signs of their own stay as they are, for lower case and composition do not commute there, and so does
+        whatever may hold the string of a special token."""
+        if self.marks_alone:
+            text = _MARK.sub(rb" \1", text)
+        if self.one_case and text.isascii() and b"<|" not in text:
+            text = text.lower()
+        return text.split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Identifiers of whole texts, 4 bytes each."""
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def encode_words(self, lists: list[list[bytes]]) -> list[bytes]:
-        """Identifiers of each list of words, every new word encoded once."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({w for ws in lists for w in ws if w not in self.known})
+        """Identifiers of each list of words; a word is encoded when it is not among those met lately."""
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {}, self.known
+        new = set().union(*lists).difference(self.known)
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.known.update(again)
+        new = list(new.difference(again))
         self.known.update(zip(new, self.encode(new)))
         out = [b"".join(map(self.known.__getitem__, ws)) for ws in lists]
         for w in new:
@@ -97,11 +119,17 @@ def load_bpe_model(path: str) -> BpeModel:
     return model
 
 
-def cuts(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial sums of the bytes, and the hash of the ``WINDOW`` bytes before each place from ``WINDOW`` on."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(words._BYTE_VALUE[data] * words.powers(words.BYTE_BASE, len(data)), out=sums[1:])
+    back = words.powers(pow(words.BYTE_BASE, -1, 2**64), len(data) + 1)
+    return sums, (sums[WINDOW:] - sums[:-WINDOW]) * back[: max(0, len(sums) - WINDOW)]
+
+
+def cuts(data: np.ndarray, limits: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Limits of the chunks of consecutive texts, and the number of chunks before each text. Cuts depend on nearby bytes alone and spare UTF-8 characters."""
-    ends = np.arange(WINDOW, len(data) + 1)
-    rolling = words.mix(words.span_hash(words._BYTE_VALUE[data], ends - WINDOW, ends, words.BYTE_BASE)) if len(ends) else np.zeros(0, np.uint64)
-    marks = ends[(rolling >> np.uint64(20)) % np.uint64(CHUNK_MEAN) == 0]
+    marks = WINDOW + np.flatnonzero((hashes >> np.uint64(40)) % np.uint64(CHUNK_MEAN) == 0)
     inside = np.searchsorted(marks, limits)
     starts_char = np.append((data & 0xC0) != 0x80, True)
     out, first = [], [0]
@@ -139,9 +167,11 @@ class Chunks:
 def chunked(text: pa.Array):
     for lo, hi in words.chunks(text):
         data, limits = words.text_bytes(text.slice(lo, hi - lo))
-        at, first = cuts(data, limits)
+        sums, hashes = rolling(data)
+        at, first = cuts(data, limits, hashes)
         values, size = words._BYTE_VALUE[data], np.diff(at).astype(np.uint64)
-        one = words.mix(words.span_hash(values, at[:-1], at[1:], words.BYTE_BASE) + size).view(np.int64)
+        back = words.powers(pow(words.BYTE_BASE, -1, 2**64), len(data) + 1)
+        one = words.mix((sums[at[1:]] - sums[at[:-1]]) * back[at[:-1]] + size).view(np.int64)
         two = words.mix(words.span_hash(values, at[:-1], at[1:], words.GRAM_BASE_2) ^ size).view(np.int64)
         space = np.flatnonzero(words._SPACE[data])
         a, b = np.searchsorted(space, at[:-1]), np.searchsorted(space, at[1:])
@@ -154,7 +184,7 @@ def chunked(text: pa.Array):
 
 def _ask(table: pa.Table) -> pa.Table:
     """Digests of the chunks of a block, each once."""
-    keys = {k for part in chunked(blocks.in_order(table)[2]) for k, a, b in zip(part.keys, part.core, part.core_end) if b > a}
+    keys = {k for part in chunked(table.column("text").combine_chunks()) for k, a, b in zip(part.keys, part.core, part.core_end) if b > a}
     return pa.table([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([table.column("block")[0].as_py()] * len(keys), pa.int64())], schema=_DIGESTS)
 
 
@@ -165,10 +195,10 @@ def _pairs(table: pa.Table) -> list[tuple[int, int]]:
 def _share(model: BpeModel, table: pa.Table, owned: pa.Table) -> pa.Table:
     """Cores of the chunks that this block encodes for all."""
     wanted, out = set(_pairs(owned)), []
-    for part in chunked(blocks.in_order(table)[2]) if wanted else ():
+    for part in chunked(table.column("text").combine_chunks()) if wanted else ():
         mine = {k: part.data[a:b] for k, a, b in zip(part.keys, part.core, part.core_end) if k in wanted}
         wanted -= mine.keys()
-        out += zip(mine, model.encoder.encode_words([core.split() for core in mine.values()]))
+        out += zip(mine, model.encoder.encode_words([model.encoder.split(core) for core in mine.values()]))
     small = [np.frombuffer(ids, "<u4") for _, ids in out]
     cores = [(b"\x02" + v.astype("<u2").tobytes()) if not len(v) or v.max() < 65536 else b"\x04" + v.tobytes() for v in small]
     return pa.table([pa.array([k[0] for k, _ in out], pa.int64()), pa.array([k[1] for k, _ in out], pa.int64()), pa.array(cores, pa.binary())], schema=_SHARED)
@@ -196,7 +226,7 @@ def repaired(encoder: Encoder, before: list[bytes], seam: bytes, after: list[byt
 def _assemble(encoder: Encoder, part: Chunks, cores: dict[tuple[int, int], bytes]) -> list[bytes]:
     """Identifiers of each text from the cores of its chunks and the repaired joins between them."""
     usable = [i for i in range(len(part.keys)) if part.core_end[i] > part.core[i]]
-    new = {part.keys[i]: part.data[part.core[i] : part.core_end[i]].split() for i in usable if part.keys[i] not in cores}
+    new = {part.keys[i]: encoder.split(part.data[part.core[i] : part.core_end[i]]) for i in usable if part.keys[i] not in cores}
     cores.update(zip(new, encoder.encode_words(list(new.values()))))
     windows, texts = [], []  # (last word before, seam, first word after) of every join; per text its joins (numbers) and cores (keys) in order
     for t in range(len(part.first) - 1):
@@ -214,7 +244,7 @@ def _assemble(encoder: Encoder, part: Chunks, cores: dict[tuple[int, int], bytes
             begin = a + len(core.rstrip())
         windows.append((left, part.data[begin : int(part.limits[t + 1])], b""))
         texts.append([*mine, len(windows) - 1])
-    ends = encoder.encode_words([[w] if w else [] for left, _, right in windows for w in (left, right)])
+    ends = encoder.encode_words([encoder.split(w) for left, _, right in windows for w in (left, right)])
     whole = encoder.encode([left + seam + right for left, seam, right in windows])
     out = []
     for t, mine in enumerate(texts):
@@ -240,11 +270,10 @@ def _assemble(encoder: Encoder, part: Chunks, cores: dict[tuple[int, int], bytes
 
 
 def _finish(model: BpeModel, table: pa.Table, received: pa.Table) -> pa.Table:
-    doc, null, text = blocks.in_order(table)
     cores, ids = _received(received), []
-    for part in chunked(text):
+    for part in chunked(table.column("text").combine_chunks()):
         ids += _assemble(model.encoder, part, cores)
-    return pa.table([pa.array(doc, pa.int64(), mask=null), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())], schema=_RESULT)
+    return pa.table([table.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())], schema=_RESULT)
 
 
 def encode(text_layers: DataFrame, model: BpeModel, block_bytes: int = BLOCK_BYTES) -> DataFrame:
