@@ -1,9 +1,8 @@
-"""Complete top-level blocks out of streamed markup. A small sequential helper used inside tasks."""
+"""Complete top-level blocks out of one growing buffer: the sequential form, used by the stream that holds the buffer."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 
 from claridoc.functions import fixed_values as fv
 
-_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)\b[^>]*>")
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)\b[^>]*>", re.A)
 _WS = "[" + fv.WHITESPACE + "]"
 _FENCE_OPEN = re.compile(rf"^{_WS}*```(?:html)?{_WS}*", re.I)
 _FENCE_CLOSE = re.compile(rf"{_WS}*```{_WS}*\Z")
@@ -66,42 +65,6 @@ def split_blocks(buffer: str) -> tuple[list[str], str]:
     return scan_blocks(strip_fence(buffer))
 
 
-_NO_KEY, _NULL_KEY = ("no key yet",), ("null",)
-
-
-def scan_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of chunks sorted by document and number; only the open tail is kept between batches.
-
-    The opening fence is taken off as long as nothing was found yet, the closing one at the end of
-    a document, so the cut into batches does not matter.
-    """
-    doc, rest, count = _NO_KEY, "", 0
-
-    def found(blocks: list[str], start: int) -> list[tuple]:
-        return [(None if doc == _NULL_KEY else doc, start + i, b) for i, b in enumerate(blocks, 1)]
-
-    def tail() -> list[str]:
-        end = strip_fence(rest).strip(fv.WHITESPACE)
-        return [end] if end else []
-
-    for batch in batches:
-        out: list[tuple] = []
-        keys = pd.Series([_NULL_KEY if pd.isna(k) else k for k in batch["doc_id"]], index=batch.index, dtype=object)  # NULL is a key like any other
-        runs = (keys != keys.shift()).cumsum()
-        for _, part in batch.groupby(runs, sort=False):
-            key = keys.loc[part.index[0]]
-            if key != doc:
-                out += found(tail(), count)
-                doc, rest, count = key, "", 0
-            buffer = rest + "".join(part["chunk"])
-            blocks, after = scan_blocks(buffer if count else _FENCE_OPEN.sub("", buffer, count=1))
-            rest = after if blocks or count else buffer
-            out += found(blocks, count)
-            count += len(blocks)
-        yield pd.DataFrame(out, columns=["doc_id", "block_no", "html"])
-    yield pd.DataFrame(found(tail(), count), columns=["doc_id", "block_no", "html"])
-
-
 def all_blocks(text: str) -> list[str]:
     """Blocks of a finished text; what is left at the end counts as a block."""
     blocks, rest = split_blocks(text)
@@ -109,11 +72,6 @@ def all_blocks(text: str) -> list[str]:
     return blocks + [rest] if rest else blocks
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def blocks_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: all_blocks(t or ""))
-
-
 @F.pandas_udf(T.StringType())
 def decomposed(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition (NFKD), which Spark has no function for."""

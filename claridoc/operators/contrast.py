@@ -11,6 +11,7 @@ from claridoc.functions.text import number_text, trimmed, truthy
 from claridoc.operators.criteria import evidence
 
 TILE = 64
+FILTER_BITS = 1 << 24
 
 
 def flatten_spans(containers: DataFrame) -> DataFrame:
@@ -67,69 +68,84 @@ def _boxes(spans: DataFrame, pages: DataFrame) -> DataFrame:
     ).filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
 
 
-def _covered(boxes: DataFrame, pixels: DataFrame, tile: int) -> DataFrame:
-    """Range join of boxes and pixels by square tiles: an equi join plus a range filter.
-
-    A tile bounds the pixels of a join key by its area, whatever the image size.
-    """
+def _tiled(boxes: DataFrame, tile: int) -> DataFrame:
+    """Each box once per square tile it touches, with its text's luminance as ``ink``."""
     def cells(low: str, high: str) -> Column:
         return F.sequence(F.expr(f"{low} div {tile}"), F.expr(f"({high} - 1) div {tile}"))
 
     rgb = boxes.withColumn("rgb", hex_to_rgb(F.col("color")))
-    tiled = (
+    return (
         rgb.select("page_id", "span_idx", "x0", "y0", "x1", "y1", luminance(F.col("rgb.r"), F.col("rgb.g"), F.col("rgb.b")).alias("ink"))
         .withColumn("tx", F.explode(cells("x0", "x1"))).withColumn("ty", F.explode(cells("y0", "y1")))
         .withColumn("tile", F.shiftleft("ty", 32) + F.col("tx"))
     )
-    # a pixel travels as four numbers: page, tile, place within the tile, and colour
-    at = (F.col("y") % tile) * tile + F.col("x") % tile
+
+
+def _under_text(dots: DataFrame, tiled: DataFrame) -> DataFrame:
+    """Pixels whose tile some box may touch, by a Bloom filter of tiles: a table of ``FILTER_BITS`` / 64 words at most, however many tiles there are.
+
+    The filter keeps every pixel that counts; when tiles outgrow it, it lets more through and nothing changes but speed.
+    """
+    place = F.xxhash64("page_id", "tile").bitwiseAND(FILTER_BITS - 1)
+    words = tiled.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
+    marked = dots.withColumn("h", place).withColumn("word", F.shiftright("h", 6))
+    return marked.join(F.broadcast(words), "word").filter("bit_get(bits, cast(h % 64 as int)) = 1").drop("h", "word", "bits")
+
+
+def _covered(boxes: DataFrame, pixels: DataFrame, tile: int) -> DataFrame:
+    """Per box, colour and row of a tile the number of pixels ``n`` under the box, with the box's ``ink``.
+
+    Pixels are folded before they travel: those of one colour in one row of a tile become one number with a bit per
+    place, by partial aggregation. A plain background moves one row where it had ``tile`` pixels. A box then counts
+    the bits inside its range. A pixel that is listed twice in one colour counts once.
+    """
+    if not 0 < tile <= 64:
+        raise ValueError("a row of a tile has 64 places at most")
+    tiled = _tiled(boxes, tile)
     paint = F.shiftleft(F.col("a").cast("bigint"), 24) + F.shiftleft("r", 16) + F.shiftleft("g", 8) + F.col("b")
     cell = F.shiftleft(F.expr(f"y div {tile}"), 32) + F.expr(f"x div {tile}")
-    dots = pixels.select("page_id", cell.alias("tile"), at.cast("int").alias("at"), paint.alias("paint"))
+    dots = pixels.select("page_id", cell.alias("tile"), (paint * 64 + F.expr(f"y % {tile}")).alias("dab"), F.expr(f"shiftleft(1L, cast(x % {tile} as int))").alias("bit"))
+    runs = _under_text(dots, tiled).groupBy("page_id", "tile", "dab").agg(F.bit_or("bit").alias("bits"))
     # sizes of exploded inputs are not known to the planner, so neither side may be broadcast by estimate
-    met = tiled.join(dots.hint("merge"), ["page_id", "tile"])
-    x, y = F.col("tx") * tile + F.col("at") % tile, F.col("ty") * tile + F.expr(f"at div {tile}")
-    return met.filter((x >= F.col("x0")) & (x < F.col("x1")) & (y >= F.col("y0")) & (y < F.col("y1")))
+    met = tiled.join(runs.hint("merge"), ["page_id", "tile"])
+    y = F.col("ty") * tile + F.col("dab") % 64
+    low, high = F.greatest(F.col("x0") - F.col("tx") * tile, F.lit(0)).cast("int"), F.least(F.col("x1") - F.col("tx") * tile, F.lit(tile)).cast("int")
+    upto = lambda name: F.expr(f"if({name} = 64, -1L, shiftleft(1L, {name}) - 1)")
+    inside = met.filter((y >= F.col("y0")) & (y < F.col("y1"))).withColumns({"low": low, "high": high})
+    n = F.bit_count(F.col("bits").bitwiseAND(upto("high")).bitwiseAND(F.bitwise_not(upto("low")))).cast("bigint")
+    return inside.select("page_id", "span_idx", F.shiftright("dab", 6).alias("paint"), "ink", n.alias("n")).filter("n > 0")
 
 
-def _colours(boxes: DataFrame, pixels: DataFrame, tile: int) -> DataFrame:
-    """Different colours under each span with their pixel counts.
-
-    Counting right after the join keeps every later step as small as the number of colours.
-    """
-    part = lambda shift: F.shiftright("paint", shift).bitwiseAND(255).cast("int")
-    counted = _covered(boxes, pixels, tile).groupBy("page_id", "span_idx", "paint").agg(F.count("*").alias("n"), F.any_value("ink").alias("ink"))
-    return counted.select(
-        "page_id", "span_idx", part(16).alias("r"), part(8).alias("g"), part(0).alias("b"), (part(24) >= 255).alias("opaque"), "n", "ink"
-    )
+def _channel(shift: int) -> Column:
+    return F.shiftright("paint", shift).bitwiseAND(255).cast("int")
 
 
 def span_pixels(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: int = TILE) -> DataFrame:
     """Colours under each span: page_id, span_idx, r, g, b, opaque, n (pixels of that colour)."""
-    colours = _colours(_boxes(spans, pages), pixels, tile)
-    return colours.groupBy("page_id", "span_idx", "r", "g", "b", "opaque").agg(F.sum("n").alias("n"))
+    colours = _covered(_boxes(spans, pages), pixels, tile).groupBy("page_id", "span_idx", "paint").agg(F.sum("n").alias("n"))
+    split = colours.select("page_id", "span_idx", _channel(16).alias("r"), _channel(8).alias("g"), _channel(0).alias("b"), (_channel(24) >= 255).alias("opaque"), "n")
+    return split.groupBy("page_id", "span_idx", "r", "g", "b", "opaque").agg(F.sum("n").alias("n"))
 
 
 SPAN_FIELDS = ["span_idx", "text", "color", "x0", "y0", "x1", "y1", "worst_ratio", "median_ratio", "large_text", "threshold", "passes"]
 
 
 def measure_spans(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: int = TILE) -> DataFrame:
-    """Worst (2nd percentile) and median contrast per span by exact rank, from the colour histogram.
+    """Worst (2nd percentile) and median contrast per span by exact rank.
 
     Also says whether a span lies on see-through pixels, which do not count. A span with no other
-    pixels stays, with ``measured`` false. A span has at most 2^24 colours, which bounds the rank
-    window of one span.
+    pixels stays, with ``measured`` false. Ratios are shown with two places, and rounding keeps their order, so ranks are
+    taken over the rounded ones: a span has some two thousand of them (1.00 to 21.00), however many colours it has.
     """
     boxes = _boxes(spans, pages)
-    ratio = contrast_ratio(F.col("ink"), luminance(F.col("r"), F.col("g"), F.col("b")))
-    hist = _colours(boxes, pixels, tile).select(
-        "page_id", "span_idx", "opaque", F.when(F.col("opaque"), ratio).alias("ratio"), F.when(F.col("opaque"), F.col("n")).otherwise(0).alias("n")
-    )
+    opaque = _channel(24) >= 255
+    ratio = round2(contrast_ratio(F.col("ink"), luminance(_channel(16), _channel(8), _channel(0))))
+    hist = _covered(boxes, pixels, tile).groupBy("page_id", "span_idx", opaque.alias("opaque"), F.when(opaque, ratio).alias("ratio")).agg(F.sum(F.when(opaque, F.col("n")).otherwise(0)).alias("n"))
     one = Window.partitionBy("page_id", "span_idx")
     ranked = hist.withColumn("upto", F.sum("n").over(one.orderBy("ratio"))).withColumn("total", F.sum("n").over(one))
 
     def at(rank: Column) -> Column:
-        return round2(F.min(F.when(F.col("upto") > rank, F.col("ratio"))))
+        return F.min(F.when(F.col("upto") > rank, F.col("ratio")))
 
     stats = ranked.groupBy("page_id", "span_idx").agg(
         at(F.expr("total div 50")).alias("worst_ratio"), at(F.expr("total div 2")).alias("median_ratio"),

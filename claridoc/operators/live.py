@@ -12,6 +12,7 @@ from claridoc.functions import blocks as block_scan
 from claridoc.functions import fixed_values as fv
 from claridoc.functions.text import WS, escape_html, existing_block_id, trimmed, truthy, with_block_id
 from claridoc.operators import ordered
+from claridoc.operators.splitting import chunk_blocks, extract_blocks  # noqa: F401  blocks of the live document
 from claridoc.session import written
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -133,26 +134,6 @@ def figure_countdown(pending: DataFrame, ready: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- blocks
 
 
-def chunk_blocks(chunks: DataFrame) -> DataFrame:
-    """Streamed chunks (doc_id, chunk_no, chunk) to blocks: doc_id, block_no, html.
-
-    Where a block ends depends on everything before it, so a document is read in order by one task;
-    but it is read through, not gathered: memory holds one Arrow batch and the open block.
-    """
-    kind = chunks.schema["doc_id"].dataType.simpleString()
-    key = F.col("doc_id").cast("string").alias("doc_id")  # pandas has no NULL among integers
-    sorted_ = chunks.select(key, "chunk_no", "chunk").repartition("doc_id").sortWithinPartitions("doc_id", "chunk_no")
-    blocks = sorted_.mapInPandas(block_scan.scan_chunks, "doc_id string, block_no bigint, html string")
-    return blocks.withColumn("doc_id", F.col("doc_id").cast(kind))
-
-
-def extract_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of finished documents: doc_id, block_no, html."""
-    return docs.select("doc_id", F.posexplode(block_scan.blocks_of("html")).alias("pos", "html")).select(
-        "doc_id", (F.col("pos") + 1).cast("bigint").alias("block_no"), "html"
-    )
-
-
 def parse_figures(blocks: DataFrame) -> DataFrame:
     """Figure references of blocks: page, four box numbers and a plain caption."""
     attrs = F.regexp_extract("html", r"(?i)^<figure\b([^>]*)>", 1)

@@ -100,39 +100,6 @@ def table_header_coverage(elements: DataFrame, max_depth: int = 60) -> DataFrame
     )
 
 
-def subtree_text(nodes: DataFrame) -> DataFrame:
-    """Text of every element's subtree, joined by blanks in element order.
-
-    ``nodes``: doc_id, elem, parent_elem, text. The (element, ancestor) pairs grow by doubling and
-    carry ids only; their number is elements times depth. A root's text is the text of its whole
-    document, which the result asks for. There is no bound on depth: doubling ends when no chain goes on, or in
-    circular data after as many levels as the largest document has elements. Elements of a circle then
-    all have the text of everything that hangs on it, each element once.
-    """
-    most = nodes.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
-    spoken = nodes.filter(trimmed(F.col("text")) != "").select("doc_id", "elem", "text")
-    pairs = written(spoken.select("doc_id", "elem", F.col("elem").alias("anc")))
-    up = written(
-        nodes.filter(F.coalesce("parent_elem", F.lit(0)) != 0).select("doc_id", "elem", F.col("parent_elem").alias("up"))
-    )
-    span = 1
-    while span <= most and not up.isEmpty():
-        climb = up.withColumnRenamed("elem", "anc")
-        lifted = pairs.join(climb, ["doc_id", "anc"]).select("doc_id", "elem", F.col("up").alias("anc"))
-        pairs = written(pairs.unionByName(lifted).distinct())
-        above = up.select("doc_id", F.col("elem").alias("up"), F.col("up").alias("up2"))
-        up = written(up.join(above, ["doc_id", "up"]).select("doc_id", "elem", F.col("up2").alias("up")))
-        span *= 2
-    ordered = F.array_sort(F.collect_list(F.struct("elem", "text")))
-    return (
-        pairs.join(spoken, ["doc_id", "elem"])
-        .groupBy("doc_id", "anc")
-        .agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("text"))
-        .withColumnRenamed("anc", "elem")
-        .join(nodes.select("doc_id", "elem"), ["doc_id", "elem"], "left_semi")
-    )
-
-
 # ---------------------------------------------------------------- findings and verdicts
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claridoc.functions import text
-from claridoc.operators import geometry, live, markup, probe
+from claridoc.operators import geometry, live, markup, tour
 from claridoc.plans import audit
 from claridoc.plans.check_views import CHECK_VIEWS
 from claridoc.plans.registry import query
@@ -211,22 +211,30 @@ query(
              SELECT *, w * h AS area, printf('%.4f:%.4f:%.4f:%.4f', x, y, w, h) AS place FROM c_placed WHERE w > 0 AND h > 0 AND contains(lower(text), 'total')) a) b WHERE rn = 1) c""",
 )
 CHECK_VIEWS["c_subtree"] = """
-    WITH RECURSIVE up AS (
-      SELECT doc_id, elem, elem AS anc, parent_elem, COALESCE(alt, actual_text, role) AS t FROM struct_elements WHERE trim(COALESCE(alt, actual_text, role)) <> ''
-      UNION ALL SELECT up.doc_id, up.elem, e.elem, e.parent_elem, up.t FROM up JOIN struct_elements e ON e.doc_id = up.doc_id AND e.elem = up.parent_elem)
-    SELECT doc_id, anc AS elem, string_agg(t, ' ' ORDER BY elem) AS text FROM up GROUP BY doc_id, anc"""
+    WITH RECURSIVE down AS (
+      SELECT doc_id, elem, [elem] AS path, COALESCE(alt, actual_text, role) AS t FROM struct_elements e
+      WHERE COALESCE(parent_elem, 0) = 0 OR NOT EXISTS (SELECT 1 FROM struct_elements p WHERE p.doc_id = e.doc_id AND p.elem = e.parent_elem)
+      UNION ALL SELECT e.doc_id, e.elem, list_append(down.path, e.elem), COALESCE(e.alt, e.actual_text, e.role) FROM down JOIN struct_elements e ON e.doc_id = down.doc_id AND e.parent_elem = down.elem),
+    spoken AS (SELECT doc_id, unnest(path) AS anc, path, t FROM down WHERE trim(t) <> '')
+    SELECT doc_id, anc AS elem, string_agg(t, ' ' ORDER BY path) AS text FROM spoken GROUP BY doc_id, anc"""
 
 
-def subtree_boxes(d):
-    """Elements with the joined text of their subtrees, placed on a page by their number."""
-    nodes = probe.subtree_text(d("struct_elements").withColumn("text", F.coalesce("alt", "actual_text", "role")))
+def spoken_elements(d):
+    """Structure elements with the text a reader hears."""
+    return tour.text_sequence(d("struct_elements").withColumn("text", F.coalesce("alt", "actual_text", "role")))
+
+
+def subtree_boxes(d, phrase):
+    """Elements whose subtree has a phrase, with the joined text of the subtree, placed on a page by their number."""
+    sequence = spoken_elements(d)
+    nodes = tour.subtree_text(sequence, tour.search_subtrees(sequence, phrase))
     x, y = ((F.col("elem") % n).cast("double") * step for n, step in ((50, 10), (40, 15)))
     return nodes.select(F.col("doc_id").alias("page_id"), F.col("elem").alias("node"), "text", x.alias("x0"), y.alias("y0"), (x + 5 * (1 + F.col("elem") % 4)).alias("x1"), (y + 12).alias("y1"))
 
 
 query(
     "f9_search_subtree",
-    lambda d: geometry.search_text(subtree_boxes(d), "Actual ALT"),
+    lambda d: geometry.search_text(subtree_boxes(d, "Actual ALT"), "Actual ALT"),
     f"""SELECT page_id, rank, node, text, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, round(area, 6) AS area FROM (
          SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY area, node) AS rank FROM (
            SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id, place ORDER BY area, node) AS rn FROM (
@@ -259,13 +267,17 @@ query(
               CASE k WHEN 0 THEN GREATEST(20, l_suppkey) WHEN 1 THEN 4 WHEN 2 THEN GREATEST(l_suppkey, 3) WHEN 3 THEN CASE WHEN l_partkey % 5 > 0 THEN 10 END WHEN 4 THEN CASE WHEN l_suppkey % 4 > 0 THEN 4 + l_suppkey % 4 END WHEN 6 THEN 11 END::DOUBLE AS y1
        FROM (SELECT *, l_partkey % 7 AS k FROM lines) l""",
 )
+query("f13_subtree_text", lambda d: tour.subtree_text(spoken_elements(d)), "SELECT doc_id, elem, text FROM c_subtree")
 query(
-    "f13_subtree_text",
-    lambda d: probe.subtree_text(d("struct_elements").withColumn("text", F.coalesce("alt", "actual_text", "role"))),
-    """WITH RECURSIVE up AS (
-         SELECT doc_id, elem, elem AS anc, parent_elem, COALESCE(alt, actual_text, role) AS t FROM struct_elements WHERE trim(COALESCE(alt, actual_text, role)) <> ''
-         UNION ALL SELECT up.doc_id, up.elem, e.elem, e.parent_elem, up.t FROM up JOIN struct_elements e ON e.doc_id = up.doc_id AND e.elem = up.parent_elem)
-       SELECT doc_id, anc AS elem, string_agg(t, ' ' ORDER BY elem) AS text FROM up GROUP BY doc_id, anc""",
+    "f13_tree_tour",
+    lambda d: tour.tree_tour(d("struct_elements")),
+    """WITH RECURSIVE down AS (
+         SELECT doc_id, elem, [elem] AS path FROM struct_elements e
+         WHERE COALESCE(parent_elem, 0) = 0 OR NOT EXISTS (SELECT 1 FROM struct_elements p WHERE p.doc_id = e.doc_id AND p.elem = e.parent_elem)
+         UNION ALL SELECT e.doc_id, e.elem, list_append(down.path, e.elem) FROM down JOIN struct_elements e ON e.doc_id = down.doc_id AND e.parent_elem = down.elem),
+       placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS entry FROM down),
+       sizes AS (SELECT doc_id, anc, COUNT(*) AS n FROM (SELECT doc_id, unnest(path) AS anc FROM down) a GROUP BY doc_id, anc)
+       SELECT p.doc_id, p.elem, p.entry, p.entry + s.n - 1 AS "last" FROM placed p JOIN sizes s ON s.doc_id = p.doc_id AND s.anc = p.elem""",
 )
 query(
     "f14_render_params",
