@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claridoc.functions import fixed_values as fv
@@ -12,6 +12,7 @@ from claridoc.operators.criteria import evidence
 
 TILE = 64
 FILTER_BITS = 1 << 24
+BROADCAST_BOXES = 1 << 20  # of some 80 bytes
 
 
 def flatten_spans(containers: DataFrame) -> DataFrame:
@@ -93,17 +94,22 @@ def _under_text(dots: DataFrame, tiled: DataFrame) -> DataFrame:
 
 
 def _covered(boxes: DataFrame, pixels: DataFrame, tile: int) -> DataFrame:
-    """Per box, colour and row of a tile the number of pixels ``n`` under the box, with the box's ``ink``.
+    """Pixels under boxes as (page_id, span_idx, paint, ink, n): ``n`` pixels of one colour under the box, with the box's ``ink``; rows may repeat.
 
-    Pixels are folded before they travel: those of one colour in one row of a tile become one number with a bit per
-    place, by partial aggregation. A plain background moves one row where it had ``tile`` pixels. A box then counts
-    the bits inside its range. A pixel that is listed twice in one colour counts once.
+    Up to ``BROADCAST_BOXES`` places of boxes, counted first, go to where the pixels lie, so that no pixel travels. Beyond that the pixels
+    travel folded: those of one colour in one row of a tile become one number with a bit per place, by partial
+    aggregation, and a box counts the bits inside its range. A plain background then moves one row where it had ``tile``
+    pixels. A picture has every pixel once.
     """
     if not 0 < tile <= 64:
         raise ValueError("a row of a tile has 64 places at most")
     tiled = _tiled(boxes, tile)
     paint = F.shiftleft(F.col("a").cast("bigint"), 24) + F.shiftleft("r", 16) + F.shiftleft("g", 8) + F.col("b")
     cell = F.shiftleft(F.expr(f"y div {tile}"), 32) + F.expr(f"x div {tile}")
+    if tiled.limit(BROADCAST_BOXES + 1).count() <= BROADCAST_BOXES:
+        dots = pixels.select("page_id", cell.alias("tile"), "x", "y", paint.alias("paint"))
+        met = dots.join(F.broadcast(tiled), ["page_id", "tile"]).filter("x >= x0 and x < x1 and y >= y0 and y < y1")
+        return met.select("page_id", "span_idx", "paint", "ink", F.lit(1).cast("bigint").alias("n"))
     dots = pixels.select("page_id", cell.alias("tile"), (paint * 64 + F.expr(f"y % {tile}")).alias("dab"), F.expr(f"shiftleft(1L, cast(x % {tile} as int))").alias("bit"))
     runs = _under_text(dots, tiled).groupBy("page_id", "tile", "dab").agg(F.bit_or("bit").alias("bits"))
     # sizes of exploded inputs are not known to the planner, so neither side may be broadcast by estimate
@@ -135,22 +141,27 @@ def measure_spans(spans: DataFrame, pixels: DataFrame, pages: DataFrame, tile: i
 
     Also says whether a span lies on see-through pixels, which do not count. A span with no other
     pixels stays, with ``measured`` false. Ratios are shown with two places, and rounding keeps their order, so ranks are
-    taken over the rounded ones: a span has some two thousand of them (1.00 to 21.00), however many colours it has.
+    taken over the rounded ones: a span has some two thousand of them (1.00 to 21.00), however many colours it has,
+    and its list of counts is no longer than that.
     """
     boxes = _boxes(spans, pages)
     opaque = _channel(24) >= 255
     ratio = round2(contrast_ratio(F.col("ink"), luminance(_channel(16), _channel(8), _channel(0))))
     hist = _covered(boxes, pixels, tile).groupBy("page_id", "span_idx", opaque.alias("opaque"), F.when(opaque, ratio).alias("ratio")).agg(F.sum(F.when(opaque, F.col("n")).otherwise(0)).alias("n"))
-    one = Window.partitionBy("page_id", "span_idx")
-    ranked = hist.withColumn("upto", F.sum("n").over(one.orderBy("ratio"))).withColumn("total", F.sum("n").over(one))
+    step = F.when(F.col("opaque"), F.struct("ratio", "n"))
+    listed = hist.groupBy("page_id", "span_idx").agg(F.sort_array(F.collect_list(step)).alias("steps"), F.bool_or("opaque").alias("measured"), F.bool_or(~F.col("opaque")).alias("saw_transparency"))
+    counted = listed.withColumn("total", F.aggregate("steps", F.lit(0).cast("bigint"), lambda n, s: n + s["n"]))
 
     def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") > rank, F.col("ratio")))
+        start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("double").alias("ratio"))
 
-    stats = ranked.groupBy("page_id", "span_idx").agg(
-        at(F.expr("total div 50")).alias("worst_ratio"), at(F.expr("total div 2")).alias("median_ratio"),
-        F.bool_or("opaque").alias("measured"), F.bool_or(~F.col("opaque")).alias("saw_transparency"),
-    )
+        def add(acc: Column, s: Column) -> Column:
+            upto = acc["upto"] + s["n"]
+            return F.struct(upto.alias("upto"), F.coalesce(acc["ratio"], F.when(upto > rank, s["ratio"])).alias("ratio"))
+
+        return F.aggregate("steps", start, add, lambda acc: acc["ratio"])
+
+    stats = counted.select("page_id", "span_idx", at(F.expr("total div 50")).alias("worst_ratio"), at(F.expr("total div 2")).alias("median_ratio"), "measured", "saw_transparency")
     large = large_text(F.col("font_size_px"), F.col("bold"), F.col("page_point_width"), F.col("page_width"))
     return (
         boxes.join(stats, ["page_id", "span_idx"])
