@@ -2,13 +2,17 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from claridoc.llm import toxic_spans
 from claridoc.llm.queries import label_held_out, op4_toxicity
-from claridoc.llm.toxic_spans import STRETCH, Model, clean_text_layers, fit, marginals, score_text_layers, tokens, train
+from claridoc.llm.toxic_spans import STRETCH, Model, clean_text_layers, fit, marginals, sample, score_text_layers, tokens, train
 
 
-def test_marginals_equal_enumeration():
+@pytest.mark.parametrize("stretch", [1, 2, 3, 64])
+def test_marginals_equal_enumeration(monkeypatch, stretch):
+    monkeypatch.setattr(toxic_spans, "STRETCH", stretch)
     r = np.random.default_rng(0)
     first = np.array([0, 5, 5, 6, 9])
     toxic, chain = r.normal(0, 2, 9), r.normal(0, 1, (2, 2))
@@ -32,6 +36,25 @@ def test_long_texts_are_read_to_the_end():
     assert np.allclose(p, 1 / (1 + np.exp(-toxic)))
 
 
+def test_cuts_into_stretches_do_not_show(monkeypatch):
+    r = np.random.default_rng(5)
+    first = np.array([0, 700, 700, 705, 1000])
+    toxic, chain = r.normal(0, 2, 1000), np.array([[1.5, -1.0], [-0.5, 2.0]])
+    p, pairs = marginals(toxic, first, chain)
+    monkeypatch.setattr(toxic_spans, "STRETCH", 5000)
+    whole, all_pairs = marginals(toxic, first, chain)
+    assert np.allclose(p, whole) and np.allclose(pairs, all_pairs)
+
+
+def test_sample_takes_documents_once_and_no_long_ones(spark):
+    rows = [(1, "hot text")] * 500 + [(1, "another"), (2, "x" * 50), (3, None)] + [(i, f"clean {i}") for i in range(10, 30)] + [(i, f"vile {i}") for i in range(40, 45)]
+    labels = [(1, 0), (2, 1), (3, 1), *[(i, 0) for i in range(10, 30)], *[(i, 1) for i in range(40, 45)]]
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = sample(*frames, docs=8, chars=20).collect()
+    assert len({r.doc_id for r in got}) == len(got) == 8 + 5 and sum(r.label for r in got) == 5
+    assert {r.text for r in sample(*frames, docs=100, chars=20).collect() if r.doc_id == 1} == {"another"}
+
+
 def test_held_out_labels_are_predicted(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
