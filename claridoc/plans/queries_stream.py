@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claridoc.operators import live
 from claridoc.plans.registry import Data, query
-from claridoc.streaming import native, stateful
+from claridoc.streaming import native, stateful, upsert
 from claridoc.streaming.runner import drain, shared_folder, stream_of, streaming_session
 
 
@@ -63,12 +63,12 @@ query(
 )
 query(
     "s9_figure_countdown_stream",
-    lambda d: _run(d, "lineitem", lambda s: stateful.countdown_stream(s.filter("l_returnflag <> 'N'").select(
+    lambda d: _run(d, "lineitem", lambda s: stateful.countdown_stream(s.select(
         F.col("l_orderkey").alias("session_id"), F.concat(F.lit("blk-"), F.col("l_linenumber").cast("string")).alias("fig_id"),
         F.unix_micros(_instant("l_shipdate")).alias("at"), F.lit(4).cast("bigint").alias("pending"),
     ))).groupBy("session_id").agg(F.count("*").alias("n_ready"), F.min("remaining").alias("remaining"), F.bool_or("finished").alias("finished")),
     """SELECT l_orderkey AS session_id, COUNT(DISTINCT l_linenumber) AS n_ready, GREATEST(0, 4 - COUNT(DISTINCT l_linenumber)) AS remaining, COUNT(DISTINCT l_linenumber) >= 4 AS finished
-       FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey""",
+       FROM lineitem GROUP BY l_orderkey""",
 )
 
 
@@ -128,3 +128,96 @@ query(
     """SELECT session_id, MAX(seq) AS seq, arg_max(phase, seq) FILTER (WHERE type = 'progress' AND phase <> '') AS phase,
               CASE WHEN bool_or(type = 'error') THEN 'error' WHEN bool_or(type = 'done') THEN 'done' ELSE 'running' END AS status FROM session_log GROUP BY session_id""",
 )
+
+
+def _ending_chunks(d: Data) -> DataFrame:
+    """Streamed chunks at one document an hour; of every fifth document the first number never comes."""
+    session, place = streaming_session(d.spark), shared_folder(d.spark)
+    late = F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    rows = _chunks(d("html_chunks")).withColumn("ts", F.timestamp_seconds(86_400 + F.col("doc_id") * 3600 + F.col("chunk_no"))).withColumn("chunk_no", F.col("chunk_no") + late)
+    rows.coalesce(1).write.parquet(f"{place}/chunks.parquet")
+    return d.spark.read.parquet(drain(stateful.ending_chunk_stream(stream_of(session, place, "chunks"), "1 hour", "30 minutes")))
+
+
+query(
+    "s10_ending_chunks_stream",
+    _ending_chunks,
+    """SELECT doc_id, block_no, html, NULL::BIGINT AS given_up FROM c_blocks WHERE doc_id % 5 <> 0
+       UNION ALL SELECT doc_id, NULL, chunk, chunk_no + 1 FROM (SELECT *, MAX(chunk_no) OVER (PARTITION BY doc_id) AS upto FROM html_chunks) h
+       WHERE doc_id % 5 = 0 AND doc_id * 3600 + upto + 3600 < (SELECT MAX(doc_id * 3600 + chunk_no) FROM html_chunks) - 1800""",
+)
+
+
+def _replayed(d: Data) -> DataFrame:
+    """Events of the live documents, then their readers, in files of their own."""
+    from claridoc.plans.queries_live import readers
+
+    session, place = streaming_session(d.spark), shared_folder(d.spark)
+    last = F.lit(1 << 60)
+    events = d("doc_events").select("session_id", F.unix_micros(_instant()).alias("at"), F.lit(False).alias("is_reader"), F.col("seq").cast("bigint").alias("no"), "type", "html")
+    came = readers(d).select("session_id", last.alias("at"), F.lit(True).alias("is_reader"), F.col("after").alias("no"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("html"))
+    for part in (events, came):
+        part.coalesce(1).write.mode("append").parquet(f"{place}/log.parquet")
+    return d.spark.read.parquet(drain(stateful.replay_stream(stream_of(session, place, "log", 1), 20)))
+
+
+query(
+    "s3_replay_stream",
+    lambda d: _replayed(d).select("session_id", "after", "seq", "type", "html"),
+    """SELECT e.session_id, CAST(after AS BIGINT) AS after, seq, type, html FROM (SELECT *, MAX(seq) OVER (PARTITION BY session_id) AS m FROM doc_events) e
+       JOIN c_readers r ON e.session_id = r.session_id WHERE seq > after AND (m <= 20 OR seq >= m - 20)""",
+)
+
+
+def _upserted(d: Data) -> DataFrame:
+    """Runs as they arrive, merged into a stored report."""
+    session, place = streaming_session(d.spark), shared_folder(d.spark)
+    rows = d("runs").select("doc_id", "agent", "ts", "event_id", "verdict", "run")
+    rows.repartition(3).write.parquet(f"{place}/runs.parquet")
+    report = upsert.upsert_stream(stream_of(session, place, "runs", 1), ["verdict", "run"], f"{place}/kept", 8)
+    return upsert.read_report(d.spark, report, rows.schema)
+
+
+query(
+    "l2_latest_rows_upsert",
+    _upserted,
+    "SELECT doc_id, agent, ts, event_id, verdict, run FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, agent ORDER BY ts DESC, event_id DESC) AS rn FROM runs) r WHERE rn = 1",
+)
+
+
+def _reported(d: Data) -> DataFrame:
+    """Sign-ups as reports, every other event as a dispatch."""
+    session = streaming_session(d.spark)
+
+    def half(reports: bool) -> DataFrame:
+        domain = F.when(F.col("event_id") % 2 == 0, "validator").otherwise("contrast-service")
+        return stream_of(session, d.folder, "events").filter((F.col("event_type") == "signup") == F.lit(reports)).select(F.col("user_id").alias("doc_id"), domain.alias("domain"), _instant().alias("ts"))
+
+    out = d.spark.read.parquet(drain(native.reported_domains_stream(half(False), half(True), "2 days", "1 hour")))
+    return out.select("doc_id", "domain", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("ts", "reported_at")])
+
+
+query(
+    "l7_reported_domains_stream",
+    _reported,
+    """WITH e AS (SELECT user_id AS doc_id, CASE event_id % 2 WHEN 0 THEN 'validator' ELSE 'contrast-service' END AS domain, ts, event_type = 'signup' AS told FROM events),
+       m AS (SELECT a.doc_id, a.domain, a.ts, r.ts AS reported_at FROM e a LEFT JOIN e r ON r.told AND r.doc_id = a.doc_id AND r.domain = a.domain AND r.ts BETWEEN a.ts AND a.ts + INTERVAL 2 DAY WHERE NOT a.told)
+       SELECT doc_id, domain, ts, reported_at FROM m
+       WHERE reported_at IS NOT NULL OR ts + INTERVAL 2 DAY < (SELECT LEAST(MAX(ts) FILTER (told), MAX(ts) FILTER (NOT told)) - INTERVAL 1 HOUR FROM e)""",
+)
+
+_SITTINGS = """SELECT doc_id, MIN(ts) AS start, MAX(ts) + INTERVAL 21601 SECOND AS "end", COUNT(*) AS n FROM (
+         SELECT *, SUM(CASE WHEN ts - prev < INTERVAL 21601 SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS no
+         FROM (SELECT doc_id, ts, event_id, LAG(ts) OVER (PARTITION BY doc_id ORDER BY ts, event_id) AS prev FROM review_events) a) b GROUP BY doc_id, no"""
+
+
+def _plain_times(windows: DataFrame) -> DataFrame:
+    return windows.select("doc_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
+
+
+query("l16_sittings", lambda d: _plain_times(native.session_windows(d("review_events").withColumn("ts", _instant()), "21601 seconds")), _SITTINGS)
+query(
+    "l16_sittings_stream",
+    lambda d: _plain_times(_run(d, "events", lambda s: native.session_windows(review_stream(s).withWatermark("ts", "1 day"), "21601 seconds"))),
+    f"""SELECT * FROM ({_SITTINGS}) s WHERE "end" <= (SELECT MAX(ts) - INTERVAL 1 DAY FROM review_events)""",
+)

@@ -42,25 +42,85 @@ class _Processor(StatefulProcessor):
         pass
 
 
-class Numbering(_Processor):
+class _Ending(_Processor):
+    """State that ends: a key that hears nothing for ``keep`` (event time, microseconds) is forgotten; never when it is None."""
+
+    def __init__(self, keep: int | None = None):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at bigint") if self.keep is not None else None
+
+    def heard(self, at) -> None:
+        """Arm the one timer of this key anew, for the latest row so far."""
+        if self.due is None:
+            return
+        new, old = -(-(int(at) + self.keep) // 1000), self.due.get()[0] if self.due.exists() else None
+        if old is None or new > old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(new)
+            self.due.update((new,))
+
+    def forget(self, key) -> Iterator[pd.DataFrame]:
+        """Clear what the key has; may give rows."""
+        raise NotImplementedError
+
+    def ended(self) -> None:
+        """The key is done before its time: no timer is left."""
+        if self.due is not None and self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+            self.due.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.due is not None and self.due.exists() and self.due.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.due.clear()
+            yield from self.forget(key)
+
+
+def _span(keep: str | None) -> int | None:
+    """Microseconds of an interval such as ``3 days``."""
+    if keep is None:
+        return None
+    n, unit = keep.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")] * MICROS
+
+
+def _timed(rows: DataFrame, keep: str | None, delay: str) -> tuple[DataFrame, str]:
+    """Rows under a watermark when their state is to end, and the time mode that goes with it."""
+    return (rows, "None") if keep is None else (rows.withWatermark("ts", delay), "EventTime")
+
+
+class Numbering(_Ending):
     """Next free position per session."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.count = handle.getValueState("count", "n bigint")
 
+    def forget(self, key):
+        self.count.clear()
+        yield from ()
+
     def handleInputRows(self, key, rows, timerValues):
         start = self.count.get()[0] if self.count.exists() else 0
         batch = _in_order(rows, "at", "event_id")
         batch["seq"] = range(start + 1, start + 1 + len(batch))
         self.count.update((start + len(batch),))
+        self.heard(batch["at"].max())
         yield batch[["session_id", "event_id", "at", "seq"]]
 
 
-def sequence_stream(events: DataFrame) -> DataFrame:
-    """Numbered events: session_id, event_id, at, seq. ``events``: session_id, event_id, ts."""
-    rows = events.select("session_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+def sequence_stream(events: DataFrame, keep: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Numbered events: session_id, event_id, at, seq. ``events``: session_id, event_id, ts.
+
+    A session without events for ``keep`` is over and its number forgotten; ``delay`` is how late events may come.
+    """
+    stamped = events.select("session_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows, mode = _timed(stamped.withColumn("at", F.unix_micros("ts")), keep, delay)
     return rows.groupBy("session_id").transformWithStateInPandas(
-        Numbering(), "session_id bigint, event_id bigint, at bigint, seq bigint", "append", "None"
+        Numbering(_span(keep)), "session_id bigint, event_id bigint, at bigint, seq bigint", "append", mode
     )
 
 
@@ -115,19 +175,21 @@ def fold_changes(changes: DataFrame) -> DataFrame:
     return last.filter(F.col("b.html").isNotNull()).select("session_id", "ord", "b.block_id", "b.html")
 
 
-class Chunks(_Processor):
-    """Open markup per document. Chunks that come early wait for their turn."""
+class Chunks(_Ending):
+    """Open markup per document. Chunks that come early wait for their turn; a document that stops is given up when its time is over."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.open = handle.getValueState("open", "text string, next bigint, block bigint")
         self.early = handle.getMapState("early", "chunk_no bigint", "chunk string, last boolean")
 
     def handleInputRows(self, key, rows, timerValues):
         text, following, block = self.open.get() if self.open.exists() else ("", 0, 0)
-        for number, chunk, last in _in_order(rows, "chunk_no")[["chunk_no", "chunk", "last"]].itertuples(index=False):
+        batch = _in_order(rows, "chunk_no")
+        for number, chunk, last in batch[["chunk_no", "chunk", "last"]].itertuples(index=False):
             if number >= following:
                 self.early.updateValue((int(number),), (chunk, bool(last)))
-        found = []
+        found, over = [], False
         while self.early.containsKey((following,)):
             chunk, last = self.early.getValue((following,))
             self.early.removeKey((following,))
@@ -137,27 +199,62 @@ class Chunks(_Processor):
             if last:
                 tail = strip_fence(text).strip(fv.WHITESPACE)
                 found += [tail] if tail else []
-                text = ""
-        self.open.update((text, following, block + len(found)))
-        yield from _frames([(_one(key), block + i, html) for i, html in enumerate(found, 1)], ["doc_id", "block_no", "html"])
+                text, over = "", True
+        if over and self.due is not None:
+            self.open.clear()
+            self.early.clear()
+            self.ended()
+        else:
+            self.open.update((text, following, block + len(found)))
+            if self.due is not None:
+                self.heard(batch["at"].max())
+        yield from self._rows(key, [(block + i, html, None) for i, html in enumerate(found, 1)])
+
+    def _rows(self, key, out):
+        return _frames([(_one(key), *r) for r in out], ["doc_id", "block_no", "html", "given_up"])
+
+    def forget(self, key):
+        text = self.open.get()[0] if self.open.exists() else ""
+        left = [(None, chunk[0], int(number[0])) for number, chunk in self.early.iterator()]
+        self.open.clear()
+        self.early.clear()
+        yield from self._rows(key, ([(None, text, -1)] if text else []) + sorted(left, key=lambda r: r[2]))
+
+
+_CHUNKS = "doc_id bigint, block_no bigint, html string, given_up bigint"
 
 
 def chunk_stream(chunks: DataFrame) -> DataFrame:
     """Complete blocks as they close. ``chunks``: doc_id, chunk_no (from 0), chunk, last."""
-    return chunks.groupBy("doc_id").transformWithStateInPandas(Chunks(), "doc_id bigint, block_no bigint, html string", "append", "None")
+    return chunks.groupBy("doc_id").transformWithStateInPandas(Chunks(), _CHUNKS, "append", "None").drop("given_up")
+
 
+def ending_chunk_stream(chunks: DataFrame, keep: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Blocks as they close, and what had to be given up: doc_id, block_no, html, given_up.
 
-class Countdown(_Processor):
+    ``chunks``: doc_id, chunk_no (from 0), chunk, last, ts. A document leaves no state once its last chunk is read. One that hears
+    nothing for ``keep`` is given up: its open markup (``given_up`` -1) and the chunks whose predecessor never came
+    (their numbers) come out with no block_no, so nothing is lost silently. Chunks that come after a document has ended wait and are given
+    up the same way; a number that was read already is a repeat and is passed over.
+    """
+    rows = chunks.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    return rows.groupBy("doc_id").transformWithStateInPandas(Chunks(_span(keep)), _CHUNKS, "append", "EventTime")
+
+
+class Countdown(_Ending):
     """Figures that arrived per session; repeats do not count."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.seen = handle.getMapState("seen", "fig_id string", "x boolean")
         self.left = handle.getValueState("left", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         left = self.left.get()[0] if self.left.exists() else None
         out = []
-        for fig, pending in _in_order(rows, "at", "fig_id").drop_duplicates("fig_id")[["fig_id", "pending"]].itertuples(index=False):
+        batch = _in_order(rows, "at", "fig_id")
+        self.heard(batch["at"].max())
+        for fig, pending in batch.drop_duplicates("fig_id")[["fig_id", "pending"]].itertuples(index=False):
             if self.seen.containsKey((fig,)):
                 continue
             self.seen.updateValue((fig,), (True,))
@@ -168,10 +265,20 @@ class Countdown(_Processor):
         yield from _frames([(_one(key), *r) for r in out], ["session_id", "fig_id", "remaining", "finished"])
 
 
-def countdown_stream(ready: DataFrame) -> DataFrame:
-    """One row per figure that arrived first time. ``ready``: session_id, fig_id, at, pending (1 when unknown)."""
-    return ready.groupBy("session_id").transformWithStateInPandas(
-        Countdown(), "session_id bigint, fig_id string, remaining bigint, finished boolean", "append", "None"
+    def forget(self, key):
+        self.seen.clear()
+        self.left.clear()
+        yield from ()
+
+
+def countdown_stream(ready: DataFrame, keep: str | None = None, delay: str = "1 day") -> DataFrame:
+    """One row per figure that arrived first time. ``ready``: session_id, fig_id, at (microseconds), pending (1 when unknown).
+
+    A session without figures for ``keep`` is forgotten.
+    """
+    rows, mode = _timed(ready.withColumn("ts", F.timestamp_micros("at")), keep, delay)
+    return rows.groupBy("session_id").transformWithStateInPandas(
+        Countdown(_span(keep)), "session_id bigint, fig_id string, remaining bigint, finished boolean", "append", mode
     )
 
 
@@ -195,7 +302,10 @@ class Gate(_Processor):
             else:
                 is_open, outcome = False, "finalized" if event == APPROVED else "rejected"
             out.append((event_id, event, outcome))
-        self.open.update((is_open,))
+        if is_open:  # a closed gate needs no state: it is what a document without state has
+            self.open.update((True,))
+        else:
+            self.open.clear()
         yield from _frames([(_one(key), *r) for r in out], ["doc_id", "event_id", "event", "outcome"])
 
 
@@ -306,3 +416,48 @@ def rate_limit_stream(requests: DataFrame, limit: int = 15, seconds: int = 60, d
     return slotted.groupBy("key", "slot").transformWithStateInPandas(
         Limiter(limit, seconds), "request_id bigint, key string, slot bigint, n bigint, ok boolean", "append", "EventTime"
     )
+
+
+class Ring(_Processor):
+    """The newest events of a session; a reader that comes gets those after its resume point."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.log = handle.getMapState("log", "seq bigint", "type string, html string")
+        self.bounds = handle.getValueState("bounds", "low bigint, top bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        low, top = self.bounds.get() if self.bounds.exists() else (None, None)
+        out = []
+        batch = _in_order(rows, "at", "is_reader", "no")
+        for is_reader, no, kind, html in batch[["is_reader", "no", "type", "html"]].itertuples(index=False):
+            no = int(no)
+            if not is_reader:
+                if low is not None and top > self.limit and no < top - self.limit:
+                    continue  # behind the ring already
+                self.log.updateValue((no,), (kind, html))
+                low, top = (no, no) if low is None else (min(low, no), max(top, no))
+                while top > self.limit and low < top - self.limit:  # in place: one step a new event
+                    if self.log.containsKey((low,)):
+                        self.log.removeKey((low,))
+                    low += 1
+                continue
+            for seq in range(max(no + 1, low), top + 1) if low is not None else ():
+                if self.log.containsKey((seq,)):
+                    out.append((no, seq, *self.log.getValue((seq,))))
+        if low is not None:
+            self.bounds.update((low, top))
+        yield from _frames([(_one(key), *r) for r in out], ["session_id", "after", "seq", "type", "html"])
+
+
+def replay_stream(rows: DataFrame, limit: int = fv.EVENT_LOG_LIMIT) -> DataFrame:
+    """What each reader is sent when it comes: session_id, after, seq, type, html.
+
+    ``rows``: session_id, at (microseconds), is_reader, no, type, html; ``no`` is the number of an event, or the resume point of a reader. Rows are
+    taken in the order of ``at``, events before readers. State is a ring of ``limit`` + 1 events a session, trimmed in place.
+    """
+    return rows.groupBy("session_id").transformWithStateInPandas(
+        Ring(limit), "session_id bigint, after bigint, seq bigint, type string, html string", "append", "None"
+    )
