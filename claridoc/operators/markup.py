@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from claridoc.functions import fixed_values as fv
 from claridoc.functions.text import safe_url, trimmed, truthy
 
-# a quoted value may hold any character, the end of a tag too
-_TAG = r"""</?[a-zA-Z][a-zA-Z0-9-]*(?:\s(?:"[^"]*"|'[^']*'|[^'">])*)?/?>"""
+# what may stand between the name and the end of a tag: a quoted value may hold any character, the end of a tag too;
+# possessive, so that long values cost no stack
+_INSIDE = r"""(?:\s(?:"[^"]*+"|'[^']*+'|[^'">]++)*+)?"""
+_TAG = rf"</?[a-zA-Z][a-zA-Z0-9-]*{_INSIDE}/?>"
 _NAME = r"^</?([a-zA-Z][a-zA-Z0-9-]*)"
+COMMENT = r"(?s)<!--.*?--!?>"
 
 
 def without_raw_text(html: Column) -> Column:
     """Markup without comments and without script and style bodies, which may hold tag look-alikes."""
-    plain = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(plain, r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>)", "$1$3")
+    plain = F.regexp_replace(html, COMMENT, "")
+    return F.regexp_replace(plain, rf"(?is)(<(script|style){_INSIDE}>).*?(</\2\s*>)", "$1$3")
 
 
 def tags(html: Column) -> Column:
@@ -128,7 +131,7 @@ def removal_counts(pages: DataFrame) -> DataFrame:
     return pages.withColumn("opened", opened).select(
         "page_id", F.size("opened").cast("bigint").alias("n_tags"), F.size(dropped).cast("bigint").alias("n_dropped"),
         F.size(unwrapped).cast("bigint").alias("n_unwrapped"),
-        F.regexp_count("html", F.lit(r"(?s)<!--.*?-->")).cast("bigint").alias("n_comments"),
+        F.regexp_count("html", F.lit(COMMENT)).cast("bigint").alias("n_comments"),
     )
 
 
@@ -220,5 +223,5 @@ def sanitize_pages(pages: DataFrame) -> DataFrame:
         "page_id", F.array_join(F.transform("left", written), "").alias("html"), count(F.filter("cuts", lambda c: c["opened"])).alias("n_dropped"),
         count(F.filter("left", lambda p: (p["name"] != "") & ~p["close"] & ~allowed(p))).alias("n_unwrapped"),
         count(F.flatten(F.transform("left", lambda p: F.filter(F.coalesce(p["attrs"], F.array().cast("array<struct<raw:string,keep:boolean>>")), lambda a: ~a["keep"])))).alias("n_attributes"),
-        F.regexp_count("html", F.lit(r"(?s)<!--.*?-->")).cast("bigint").alias("n_comments"),
+        F.regexp_count("html", F.lit(COMMENT)).cast("bigint").alias("n_comments"),
     )

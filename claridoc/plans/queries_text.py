@@ -128,7 +128,7 @@ query(
               FROM c_plain_pages) a) b""",
 )
 CHECK_VIEWS["c_plain_pages"] = r"""
-    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\b[^>]*>).*?(</script\s*>)', '\1\2', 'g'), '(?is)(<style\b[^>]*>).*?(</style\s*>)', '\1\2', 'g') AS html FROM pages"""
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?--!?>', '', 'g'), '(?is)(<script(?:\s+(?:[^\s"''>]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''))?|\s|"[^"]*"|''[^'']*'')*)?/?>).*?(</script\s*>)', '\1\2', 'g'), '(?is)(<style(?:\s+(?:[^\s"''>]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''))?|\s|"[^"]*"|''[^'']*'')*)?/?>).*?(</style\s*>)', '\1\2', 'g') AS html FROM pages"""
 CHECK_VIEWS["c_tags"] = r"""
     SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, t[i] AS raw, lower(regexp_extract(t[i], '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag, starts_with(t[i], '</') AS is_close
     FROM (SELECT page_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT page_id, regexp_extract_all(html, '</?[a-zA-Z][a-zA-Z0-9-]*(?:\s+(?:[^\s"''>]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''))?|\s|"[^"]*"|''[^'']*'')*)?/?>') AS t FROM c_plain_pages) a) b"""
@@ -164,14 +164,14 @@ query(
             CAST(COUNT(*) FILTER (WHERE bad AND NOT is_close AND held = CASE WHEN name IN ({_EMPTY_SQL}) OR ends_with(raw, '/>') THEN 0 ELSE 1 END) AS BIGINT) AS n_dropped,
             CAST(COUNT(*) FILTER (WHERE name <> '' AND NOT is_close AND held = 0 AND NOT bad AND name NOT IN ({_ALLOWED_SQL})) AS BIGINT) AS n_unwrapped,
             CAST(COALESCE(SUM(n_off) FILTER (WHERE name IN ({_ALLOWED_SQL})), 0) AS BIGINT) AS n_attributes,
-            CAST(len(regexp_extract_all(ANY_VALUE(p.html), '(?s)<!--.*?-->')) AS BIGINT) AS n_comments
+            CAST(len(regexp_extract_all(ANY_VALUE(p.html), '(?s)<!--.*?--!?>')) AS BIGINT) AS n_comments
         FROM pages p LEFT JOIN c_skipped s ON p.page_id = s.page_id LEFT JOIN c_judged j ON j.page_id = s.page_id AND j.i = s.i GROUP BY p.page_id""",
 )
 query(
     "f6_removal_counts",
     lambda d: markup.removal_counts(d("pages")),
     f"""SELECT p.page_id, COALESCE(n_tags, 0) AS n_tags, COALESCE(n_dropped, 0) AS n_dropped, COALESCE(n_unwrapped, 0) AS n_unwrapped,
-               CAST(len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS BIGINT) AS n_comments
+               CAST(len(regexp_extract_all(html, '(?s)<!--.*?--!?>')) AS BIGINT) AS n_comments
         FROM pages p LEFT JOIN (SELECT page_id, COUNT(*) AS n_tags, CAST(COUNT(*) FILTER (WHERE tag IN ({', '.join(quoted(t) for t in fv.DROPPED_TAGS)})) AS BIGINT) AS n_dropped,
                CAST(COUNT(*) FILTER (WHERE tag NOT IN ({', '.join(quoted(t) for t in fv.DROPPED_TAGS + fv.ALLOWED_TAGS)})) AS BIGINT) AS n_unwrapped
              FROM c_tags WHERE NOT is_close GROUP BY page_id) t ON p.page_id = t.page_id""",

@@ -154,6 +154,11 @@ def cleaned(spark, *pages):
     return [(r.html, r.n_dropped, r.n_unwrapped, r.n_attributes, r.n_comments) for r in rows]
 
 
+def test_cleaner_reads_quoted_values_and_both_ends_of_comments(spark):
+    script = '<p>a</p><script data-x="a>b">evil()</script><style media=\'(x>1)\'>p{}</style><p title="x">ok</p>'
+    assert cleaned(spark, script, "<!-- a --!><p>x</p>", "<script src=" + "x" * 50_000 + ">s</script>") == [('<p>a</p><p>ok</p>', 2, 0, 1, 0), ("<p>x</p>", 0, 0, 0, 1), ("", 1, 0, 0, 0)]
+
+
 def test_cleaner(spark):
     page = (
         '<div onclick="x"><p style="a" data-page="2">Hi &amp; <a href="javascript:1" title="t">x</a><a href="/ok">y</a><br></p><!-- c --><script>var t="</p>"</script>'
