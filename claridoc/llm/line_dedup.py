@@ -20,6 +20,7 @@ from claridoc.llm.quality_rules import WORD, let
 from claridoc.session import written
 
 RUN_LINES = 3
+LONG_WORDS = 20  # words that make a run of fewer lines worth deleting, in the query and the pipeline
 
 
 def windows(lines: Column, run_lines: int, long_words: int | None = None) -> Column:

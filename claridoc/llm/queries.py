@@ -173,7 +173,7 @@ FROM docs LEFT JOIN left_over USING (rid)
 
 
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = line_dedup.remove_repeated_lines(text_layers(spark, folder))
+    cleaned = line_dedup.remove_repeated_lines(text_layers(spark, folder), long_words=line_dedup.LONG_WORDS)
     return cleaned.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
@@ -182,10 +182,13 @@ CHECKS["op8_line_dedup"] = r"""
 WITH docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
 lines AS (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS l, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM docs),
 filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS p FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+worded AS (SELECT *, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM filled),
 spots AS (
-  SELECT doc_id, t, p, l || chr(10) || lead(l) OVER w || chr(10) || lead(l, 2) OVER w AS k FROM filled WINDOW w AS (PARTITION BY doc_id, t ORDER BY p)),
-later AS (SELECT doc_id, t, p FROM spots WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, t, p) > 1),
-gone AS (SELECT DISTINCT f.doc_id, f.t, f.i FROM filled f JOIN later r ON f.doc_id IS NOT DISTINCT FROM r.doc_id AND f.t = r.t AND f.p BETWEEN r.p AND r.p + 2),
+  SELECT doc_id, t, p, size, CASE size WHEN 1 THEN l WHEN 2 THEN l || chr(10) || lead(l) OVER w ELSE l || chr(10) || lead(l) OVER w || chr(10) || lead(l, 2) OVER w END AS k,
+    CASE size WHEN 1 THEN n WHEN 2 THEN n + lead(n) OVER w ELSE 20 END AS n
+  FROM worded, (VALUES (1), (2), (3)) s(size) WINDOW w AS (PARTITION BY doc_id, t, size ORDER BY p)),
+later AS (SELECT doc_id, t, p, size FROM spots WHERE k IS NOT NULL AND n >= 20 QUALIFY row_number() OVER (PARTITION BY k, size ORDER BY doc_id NULLS FIRST, t, p) > 1),
+gone AS (SELECT DISTINCT f.doc_id, f.t, f.i FROM filled f JOIN later r ON f.doc_id IS NOT DISTINCT FROM r.doc_id AND f.t = r.t AND f.p BETWEEN r.p AND r.p + r.size - 1),
 kept AS (
   SELECT l.doc_id, l.t, string_agg(l.l, chr(10) ORDER BY l.i) AS k FROM lines l ANTI JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.t = g.t AND l.i = g.i GROUP BY ALL),
 sizes AS (SELECT doc_id, t, count(*) AS n FROM filled GROUP BY ALL),
