@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claridoc.functions import fixed_values as fv
@@ -27,23 +27,34 @@ def tags(html: Column) -> Column:
     return F.regexp_extract_all(without_raw_text(html), F.lit(f"({_TAG})"), 1)
 
 
+def _running_sums(steps: Column, block: int = 64) -> Column:
+    """Running sums of an ARRAY<INT>, block by block, so that no long array is copied for every element."""
+    none = F.array().cast("array<int>")
+    last = lambda sums: F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0))
+    append = lambda sums, v: F.array_append(sums, last(sums) + v)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / block).cast("int")), lambda b: F.slice(steps, b * block + 1, F.lit(block)))
+    local = F.transform(blocks, lambda part: F.aggregate(part, none, append))
+    before = F.aggregate(local, F.array(F.lit(0)), lambda sums, part: F.array_append(sums, last(sums) + last(part)))
+    return F.when(F.size(steps) > 0, F.flatten(F.transform(local, lambda part, i: F.transform(part, lambda v: v + F.get(before, i))))).otherwise(none)
+
+
 def html_elements(pages: DataFrame) -> DataFrame:
     """One row per tag: page_id, pos, tag, is_close, is_void, attrs, depth after the tag.
 
-    Depth is a plain running balance of opening and closing tags; void tags do not count.
-    The window holds the tags of one page, which came from one cell.
+    Depth is a plain running balance of opening and closing tags; void tags do not count. It is taken over the
+    tags of the page where they lie, before these become rows, so nothing is shuffled.
     """
-    rows = pages.select("page_id", F.posexplode(tags(F.col("html"))).alias("pos", "raw"))
-    named = rows.withColumn("tag", F.lower(F.regexp_extract("raw", _NAME, 1)))
-    flat = named.select(
-        "page_id", F.col("pos").cast("bigint").alias("pos"), "tag",
-        F.startswith("raw", F.lit("</")).alias("is_close"),
-        (F.col("tag").isin(fv.VOID_TAGS) | F.endswith("raw", F.lit("/>"))).alias("is_void"),
-        trimmed(F.regexp_extract("raw", r"(?s)^</?[a-zA-Z][a-zA-Z0-9-]*(.*?)/?>$", 1)).alias("attrs"),
+    name = lambda t: F.lower(F.regexp_extract(t, _NAME, 1))
+    void = lambda t: name(t).isin(fv.VOID_TAGS) | F.endswith(t, F.lit("/>"))
+    listed = pages.select("page_id", tags(F.col("html")).alias("raws"))
+    told = listed.withColumn("tags", F.transform("raws", lambda t: F.struct(t.alias("raw"), name(t).alias("tag"), F.startswith(t, F.lit("</")).alias("is_close"), void(t).alias("is_void"))))
+    steps = F.transform("tags", lambda t: F.when(t["is_close"], -1).when(t["is_void"], 0).otherwise(1))
+    summed = told.withColumn("depths", _running_sums(steps))
+    rows = summed.select("page_id", F.posexplode(F.zip_with("tags", "depths", lambda t, d: t.withField("depth", d.cast("bigint")))).alias("pos", "t"))
+    return rows.select(
+        "page_id", F.col("pos").cast("bigint").alias("pos"), "t.tag", "t.is_close", "t.is_void",
+        trimmed(F.regexp_extract("t.raw", r"(?s)^</?[a-zA-Z][a-zA-Z0-9-]*(.*?)/?>$", 1)).alias("attrs"), "t.depth",
     )
-    step = F.when(F.col("is_close"), -1).when(F.col("is_void"), 0).otherwise(1)
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return flat.withColumn("depth", F.sum(step).over(w))
 
 
 def _lang(html: Column) -> Column:
